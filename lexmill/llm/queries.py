@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, quality_rules
+from .decontaminate import contamination
 from .ngram_join import similarity_classes
+from .sampled_pieces import decode_pieces, encode_sampled
 from .suffix_dedup import remove_repeats
 
 
@@ -14,17 +18,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    found = language_id.identify(rows, language_id.learn(docs), carry=("doc_id", "held_out"), spans=False)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled ids of each text, and whether decoding gives the text back."""
+    rows = decode_pieces(encode_sampled(table(spark, sf_dir, "documents")))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("lossless"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), texts=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
