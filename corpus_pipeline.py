@@ -1,10 +1,63 @@
-"""Cleaning of documents, stage by stage."""
+"""Cleaning of documents, stage by stage; each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import language_id
+from lexmill.llm._session import staged
+from lexmill.llm.decontaminate import contamination
+from lexmill.llm.line_templates import drop_templates
+from lexmill.llm.ngram_join import similarity_classes
+from lexmill.llm.sampled_pieces import encode_sampled
+
+#: Share of its letters that a text's language must have.
+LEAST_SHARE = 0.5
+#: A text of which repeated lines make up more than this share of words is a copy, and is left to the stage that joins copies.
+COPY_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, and mixtures in which no language has half of the letters, go."""
+    found = language_id.identify(docs, language_id.learn(docs), carry=tuple(docs.columns), spans=False)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from all documents but the first."""
+    return drop_templates(docs, most=COPY_SHARE).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the least doc_id stays; rows without a doc_id all stay, unless they repeat."""
+    found = similarity_classes(docs, row_key=True)
+    stay = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("rk").alias("_rk")).select("_rk")
+    stay = stay.union(found.filter("doc_id is null and component_id is null").select("rk"))
+    keyed = docs.withColumn("_rk", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
+    return keyed.join(stay, "_rk", "left_semi").dropDuplicates(["_rk"]).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of the benchmark go."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(docs.columns))
+    return found.filter(~F.col("contaminated")).select(docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled SentencePiece ids of each document."""
+    return encode_sampled(docs, carry=("doc_id",))
+
+
+STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontaminate), ("SentencePiece encoding", pieces)]
+#: Language ID and sampled segmentation are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, "stage")
+    return docs

@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import partitions, staged, tune
+from ._session import staged, tune
 from ._text import ALNUM, U64, chunks, mix, prefix_hashes, shingle_hashes, span_hashes, text_parts, word_spans
 
 SHINGLE_WORDS = 3
 #: Bits of the table that most shingles of documents are turned away by.
 FILTER_BITS = 20
+FOUND = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 @dataclass
@@ -115,13 +116,13 @@ def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _scan(index, whole: bool):
+def _scan(index, whole: bool, carry: int = 1):
     """whole: results of documents; else places and items by row, for documents that are hit only."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for batch in batches:
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in chunks(batch, "_text"):
                 words, first = word_hashes(data, offsets)
                 start, win = occurrences(words, first, ix)
                 doc = np.searchsorted(first, start, "right") - 1
@@ -137,8 +138,8 @@ def _scan(index, whole: bool):
                     n_hit = total[first[1:]] - total[first[:-1]]
                     none = _digest(set())
                     yield pa.record_batch(
-                        [part.column(0), pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(items.get(i, ())) for i in range(part.num_rows)], pa.int64()), pa.array([_digest(items[i]) if i in items else none for i in range(part.num_rows)]), pa.array(n_hit > 0)],
-                        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                        [*part.columns[:carry], pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(items.get(i, ())) for i in range(part.num_rows)], pa.int64()), pa.array([_digest(items[i]) if i in items else none for i in range(part.num_rows)]), pa.array(n_hit > 0)],
+                        [*part.schema.names[:carry], *FOUND],
                     )
                 elif items:
                     rows = sorted(items)
@@ -146,14 +147,14 @@ def _scan(index, whole: bool):
                     for d in rows:
                         h = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].view(np.int8), [0]])))
                         spans.append(h.tolist())
-                    yield pa.record_batch([part.column(1).take(pa.array(rows)), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(items[d]) for d in rows], pa.list_(pa.string()))], ["rk", "edges", "items"])
+                    yield pa.record_batch([part.column(carry).take(pa.array(rows)), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(items[d]) for d in rows], pa.list_(pa.string()))], ["_rk", "edges", "items"])
 
     return scan
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in chunks(batch):
+        for part, data, offsets in chunks(batch, "_text"):
             _, first = word_hashes(data, offsets)
             edges, items = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("edges", "items"))
             out = []
@@ -165,14 +166,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         hit[a:b] = True
                 names = {x for y in items[i] or () for x in y}
                 out.append((n, int(hit.sum()), len(names), _digest(names), bool(hit.any())))
-            yield pa.record_batch([part.column(0), *(pa.array(x) for x in zip(*out, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            carry = part.num_columns - 3
+            yield pa.record_batch([*part.columns[:carry], *(pa.array(x) for x in zip(*out, strict=True))], [*part.schema.names[:carry], *FOUND])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32 << 20, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Words of documents that lie in an occurrence of a benchmark window of size words.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. Words are runs of 0-9, a-z (A-Z lower-cased)
-    and characters beyond ASCII. Returns for each row doc_id, n_words, n_hit, n_items (distinct item_ids with a window that
+    and characters beyond ASCII. Returns for each row carry (which names no column of the result), n_words, n_hit, n_items (distinct item_ids with a window that
     occurs), items_sha256 (of those ids, sorted as strings, comma-joined) and contaminated (n_hit > 0).
     Null or wordless texts have no words and no windows; a null item_id counts as the id "". Repeated rows of documents
     each give a row; repeated items count once. An empty benchmark leaves all documents clean.
@@ -182,9 +184,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
     spark = docs.sparkSession
     tune(spark)
     text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id"), text.alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    result = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    docs = docs.select(*carry, F.xxhash64(F.col("doc_id").cast("string"), text).alias("_rk"), text.alias("_text"))
+    head = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    result = f"{head}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     items = benchmark.select("item_id", text.alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
@@ -195,11 +197,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
         return spark.sparkContext.broadcast(build_index([x[0] for x in rows], [x[1] for x in rows], size))
 
     if n == 1:
-        return docs.mapInArrow(_scan(block(0), True), result)
-    keyed = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("rk"), "text")
+        return docs.mapInArrow(_scan(block(0), True, len(carry)), result)
     hits = None
     for k in range(n):
-        part = staged(keyed.mapInArrow(_scan(block(k), False), "rk long, edges array<long>, items array<string>"), "hits")
+        part = staged(docs.mapInArrow(_scan(block(k), False, len(carry)), "_rk long, edges array<long>, items array<string>"), "hits")
         hits = part if hits is None else hits.unionByName(part)
-    hits = hits.groupBy("rk").agg(F.collect_set("edges").alias("edges"), F.collect_set("items").alias("items"))
-    return keyed.join(hits.repartition(partitions(spark), "rk"), "rk", "left").select("doc_id", "text", "edges", "items").mapInArrow(_gather, result)
+    hits = hits.groupBy("_rk").agg(F.collect_set("edges").alias("edges"), F.collect_set("items").alias("items"))
+    return docs.join(hits, "_rk", "left").select(*carry, "_text", "edges", "items").mapInArrow(_gather, result)

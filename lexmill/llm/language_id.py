@@ -210,7 +210,7 @@ def _label(model, spans: bool):
         m: Model = model.value
         k = len(m.languages)
         for batch in batches:
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in chunks(batch, "_text"):
                 w = words_of(data, offsets)
                 n = part.num_rows
                 lang, score, parts = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
@@ -235,13 +235,13 @@ def _label(model, spans: bool):
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), spans: bool = True) -> DataFrame:
     """Predict the language of every whole text by a learned model.
 
-    Reads carry and text; returns carry, lang_pred, score and spans (code points start to end and the language of each span,
+    Reads carry (which names no column of the result) and text; returns carry, lang_pred, score and spans (code points start to end and the language of each span,
     empty if spans is False). score is the share of the text's letters that are labelled lang_pred; ties go to the first
     language by name. Null texts, texts without letters, and all texts if no language was learned, are "und" with score 0.
     Repeated rows get equal results; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     tune(spark)
-    rows = docs.select(*carry, F.col("text").cast("string").alias("text"))
+    rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
     head = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), spans), f"{head}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")

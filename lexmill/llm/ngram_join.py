@@ -274,13 +274,13 @@ def _join(size: int, percent: int):
     return join
 
 
-def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_key: bool = False) -> DataFrame:
     """Link documents with 100 * intersection >= percent * union of their sets of size-word n-grams, and close the links.
 
     docs: doc_id, text; other columns are not read. Words are runs of non-white space with A-Z lower-cased; fewer words than
     size make one n-gram. Returns for each row doc_id, n_shingles (size of its set), component_id (the smallest doc_id
     reached by links, itself included) and n_links (rows it links with directly). Null or wordless texts have no set and
-    link with nothing. Equal sets always link, so repeated rows do. A null doc_id is never a component's id, unless all are null.
+    link with nothing. row_key adds rk, xxhash64 of doc_id as text and text. Equal sets always link, so repeated rows do. A null doc_id is never a component's id, unless all are null.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -309,4 +309,4 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     roots = staged(roots.join(classes.select("sid", "least"), "sid"), "roots")
     ids = roots.groupBy("root").agg(F.min("least").alias("component"))
     by_set = classes.join(roots.join(ids, "root").select("sid", "component"), "sid", "left").join(degree, "sid", "left").select("sid", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
-    return members.join(by_set, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return members.join(by_set, "sid", "left").select(*(["rk"] if row_key else []), "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))

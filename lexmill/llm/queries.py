@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules
+from . import language_id, line_templates, quality_rules, warc
+from .chat_tree import chat_tree, read_back
 from .decontaminate import contamination
 from .ngram_join import similarity_classes
 from .sampled_pieces import decode_pieces, encode_sampled
 from .suffix_dedup import remove_repeats
+from .token_files import document_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,16 +48,42 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(path, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema))
+    return read_back(*chat_tree(rows))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted in flat files."""
+    return document_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_templates(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc": op6_warc,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_token_counts": op9_token_counts,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_line_dedup": line_templates.oracle()}
