@@ -14,6 +14,7 @@ Overlaps at the leaves are exact sums. Hashes of n-grams and sets have 64 bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from ._text import SPACED, U64, chunks, mix, prefix_hashes, shingle_hashes, span
 
 #: Sets below this size are routed by prefix tokens; sizes from there on fall in classes of this ratio.
 SMALL, RATIO = 40, 1.5
+#: Ranges of fewer n-grams than LEAST route only sets that have too few others; there are SPARE times the ranges needed.
+LEAST, SPARE = 3, 1.15
 #: Members and n-grams of a block of candidates.
 BLOCK_MEMBERS, BLOCK_GRAMS = 1000, 500_000
 
@@ -50,7 +53,8 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarr
 
 def set_id(grams: np.ndarray) -> int:
     """A hash of a set, as a signed long."""
-    return int((mix(grams).sum(dtype=U64) + U64(len(grams)) * U64(0x9E3779B97F4A7C15)).view(np.int64))
+    with np.errstate(over="ignore"):
+        return int((mix(grams).sum(dtype=U64) + U64(len(grams)) * U64(0x9E3779B97F4A7C15)).view(np.int64))
 
 
 class Routes:
@@ -71,7 +75,7 @@ class Routes:
             self.bounds.append(int(self.bounds[-1] * RATIO))
         top = self.bounds[i + 1]
         if i not in self.edges:
-            n = int(self.apart(top - 1, top - 1) * 1.06) + 4
+            n = int(self.apart(top - 1, top - 1) * SPARE) + 4
             self.edges[i] = np.array([(k << 64) // n for k in range(n)], U64)
         return top, self.edges[i]
 
@@ -90,10 +94,16 @@ class Routes:
         for i in schemes:
             top, edges = self.scheme(i)
             cut = np.searchsorted(grams, edges)
-            full = np.flatnonzero(np.diff(cut, append=n))
-            sums = np.add.reduceat(mixed, cut[full])
-            out.append(mix(sums + mix((full + (i << 32)).astype(U64))))
-            plain |= len(full) <= self.apart(n, min(top - 1, 100 * n // self.p))
+            count = np.diff(cut, append=n)
+            apart = self.apart(n, min(top - 1, 100 * n // self.p))
+            for low, least in enumerate((LEAST, 1)):
+                full = np.flatnonzero(count >= least)
+                sums = np.add.reduceat(mixed, cut[np.flatnonzero(count)])[np.searchsorted(np.flatnonzero(count), full)]
+                out.append(mix(sums + mix((full + (2 * i + low << 32)).astype(U64))))
+                if len(full) > apart:
+                    break
+            else:
+                plain = True
         if plain and n:
             out.append(mix(grams[: n - -(-self.p * n // 100) + 1] + U64(0x5851F42D4C957F2D)))
         return np.concatenate(out) if out else np.zeros(0, U64)
@@ -274,6 +284,24 @@ def _join(size: int, percent: int):
     return join
 
 
+def _blocks(found: DataFrame, percent: int) -> DataFrame:
+    """Rows of found for each block of their group: (comp, i, j), with side (whether in part i).
+
+    A small group is one block. A large one is cut into bands of size, and these by hash into parts that fit. As linked sets
+    are at most one band apart, part i and part j meet only if their bands are equal or next to each other.
+    """
+    step = math.log(100 / percent) * 1.001
+    found = found.withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / step)).otherwise(0).cast("long"))
+    parts = found.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("parts"))
+    own = found.join(parts, ["comp", "band"])
+    own = own.withColumn("here", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("sid"), "parts"))
+    own = own.withColumn("near", F.explode(F.when(F.col("large"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
+    met = parts.select(F.col("comp").alias("c"), F.col("band").alias("near_band"), F.col("parts").alias("others"))
+    own = own.join(met, (own.comp == met.c) & (own.near == met.near_band))
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))).withColumn("there", F.col("near") * (1 << 32) + F.col("part"))
+    return own.select("comp", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"), (F.col("here") < F.col("there")).cast("int").alias("side"), "sid", "mult", "rk")
+
+
 def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_key: bool = False) -> DataFrame:
     """Link documents with 100 * intersection >= percent * union of their sets of size-word n-grams, and close the links.
 
@@ -290,18 +318,15 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_ke
     kind = docs.schema["doc_id"].dataType.simpleString()
     members = staged(docs.mapInArrow(_sets(size), f"doc_id {kind}, rk long, n_shingles long, sid long"), "members")
     keys = docs.select("text").mapInArrow(_keys(size, percent), "key long, sid long")
-    edges = keys.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "a long, b long")
-    groups = components(edges)
+    groups = components(staged(keys.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "a long, b long"), "stars"))
     classes = staged(members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("mult"), F.first("n_shingles").alias("n")), "classes")
-    found = staged(groups.join(classes, groups.v == classes.sid).select("sid", F.col("c").alias("comp"), "rk", "mult", "n"), "found")
-    blocks = found.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("s"))
-    found = found.join(blocks, "comp").withColumn("side", F.pmod(F.xxhash64("sid"), "s").cast("int"))
-    # Block (i, j) holds parts i and j of a group: each part meets each other one once, and itself in block (i, i).
-    found = found.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("comp", F.least("side", "to").alias("i"), F.greatest("side", "to").alias("j"), "side", "sid", "mult", "rk", "s")
-    pairs = found.join(docs.select("rk", "text"), "rk").select("comp", "i", "j", "side", "sid", "mult", "text")
+    found = groups.join(classes, groups.v == classes.sid).select("sid", F.col("c").alias("comp"), "rk", "mult", "n")
+    sizes = found.groupBy("comp").agg(((F.count(F.lit(1)) > BLOCK_MEMBERS) | (F.sum("n") > BLOCK_GRAMS)).alias("large"))
+    found = staged(found.join(sizes, "comp"), "found")
+    pairs = _blocks(found, percent).join(docs.select("rk", "text"), "rk").select("comp", "i", "j", "side", "sid", "mult", "text")
     pairs = pairs.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     links = staged(pairs.mapInArrow(_join(size, percent), "sid long, root long, links long"), "links")
-    if found.filter("s > 1").isEmpty():
+    if found.filter("large").isEmpty():
         roots = links.select("sid", "root")
     else:
         roots = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("sid"), F.col("c").alias("root"))
