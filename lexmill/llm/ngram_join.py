@@ -174,12 +174,13 @@ def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     token = np.repeat(np.arange(len(rep)), freq)
     member = owner[flat]
     dense = None
-    if len(rep) * n <= 32_000_000:
+    if len(rep) * n <= 8_000_000:
         dense = np.zeros((len(rep), n), np.float32)
         dense[token, member] = weight[token]
     by = np.lexsort((token, member))
     places = np.searchsorted(member[by], np.arange(n + 1))
-    seqs = [token[by][a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+    ordered = token[by]
+    seqs = [ordered[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
     names = [x.astype(">u4").tobytes() for x in seqs]
     line = sorted(range(n), key=names.__getitem__)
     cum = np.append(0, np.cumsum(freq))
