@@ -271,7 +271,7 @@ def anchor_top(spark, sf_dir):
 
 @query(f"""
 WITH t AS (SELECT doc_id, unnest({signal_sql('text')}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY doc_id, term QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) <= 256),
-h AS (SELECT doc_id, ln(1 + n) AS w, ('0x' || substr(md5(term), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(term), 9, 8))::BIGINT AS lo FROM c),
+h AS (SELECT doc_id, round(ln(1 + n) * 1e9)::BIGINT AS w, ('0x' || substr(md5(term), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(term), 9, 8))::BIGINT AS lo FROM c),
 b AS (SELECT doc_id, bit, sum(CASE WHEN ((CASE WHEN bit < 32 THEN lo ELSE hi END) >> (bit % 32)) & 1 = 1 THEN w ELSE -w END) AS s FROM h, range(64) r(bit) GROUP BY doc_id, bit),
 f AS (SELECT doc_id, coalesce(sum(CASE WHEN s > 0 AND bit >= 32 THEN 1::BIGINT << (bit - 32) END), 0)::BIGINT AS hi, coalesce(sum(CASE WHEN s > 0 AND bit < 32 THEN 1::BIGINT << bit END), 0)::BIGINT AS lo FROM b GROUP BY doc_id)
 SELECT d.doc_id, coalesce(printf('%08x%08x', hi, lo), '0000000000000000') AS simhash64_hex, CAST((SELECT count(*) FROM c WHERE c.doc_id = d.doc_id) AS BIGINT) AS term_count FROM documents d LEFT JOIN f USING (doc_id)""")
@@ -541,7 +541,7 @@ def crawl_frontier(spark, sf_dir):
     page = lambda c: F.concat(F.lit("http://n"), c.cast("string"), F.lit(".example.com/"))
     links = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(page(F.col("s_nationkey")).alias("url"), page(F.col("s_suppkey") % 25).alias("target")).distinct()
     seeds = spark.createDataFrame([("http://n0.example.com/", 0)], "url string, seq long")
-    return crawl.crawl(links, seeds, 3, 1000).select("url", "depth")
+    return crawl.crawl(links, seeds, 3, 1000, same_site=False).select("url", "depth")
 
 
 def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,8 +80,8 @@ def topical_overlap(pages: DataFrame, top: int = 60, threshold: float = 0.15) ->
 def simhash64(texts: DataFrame, key: str = "doc_id", top: int = 256) -> DataFrame:
     """key, simhash64_hex (16 digits), simhash64 (the bits as a signed long) and term_count.
 
-    Terms weigh ln(1 + count); the top of them by count, then name, vote with the first 64 bits of their md5. All is done in
-    the row: each of the 64 votes is summed over the row's terms, no row is exploded.
+    Terms weigh ln(1 + count); the top of them by count, then name, vote with the first 64 bits of their md5. Weights are
+    counted in billionths, so that a sum doesn't depend on its order and a tie leaves the bit unset. All is done in the row: each of the 64 votes is summed over the row's terms, no row is exploded.
     """
     rows = texts.select(key, F.explode(F.array(F.array_sort(signal_tokens("text")))).alias("_sorted"))
     starts = F.when(F.size("_sorted") > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size("_sorted") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))).otherwise(F.array().cast("array<int>"))
@@ -89,8 +89,8 @@ def simhash64(texts: DataFrame, key: str = "doc_id", top: int = 256) -> DataFram
     ranked = F.array_sort(F.transform("_starts", lambda i, k: F.struct((i - F.coalesce(F.get("_starts", k + 1), F.size("_sorted"))).alias("o"), F.get("_sorted", i).alias("term"))))
     rows = rows.select(key, F.slice(ranked, 1, top).alias("terms"))
     halves = lambda t, a: F.conv(F.substring(F.md5(t), a, 8), 16, 10).cast("long")
-    rows = rows.select(key, F.transform("terms", lambda x: F.struct(F.log1p(-x["o"]).alias("w"), halves(x["term"], 1).alias("hi"), halves(x["term"], 9).alias("lo"))).alias("terms"))
-    vote = lambda half, bit: F.aggregate("terms", F.lit(0.0), lambda a, x: a + F.when(F.getbit(x[half], F.lit(bit)) == 1, x["w"]).otherwise(-x["w"])) > 0
+    rows = rows.select(key, F.transform("terms", lambda x: F.struct(F.round(F.log1p(-x["o"]) * 1e9).cast("long").alias("w"), halves(x["term"], 1).alias("hi"), halves(x["term"], 9).alias("lo"))).alias("terms"))
+    vote = lambda half, bit: F.aggregate("terms", F.lit(0).cast("long"), lambda a, x: a + F.when(F.getbit(x[half], F.lit(bit)) == 1, x["w"]).otherwise(-x["w"])) > 0
     word = lambda half: sum((F.when(vote(half, b), F.lit(1 << b)).otherwise(0) for b in range(1, 32)), F.when(vote(half, 0), F.lit(1)).otherwise(0)).cast("long")
     rows = rows.select(key, F.size("terms").alias("term_count"), word("hi").alias("hi"), word("lo").alias("lo"))
     return rows.select(key, F.lower(F.concat(F.lpad(F.hex("hi"), 8, "0"), F.lpad(F.hex("lo"), 8, "0"))).alias("simhash64_hex"), F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("simhash64"), "term_count")
