@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scan import added, prefix_scan, xored
-from ._session import partitions, staged, tune
+from ._session import lean, partitions, staged, tune
 
 #: What opens and closes the text of a turn. Fixed values.
 TEMPLATE = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
@@ -145,4 +145,4 @@ def read_back(turns: DataFrame, nodes: DataFrame) -> DataFrame:
     told = nodes.select("node", role.alias("role"), text.alias("text"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("size"))
     rows = turns.join(told, "node").repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return rows.select("conv_id", "role", "text", "loss", "size").mapInArrow(_digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.select("conv_id", "role", "text", "loss", "size").mapInArrow(lean(_digests), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import staged, tune
+from ._session import lean, staged, tune
 from ._text import ALNUM, U64, chunks, mix, prefix_hashes, shingle_hashes, span_hashes, text_parts, word_spans
 
 SHINGLE_WORDS = 3
@@ -197,10 +197,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
         return spark.sparkContext.broadcast(build_index([x[0] for x in rows], [x[1] for x in rows], size))
 
     if n == 1:
-        return docs.mapInArrow(_scan(block(0), True, len(carry)), result)
+        return docs.mapInArrow(lean(_scan(block(0), True, len(carry))), result)
     hits = None
     for k in range(n):
-        part = staged(docs.mapInArrow(_scan(block(k), False, len(carry)), "_rk long, edges array<long>, items array<string>"), "hits")
+        part = staged(docs.mapInArrow(lean(_scan(block(k), False, len(carry))), "_rk long, edges array<long>, items array<string>"), "hits")
         hits = part if hits is None else hits.unionByName(part)
     hits = hits.groupBy("_rk").agg(F.collect_set("edges").alias("edges"), F.collect_set("items").alias("items"))
-    return docs.join(hits, "_rk", "left").select(*carry, "_text", "edges", "items").mapInArrow(_gather, result)
+    return docs.join(hits, "_rk", "left").select(*carry, "_text", "edges", "items").mapInArrow(lean(_gather), result)

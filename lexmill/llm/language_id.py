@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import tune
+from ._session import lean, tune
 from ._text import SHINGLE, U64, chunks, mix
 
 BUCKETS = 1 << 17
+#: Bytes of text labelled together.
+PART = 1 << 20
 #: First and last code points of scripts. Fixed values; what is in none of them is script 0.
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F), ("hebrew", 0x0590, 0x05FF),
@@ -158,7 +160,7 @@ def _counts(languages: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)), np.int64)
         for batch in batches:
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in chunks(batch, most=PART):
                 w = words_of(data, offsets)
                 lang = np.array([number[x] for x in part.column(1).to_pylist()])
                 of = np.repeat(lang, np.diff(w.first))
@@ -195,7 +197,7 @@ def learn(docs: DataFrame, docs_per_language: int = 2000, penalty: float = 8.0,
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k]))))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.filter(draw < share[F.col("lang")])
-    rows = sample.select("text", "lang").mapInArrow(_counts(languages), "k long, bucket long, n long")
+    rows = sample.select("text", "lang").mapInArrow(lean(_counts(languages)), "k long, bucket long, n long")
     t = rows.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)))
     total[t.column("k").to_numpy(), t.column("bucket").to_numpy()] = t.column("n").to_numpy()
@@ -210,7 +212,7 @@ def _label(model, spans: bool):
         m: Model = model.value
         k = len(m.languages)
         for batch in batches:
-            for part, data, offsets in chunks(batch, "_text"):
+            for part, data, offsets in chunks(batch, "_text", PART):
                 w = words_of(data, offsets)
                 n = part.num_rows
                 lang, score, parts = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
@@ -244,4 +246,4 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
     tune(spark)
     rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
     head = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), spans), f"{head}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return rows.mapInArrow(lean(_label(spark.sparkContext.broadcast(model), spans)), f"{head}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")

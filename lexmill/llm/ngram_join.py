@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._session import partitions, staged, tune
+from ._session import lean, partitions, staged, tune
 from ._text import SPACED, U64, chunks, mix, prefix_hashes, shingle_hashes, span_hashes, word_spans
 
 #: Sets below this size are routed by prefix tokens; sizes from there on fall in classes of this ratio.
@@ -317,16 +317,16 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_ke
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("rk"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = staged(docs.mapInArrow(_sets(size), f"doc_id {kind}, rk long, n_shingles long, sid long"), "members")
-    keys = docs.select("text").mapInArrow(_keys(size, percent), "key long, sid long")
-    groups = components(staged(keys.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "a long, b long"), "stars"))
+    members = staged(docs.mapInArrow(lean(_sets(size)), f"doc_id {kind}, rk long, n_shingles long, sid long"), "members")
+    keys = docs.select("text").mapInArrow(lean(_keys(size, percent)), "key long, sid long")
+    groups = components(staged(keys.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(lean(_stars), "a long, b long"), "stars"))
     classes = staged(members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("mult"), F.first("n_shingles").alias("n")), "classes")
     found = groups.join(classes, groups.v == classes.sid).select("sid", F.col("c").alias("comp"), "rk", "mult", "n")
     sizes = found.groupBy("comp").agg(((F.count(F.lit(1)) > BLOCK_MEMBERS) | (F.sum("n") > BLOCK_GRAMS)).alias("large"))
     found = staged(found.join(sizes, "comp"), "found")
     pairs = _blocks(found, percent).join(docs.select("rk", "text"), "rk").select("comp", "i", "j", "side", "sid", "mult", "text")
     pairs = pairs.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    links = staged(pairs.mapInArrow(_join(size, percent), "sid long, root long, links long"), "links")
+    links = staged(pairs.mapInArrow(lean(_join(size, percent)), "sid long, root long, links long"), "links")
     if found.filter("large").isEmpty():
         roots = links.select("sid", "root")
     else:

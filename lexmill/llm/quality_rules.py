@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import staged, tune
+from ._session import lean, staged, tune
 from ._text import SPACED_CASED, U64, chunks, mix, prefix_hashes, shingle_hashes, span_hashes, word_spans
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_upper", "n_digits", "n_marks", "longest_word")
@@ -87,7 +87,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS of each row; null text counts as empty."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.mapInArrow(lean(_count), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features() -> dict[str, Column]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import partitions, staged, tune
+from ._session import lean, partitions, staged, tune
 from ._text import U64, Powers, chunks, mix, prefix_hashes, span_hashes, text_parts
 
 #: Longer texts are cut into overlapping pieces of this size; positions inside a piece have 24 bits.
@@ -338,17 +338,17 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 100, group: in
     n = partitions(spark)
     docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("rk"), "doc_id", "text")
-    rows = docs.select("rk", "text").mapInArrow(_cut(width, gram), "minimiser long, content long, rk long, start long, end long")
-    sifted = staged(rows.repartition(n, "minimiser").sortWithinPartitions("minimiser", "content").mapInArrow(_sift, "minimiser long, content long, rk long, start long, end long, whole boolean, rival boolean"), "sifted")
+    rows = docs.select("rk", "text").mapInArrow(lean(_cut(width, gram)), "minimiser long, content long, rk long, start long, end long")
+    sifted = staged(rows.repartition(n, "minimiser").sortWithinPartitions("minimiser", "content").mapInArrow(lean(_sift), "minimiser long, content long, rk long, start long, end long, whole boolean, rival boolean"), "sifted")
     picks = sifted.filter("rival").groupBy("rk").agg(F.collect_list(F.struct("minimiser", "content", "start", "end")).alias("picks"))
     # Repeated rows share rk; each is cut, and what they share is repeated in any case.
-    bodies = picks.join(docs.select("rk", "text"), "rk").select("rk", "text", "picks").mapInArrow(_bodies, "minimiser long, content long, rk long, start long, body binary")
+    bodies = picks.join(docs.select("rk", "text"), "rk").select("rk", "text", "picks").mapInArrow(lean(_bodies), "minimiser long, content long, rk long, start long, body binary")
     many = sifted.filter("rival").groupBy("minimiser").count().filter(F.col("count") > group)
     bodies = bodies.join(many, "minimiser", "left").withColumn("dealt", F.col("count").isNotNull())
     salt = F.when(F.col("dealt"), F.pmod("content", F.ceil(F.col("count") / group))).otherwise(F.lit(0)).cast("long")
     bodies = bodies.select("minimiser", "rk", "start", "body", "dealt", salt.alias("salt"))
-    marks = staged(bodies.repartition(n, "minimiser", "salt").sortWithinPartitions("minimiser", "salt").mapInArrow(_shards(width), "print long, rk long, start long, end long"), "marks")
-    merged = marks.filter("print <> 0").repartition(n, "print").sortWithinPartitions("print").mapInArrow(_merge, "rk long, start long, end long")
+    marks = staged(bodies.repartition(n, "minimiser", "salt").sortWithinPartitions("minimiser", "salt").mapInArrow(lean(_shards(width)), "print long, rk long, start long, end long"), "marks")
+    merged = marks.filter("print <> 0").repartition(n, "print").sortWithinPartitions("print").mapInArrow(lean(_merge), "rk long, start long, end long")
     found = sifted.filter("whole").select("rk", "start", "end").unionByName(marks.filter("print = 0").select("rk", "start", "end")).unionByName(merged)
     found = found.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    return docs.join(found, "rk", "left").select("doc_id", "text", "found").mapInArrow(_stripper(texts), f"{docs.select('doc_id').schema[0].simpleString().replace(':', ' ', 1)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    return docs.join(found, "rk", "left").select("doc_id", "text", "found").mapInArrow(lean(_stripper(texts)), f"{docs.select('doc_id').schema[0].simpleString().replace(':', ' ', 1)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scan import added, largest, prefix_scan
-from ._session import partitions, run_dir, staged, tune
+from ._session import lean, partitions, run_dir, staged, tune
 
 #: Bytes that are tokenised together, and bytes of a file at which the next one is begun.
 PART_BYTES, FILE_BYTES = 1 << 20, 256 << 20
@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end: int =
         raise ValueError("end is an id of the vocabulary, or ids don't fit the kind")
     path = run_dir(spark, "tokens")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    wrote = rows.mapInArrow(_writer(spark.sparkContext.broadcast(ranks), public_tokenizers.PATTERN, path, end, kind), f"file string, ordinal long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, bytes long")
+    wrote = rows.mapInArrow(lean(_writer(spark.sparkContext.broadcast(ranks), public_tokenizers.PATTERN, path, end, kind)), f"file string, ordinal long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, bytes long")
     return path, staged(wrote, "wrote")
 
 
@@ -119,7 +119,7 @@ def count_tokens(spark: SparkSession, path: str, files: DataFrame, end: int = 50
     tune(spark)
     width = np.dtype(kind).itemsize
     blocks = files.filter("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / (block * width)).cast("long"))).alias("block"), "bytes")
-    found = staged(blocks.repartition(partitions(spark), "file", "block").mapInArrow(_counter(path, end, kind, block), "file string, block long, nth long, spot long, n long, last long"), "blocks")
+    found = staged(blocks.repartition(partitions(spark), "file", "block").mapInArrow(lean(_counter(path, end, kind, block)), "file string, block long, nth long, spot long, n long, last long"), "blocks")
     heads = prefix_scan(found.filter("nth = -1").select("file", "block", "n", "last", F.col("spot").alias("size")), ["file"], ["block"], {"before": added("n"), "stop": largest("last", -1)})
     heads = heads.select(F.col("file").alias("f"), F.col("block").alias("b"), "before", "stop", "n", "last", "size")
     docs = found.filter("nth >= 0").join(heads.drop("n", "last", "size"), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))

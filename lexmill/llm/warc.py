@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import run_dir, staged, tune
+from ._session import lean, run_dir, staged, tune
 
 #: Bytes of an archive at which the next one is begun; gap and size of reads that are joined.
 FILE_BYTES, GAP, READ_BYTES = 128 << 20, 64 << 10, 8 << 20
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
     rows = rows.join(held, "sha", "left")
     refers = F.when(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
     path = run_dir(spark, "warc")
-    index = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_writer(path), "page_id long, url string, file string, offset long, length long, digest string, record_type string, refers_to long, payload_bytes long")
+    index = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(lean(_writer(path)), "page_id long, url string, file string, offset long, length long, digest string, record_type string, refers_to long, payload_bytes long")
     return path, staged(index, "warc-index")
 
 
@@ -166,4 +166,4 @@ def read_archives(path: str, index: DataFrame, payloads: bool = True) -> DataFra
     """Records of a selection of index rows (file, offset, length): page_id, url, record_type, refers_to, payload_bytes,
     payload_digest and payload (null for revisits, or if payloads is False). A null url reads as an empty one."""
     tune(index.sparkSession)
-    return index.select("file", "offset", "length").mapInArrow(_reader(path, payloads), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return index.select("file", "offset", "length").mapInArrow(lean(_reader(path, payloads)), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
