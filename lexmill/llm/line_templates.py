@@ -5,7 +5,8 @@ that reach the same leaf are compared place by place: a token that no other line
 too. What stays is the line's template, unless too little of it stays. Lines of a template that recurs in so many documents
 are dropped from all of them but the first.
 
-Only hashes of lines are shuffled; texts are fetched once for the few leaves with unlike lines, and once for the result.
+Only hashes of lines are shuffled. Texts are fetched for the leaves with unlike lines and joined with the verdicts; where the
+row keys or verdicts are few, they go to the texts instead.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import staged
+from ._session import partitions, staged
 
 #: White space inside a line, and what stands for a variable field.
 SPACE, FIELD = "[ \t\x0b\f\r]+", "<*>"
+#: Row keys and line numbers that are broadcast at most, some 30 MB; beyond that texts are shuffled to them.
+MOST_BROADCAST = 1_000_000
 
 
 def line_tokens(line: Column) -> Column:
@@ -26,24 +29,28 @@ def line_tokens(line: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, depth: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """docs: rk, text. Returns lines (rk, line_no, words, leaf, line) and, for lines that were generalised, (leaf, line, template)."""
+    """docs: rk, text. Returns lines (rk, line_no, words, leaf, line) and, for lines that were generalised, (line, template).
+
+    line, a hash of all tokens, also tells the leaf."""
     lines = docs.select("rk", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    lines = lines.withColumn("tokens", line_tokens(F.col("raw"))).filter(F.size("tokens") > 0)
+    # The one-element generator keeps the tokens from being made again for each use.
+    lines = lines.select("rk", "line_no", F.explode(F.array(line_tokens(F.col("raw")))).alias("tokens")).filter(F.size("tokens") > 0)
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
     lines = staged(lines.select("rk", "line_no", F.size("tokens").alias("words"), leaf.alias("leaf"), F.xxhash64("tokens").alias("line")), "lines")
     # Leaves with two different lines at least; one place of each different line.
     mixed = lines.filter(F.col("words") > depth).groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("leaf")
-    kinds = lines.join(mixed, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min(F.struct("rk", "line_no")).alias("at"))
-    wanted = kinds.groupBy(F.col("at.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "leaf", "line")).alias("picks"))
-    picked = wanted.join(docs, "rk").withColumn("all", F.split("text", "\n", -1)).select("all", F.explode("picks").alias("p"))
-    picked = picked.select("p.leaf", "p.line", line_tokens(F.get("all", F.col("p.line_no"))).alias("tokens")).dropDuplicates(["leaf", "line"])
-    places = staged(picked.select("leaf", "line", F.posexplode("tokens").alias("place", "token")), "places")
-    common = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf", "place", "token", F.lit(True).alias("common"))
-    marked = places.join(common, ["leaf", "place", "token"], "left")
-    parts = F.array_sort(F.collect_list(F.struct("place", F.when(F.col("common"), F.col("token")).otherwise(F.lit(FIELD)).alias("token"))))
-    made = marked.groupBy("leaf", "line").agg(parts.alias("parts"), F.count("common").alias("kept"), F.count(F.lit(1)).alias("n"))
-    made = made.filter(F.col("kept") >= similarity * F.col("n")).select("leaf", "line", F.xxhash64(F.col("parts.token")).alias("template"))
-    return lines, made
+    kinds = lines.join(mixed, "leaf", "left_semi").groupBy("line").agg(F.min(F.struct("rk", "line_no")).alias("at"), F.first("leaf").alias("leaf"))
+    wanted = staged(kinds.groupBy(F.col("at.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "leaf", "line")).alias("picks")), "wanted")
+    texts = docs.join(F.broadcast(wanted.select("rk")), "rk", "left_semi") if wanted.count() <= MOST_BROADCAST else docs
+    picked = wanted.join(texts, "rk").withColumn("all", F.split("text", "\n", -1)).select("all", F.explode("picks").alias("p"))
+    picked = picked.select("p.leaf", "p.line", F.explode(F.array(line_tokens(F.get("all", F.col("p.line_no"))))).alias("tokens"))
+    # Repeated rows share rk, so a line may come twice. A place of a leaf with its token is one hash.
+    places = picked.select("leaf", "line", F.posexplode("tokens").alias("place", "token")).select("line", F.xxhash64("leaf", "place", "token").alias("spot"), (F.col("token") != FIELD).alias("fixed"))
+    places = staged(places.dropDuplicates(["spot", "line"]), "places").repartition(partitions(docs.sparkSession), "spot")
+    common = places.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("spot", F.lit(True).alias("common"))
+    # The template is what the line has in common with others, as one sum of hashes.
+    made = places.join(common, "spot", "left").groupBy("line").agg(F.bit_xor(F.when(F.col("common") & F.col("fixed"), F.col("spot"))).alias("template"), F.count("common").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return lines, made.filter(F.col("kept") >= similarity * F.col("n")).select("line", F.xxhash64(F.coalesce("template", F.lit(0)), F.lit("made")).alias("template"))
 
 
 def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0) -> DataFrame:
@@ -59,18 +66,23 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarit
     docs = docs.withColumn("text", F.col("text").cast("string")).withColumn("_rk", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("_rk").alias("rk"), "text")
     lines, made = line_templates(texts, depth, similarity)
-    ids = docs.select(F.col("_rk").alias("rk"), "doc_id").dropDuplicates(["rk"])
-    rows = lines.join(made, ["leaf", "line"], "left").select("rk", "line_no", "words", F.coalesce("template", "line").alias("template"), "leaf")
-    rows = staged(rows.join(ids, "rk"), "templates")
+    rows = staged(lines.join(made, "line", "left").select("rk", "line_no", "words", "leaf", F.coalesce("template", "line").alias("template")), "templates")
+    # Only templates in two documents at least need to know their documents' ids.
+    twice = rows.groupBy("leaf", "template").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).filter("a <> b").select("leaf", "template")
+    rows_twice = rows.join(twice, ["leaf", "template"], "left_semi")
+    ids = docs.select(F.col("_rk").alias("rk"), "doc_id").distinct()
+    holders = rows_twice.select("leaf", "template", "rk").distinct().join(ids, "rk")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
-    often = rows.groupBy("leaf", "template", "rk").agg(F.first("doc_id").alias("doc_id")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter(F.col("n") >= min_docs)
-    gone = rows.join(often.select("leaf", "template", F.col("first.rk").alias("home")), ["leaf", "template"]).filter("rk <> home")
+    often = holders.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter(F.col("n") >= min_docs)
+    gone = rows_twice.join(often.select("leaf", "template", F.col("first.rk").alias("home")), ["leaf", "template"]).filter("rk <> home")
     gone = gone.groupBy("rk").agg(F.collect_set("line_no").alias("gone"), F.sum("words").alias("out"))
     if most < 1:
-        total = rows.groupBy("rk").agg(F.sum("words").alias("words"))
+        total = lines.groupBy("rk").agg(F.sum("words").alias("words"))
         gone = gone.join(total, "rk").filter(F.col("out") <= most * F.col("words"))
+    gone = staged(gone.select(F.col("rk").alias("_rk"), "gone"), "gone")
+    size = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     split = F.split("text", "\n", -1)
-    out = docs.join(gone.select(F.col("rk").alias("_rk"), "gone"), "_rk", "left")
+    out = docs.join(F.broadcast(gone) if size <= MOST_BROADCAST else gone, "_rk", "left")
     kept = F.array_join(F.transform(F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"])), lambda s: s["x"]), "\n")
     out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long"))
     return out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).drop("_rk", "gone")
