@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import tune
-from ._text import CHUNK, U64, chunks, mix
+from ._session import lean, tune
+from ._text import U64, chunks, mix
 
 MARK, NO_PIECE = 0x2581, 0x110000
 HASH = U64(0x9E3779B97F4A7C15)
-TABLE_BITS = 19
+TABLE_BITS = 18
+#: Bytes of text segmented together; the lattice takes some hundred times as much.
+CHUNK = 1 << 19
 
 
 def vocabulary_path() -> str:
@@ -172,7 +174,8 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     node = source + owner[source]
     goal = target + owner[target - 1]
     width = target - (np.cumsum(length) - length)[owner[source]]  # code points from the unit's start to the goal
-    order = np.argsort((width << 40) | (goal << 6) | (target - source))  # all different: no order is left to chance
+    # All different, so no order is left to chance; long pieces first, as they are drawn most.
+    order = np.argsort((width << 40) | (goal << 6) | (63 - np.minimum(target - source, 63)), kind="stable")
     node, goal, token, width = node[order], goal[order], token[order], width[order]
     weight = np.where(token >= 0, v.weights[np.maximum(token, 0)], 3 * v.weights.min())
     group = np.flatnonzero(np.append(True, goal[1:] != goal[:-1]))
@@ -190,15 +193,15 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
         sums = np.add.reduceat(x, g)
         reach[goal[a + g]] = top + np.log(sums)
         share[a:b] = x / np.repeat(sums, np.diff(g, append=b - a))
-    # Running sums inside each group, in whole steps of 2 ** -32 above the group's number: the same in any chunk.
+    # Running sums inside each group, in whole steps of 2 ** -32: the same in any chunk.
     last = np.append(group[1:], len(goal)) - 1
     for k in range(1, int((last - group).max()) + 1):
         more = group[group + k <= last] + k
         share[more] += share[more - 1]
-    ladder = (rank.astype(U64) << U64(32)) + np.minimum(share * 2.0**32, 2.0**32 - 1).astype(U64)
-    ladder[last] = np.arange(1, len(group) + 1).astype(U64) << U64(32)
+    ladder = np.minimum(share * 2.0**32, 2.0**32 - 1).astype(U64)
+    ladder[last] = U64(1) << U64(32)
     rung = np.zeros(len(reach), np.int64)
-    rung[goal[group]] = np.arange(len(group))
+    rung[goal[group]] = group
     # Draws of all occurrences, from the ends of units backward.
     low = (np.cumsum(length) - length + np.arange(len(length)))[kind]
     here = low + size
@@ -211,7 +214,11 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     while len(live):
         place = (origin[live] + here[live] - low[live]).astype(U64)
         u = mix(mix(salt[live] + place * HASH)) >> U64(32)
-        e = np.searchsorted(ladder, (rung[here[live]].astype(U64) << U64(32)) + u, "right")
+        e = rung[here[live]]
+        on = np.flatnonzero(ladder[e] <= u)
+        while len(on):
+            e[on] += 1
+            on = on[ladder[e[on]] <= u[on]]
         found.append(token[e])
         whose.append(live)
         step.append(np.full(len(live), k))
@@ -254,7 +261,7 @@ def _encoder(vocabulary, carry: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
         for batch in batches:
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in chunks(batch, most=CHUNK):
                 keys = part.column(part.num_columns - 1).to_numpy().view(U64)
                 if len(data) <= 2 * CHUNK or part.num_rows > 1 or not v.splits:
                     ids, count = encode(v, data, offsets, keys, np.zeros(len(keys), np.int64))
@@ -284,7 +291,7 @@ def encode_sampled(docs: DataFrame, vocabulary: str | None = None, seed: int = 0
     text = F.col("text").cast("string")
     rows = docs.select(*(F.col(c) if c != "text" else text.alias("text") for c in carry), *([] if "text" in carry else [text.alias("text")]), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("_key"))
     head = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
-    return rows.mapInArrow(_encoder(v, len(carry)), f"{head}ids array<int>, n_tokens long")
+    return rows.mapInArrow(lean(_encoder(v, len(carry))), f"{head}ids array<int>, n_tokens long")
 
 
 def decode(raw: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -310,4 +317,4 @@ def decode_pieces(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
     tune(rows.sparkSession)
     raw = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary or vocabulary_path(), 1.0).raw)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_decoder(raw, rows.columns.index("ids")), f"{head}, decoded string")
+    return rows.mapInArrow(lean(_decoder(raw, rows.columns.index("ids"))), f"{head}, decoded string")
