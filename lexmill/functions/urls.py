@@ -26,13 +26,13 @@ def _with_scheme(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
 
 
+#: Scheme, user, then a bracketed or plain host; one pattern, as the expression is used many times over.
+HOST = r"(?s)^(?:[^:/?#]*://)?(?:[^@/?#]*@)?(?:\[([^\]]*)\]|([^:/?#\[]*)).*$"
+
+
 def host(url: Column | str) -> Column:
     """Lower-case host of a URL or bare host, without user, port and brackets; "" if there is none."""
-    u = _text(url)
-    authority = F.regexp_extract(_with_scheme(u), r"^[^:/?#]*://([^/?#]*)", 1)
-    bare = F.regexp_replace(authority, r"^.*@", "")
-    out = F.when(F.startswith(bare, F.lit("[")), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(bare, r":.*$", ""))
-    return F.when(u == "", "").otherwise(F.lower(out))
+    return F.regexp_replace(F.lower(_text(url)), HOST, "$1$2")
 
 
 def is_ip(name: Column) -> Column:
@@ -47,12 +47,9 @@ def registrable_domain(url: Column | str, suffixes: tuple[str, ...] = SUFFIXES)
     """The label before the longest public suffix, with that suffix; an IP address as it is; "" for a bare suffix or label.
     A last label that no suffix of several labels covers is a suffix."""
     name = host(url)
-    labels = F.split(name, r"\.")
-    tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
-    listed = lambda n: (F.size(labels) >= n) & tail(n).isin(*suffixes)
-    size = F.when(listed(4), 4).when(listed(3), 3).when(listed(2), 2).otherwise(1)
-    out = F.when(F.size(labels) > size, F.array_join(F.slice(labels, F.greatest(F.size(labels) - size, F.lit(1)), size + 1), ".")).otherwise("")
-    return F.when(name == "", "").when(is_ip(name), name).otherwise(out)
+    # The leftmost label that a suffix or a last label follows: the longest suffix wins.
+    pattern = r"(?:^|\.)([^.]+\.(?:" + "|".join(x.replace(".", r"\.") for x in suffixes) + r"|[^.]+))$"
+    return F.when(is_ip(name), name).when(name.isin(*suffixes), "").otherwise(F.regexp_extract(name, pattern, 1))
 
 
 def with_registrable_domain(rows: DataFrame, url: str, suffixes: DataFrame, name: str = "domain") -> DataFrame:
