@@ -9,7 +9,9 @@ import getpass
 import sys
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,23 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context: they may have neither the driver's folders nor its module path."""
+    context = spark.sparkContext
+    if getattr(context, "_lexmill", None):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="lexmill-")) / "lexmill_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._lexmill = True
+
+
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that long texts make small batches and short rows large ones."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
