@@ -13,13 +13,13 @@ from lexmill.llm.ngram_join import similarity_classes
 from lexmill.llm.sampled_pieces import encode_sampled
 
 #: Share of its letters that a text's language must have.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.34
 #: A text of which repeated lines make up more than this share of words is a copy, and is left to the stage that joins copies.
 COPY_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and mixtures in which no language has half of the letters, go."""
+    """Texts without letters, and mixtures in which no language has a third of the letters, go."""
     found = language_id.identify(docs, language_id.learn(docs), carry=tuple(docs.columns), spans=False)
     return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 

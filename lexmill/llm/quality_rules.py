@@ -176,7 +176,10 @@ def learn(x: dict[str, np.ndarray], keep: np.ndarray, most_rules: int = 12, most
                 best, n = worth, k
         if not n:
             break
-        rule = Rule(tuple(conditions[:n]), False)
+        tight: dict[tuple[str, str], float] = {}
+        for f, op, t in conditions[:n]:
+            tight[f, op] = min(t, tight.get((f, op), t)) if op == "<=" else max(t, tight.get((f, op), t))
+        rule = Rule(tuple((f, op, t) for (f, op), t in tight.items()), False)
         hit = rule.matches(x) & left
         right = int((hit & bad).sum())
         if (best + 1) / 2 < precision or hit.sum() < support or right < precision * hit.sum():
