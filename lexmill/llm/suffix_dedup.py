@@ -4,6 +4,7 @@ A width-byte window is repeated if an equal one starts anywhere else. Sorting al
 reach, and not needed: equal windows share their minimiser, the gram-byte string of least hash inside them.
 
 1. Each text is cut into runs of windows with one minimiser. A run is kept as a row (minimiser, content hash, place).
+   What a chunk of texts has twice is settled there: one row goes on for it, the others are only passed through.
 2. Rows sorted by minimiser and content are streamed. A content seen twice is repeated throughout; a minimiser with
    one content, seen once, is unique; contents that share a minimiser but differ go on, one of each, as candidates.
 3. Candidates of a minimiser meet in a shard. A shard's suffix array is built by Larsson-Sadakane refinement, common
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import lean, partitions, staged, tune
-from ._text import U64, Powers, chunks, mix, prefix_hashes, span_hashes, text_parts
+from ._text import BASE, U64, Powers, chunks, mix, prefix_hashes, span_hashes, text_parts
 
 #: Longer texts are cut into overlapping pieces of this size; positions inside a piece have 24 bits.
 PIECE = 4 << 20
 SHARD_BYTES = 4 << 20
+ROW = ["minimiser", "content", "rk", "start", "end"]
+#: Of a run in its chunk: the only one of its content, the first of several, or another of several (dealt by a hash of its own).
+ALONE, TWICE, PASSED = 0, 1, 2
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -67,7 +71,12 @@ def _cut(width: int, gram: int):
                     text, start, end, minimiser, content = runs(piece, ends, width, gram)
                     if len(text):
                         base = at - ends[text]
-                        yield pa.record_batch([pa.array(minimiser.view(np.int64)), pa.array(content.view(np.int64)), rk.take(pa.array(text)), pa.array(start + base), pa.array(end + base)], ["minimiser", "content", "rk", "start", "end"])
+                        _, first, kind, count = np.unique(content ^ (minimiser * U64(3)), return_index=True, return_inverse=True, return_counts=True)
+                        state = np.where(count[kind] > 1, PASSED, ALONE).astype(np.int8)
+                        state[first[count > 1]] = TWICE
+                        spread = mix(content + (start + base).astype(U64) * U64(BASE) + rk.take(pa.array(text)).to_numpy().view(U64))
+                        key = np.where(state == PASSED, spread, minimiser)
+                        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), rk.take(pa.array(text)), pa.array(start + base), pa.array(end + base), pa.array(state)], [*ROW, "state"])
 
     return cut
 
@@ -76,7 +85,6 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (minimiser, content): whole (its content is repeated), rival (one row of each content whose minimiser has others)."""
     held: pa.RecordBatch | None = None
     before = (None, None)  # minimiser and content of the row before the held ones
-    names = ["minimiser", "content", "rk", "start", "end"]
 
     def judge(t: pa.RecordBatch, before: tuple, after: tuple) -> pa.RecordBatch:
         m, c = (t.column(i).to_numpy() for i in (0, 1))
@@ -86,7 +94,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same_c[1:n] = same_m[1:n] & (c[1:] == c[:-1])
         same_m[0], same_m[n] = before[0] == m[0], after[0] == m[-1]
         same_c[0], same_c[n] = before == (m[0], c[0]), after == (m[-1], c[-1])
-        whole = same_c[:-1] | same_c[1:]
+        state = t.column(5).to_numpy()
+        whole = same_c[:-1] | same_c[1:] | (state != ALONE)
         # A run of equal contents has a rival if its minimiser goes on before or after it.
         other = (same_m & ~same_c)
         first = ~same_c[:-1]
@@ -94,10 +103,10 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rivals = np.zeros(run[-1] + 2, bool)
         rivals[run[other[:-1]]] = True
         rivals[run[other[1:]]] = True
-        rival = first & (rivals[run])
+        rival = first & rivals[run] & (state != PASSED)
         keep = whole | rival
         out = t.filter(pa.array(keep))
-        return pa.record_batch([*out.columns, pa.array(whole[keep]), pa.array(rival[keep])], [*names, "whole", "rival"])
+        return pa.record_batch([*out.columns[:5], pa.array(whole[keep]), pa.array(rival[keep])], [*ROW, "whole", "rival"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -116,7 +125,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held.num_rows > 4096 and held.num_rows > 2:  # all but the first and the last two rows of it are repeated, and no rivals
             mid = held.slice(1, held.num_rows - 2)
             ones = pa.array(np.ones(mid.num_rows, bool))
-            yield pa.record_batch([*mid.columns, ones, pa.array(np.zeros(mid.num_rows, bool))], [*names, "whole", "rival"])
+            yield pa.record_batch([*mid.columns[:5], ones, pa.array(np.zeros(mid.num_rows, bool))], [*ROW, "whole", "rival"])
             held = pa.Table.from_batches([held.slice(0, 1), held.slice(held.num_rows - 1)]).combine_chunks().to_batches()[0]
     if held is not None:
         yield judge(held, before, (None, None))
@@ -338,7 +347,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 100, group: in
     n = partitions(spark)
     docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("rk"), "doc_id", "text")
-    rows = docs.select("rk", "text").mapInArrow(lean(_cut(width, gram)), "minimiser long, content long, rk long, start long, end long")
+    rows = docs.select("rk", "text").mapInArrow(lean(_cut(width, gram)), "minimiser long, content long, rk long, start long, end long, state tinyint")
     sifted = staged(rows.repartition(n, "minimiser").sortWithinPartitions("minimiser", "content").mapInArrow(lean(_sift), "minimiser long, content long, rk long, start long, end long, whole boolean, rival boolean"), "sifted")
     picks = sifted.filter("rival").groupBy("rk").agg(F.collect_list(F.struct("minimiser", "content", "start", "end")).alias("picks"))
     # Repeated rows share rk; each is cut, and what they share is repeated in any case.
