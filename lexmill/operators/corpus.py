@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import checkpointed
 
 #: Weights and length normalisation of fields. Fixed values.
 FIELD_WEIGHTS = {"serp_title": 3.0, "page_title": 3.0, "h1": 2.5, "meta_description": 1.5, "serp_snippet": 1.5, "related_searches": 1.2, "people_also_ask": 1.1, "trends_related": 1.2, "body_text": 1.0, "anchor_text": 1.4}
@@ -154,20 +155,22 @@ def neighbour_counts(table: DataFrame, window: int = 5, only: DataFrame | None =
 def cooccurrence(table: DataFrame, seeds: list[str], window: int = 5, top_n: int | None = 30) -> DataFrame:
     """Neighbours of seed words: term, cooccurrence_count (over all seeds), jaccard_similarity (of the sets of neighbours, the
     largest over seeds), context_terms (seeds it stands by), total_word_count, density_pct. Seeds themselves are left out.
-    Rank by count desc, jaccard desc, term. Contexts are gathered for seeds and their neighbours only.
+    Rank by count desc, jaccard desc, term. Contexts are gathered for seeds and their neighbours only, in one pass each; the pairs of
+    the seeds, on which all else is built, are checkpointed.
     """
     spark = table.sparkSession
     seeds = list(dict.fromkeys(s.lower() for s in seeds))
     names = spark.createDataFrame([(s,) for s in seeds], "term string")
-    near = neighbour_counts(table, window, F.broadcast(names))
+    near = checkpointed(neighbour_counts(table, window, F.broadcast(names)))
     kept = near.filter(~F.col("other").isin(*seeds)) if seeds else near
-    terms = near.select("term").union(kept.select("other")).distinct()
-    context = neighbour_counts(table, window, terms).select("term", "other")
-    sizes = context.groupBy("term").agg(F.count(F.lit(1)).alias("size"))
-    both = kept.select(F.col("term").alias("seed"), F.col("other").alias("word"), "n")
-    common = both.join(context.select(F.col("term").alias("seed"), F.col("other").alias("c")), "seed").join(context.select(F.col("term").alias("word"), F.col("other").alias("c")), ["word", "c"]).groupBy("seed", "word").agg(F.count(F.lit(1)).alias("common"))
-    rows = both.join(common, ["seed", "word"], "left").join(sizes.select(F.col("term").alias("seed"), F.col("size").alias("a")), "seed").join(sizes.select(F.col("term").alias("word"), F.col("size").alias("b")), "word")
-    rows = rows.withColumn("common", F.coalesce("common", F.lit(0))).withColumn("j", F.col("common") / (F.col("a") + F.col("b") - F.col("common")))
+    # Which seeds a word stands by, for the words that neighbours stand by.
+    by = near.groupBy("other").agg(F.collect_set("term").alias("by"))
+    context = neighbour_counts(table, window, kept.select(F.col("other").alias("term")))
+    shared = F.create_map(*(x for s in seeds for x in (F.lit(s), F.count_if(F.array_contains("by", s))))) if seeds else F.create_map().cast("map<string,bigint>")
+    words = context.join(by, "other", "left").groupBy(F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("b"), shared.alias("shared"))
+    sizes = near.groupBy(F.col("term").alias("seed")).agg(F.count(F.lit(1)).alias("a"))
+    rows = kept.select(F.col("term").alias("seed"), F.col("other").alias("word"), "n").join(sizes, "seed").join(words, "word").withColumn("common", F.element_at("shared", F.col("seed")))
+    rows = rows.withColumn("j", F.col("common") / (F.col("a") + F.col("b") - F.col("common")))
     out = rows.groupBy(F.col("word").alias("term")).agg(F.sum("n").cast("long").alias("cooccurrence_count"), F.max("j").alias("jaccard_similarity"), F.sort_array(F.collect_set("seed")).alias("context_terms"))
     out = out.crossJoin(F.broadcast(word_total(table))).withColumn("density_pct", 100.0 * F.col("cooccurrence_count") / F.col("total_word_count"))
     return out if top_n is None else out.orderBy(F.desc("cooccurrence_count"), F.desc("jaccard_similarity"), "term").limit(top_n)
