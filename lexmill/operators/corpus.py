@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import STOPWORDS, tokens
 from ..session import checkpointed
 
 #: Weights and length normalisation of fields. Fixed values.
@@ -25,6 +25,22 @@ def token_table(corpus: DataFrame, words: Column | None = None) -> DataFrame:
     return out.withColumn("n_tokens", F.size("tokens"))
 
 
+def with_lemmas(table: DataFrame, lemmas: DataFrame, most: int = 1_000_000, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """A token table with each word in its dictionary form (lemmas: word, lemma; words that aren't in it stay), then without stopwords.
+
+    A dictionary of most rows at most goes to the rows as one map; a larger one is joined word by word."""
+    lemmas = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma"))
+    if lemmas.limit(most + 1).count() <= most:
+        entries = lemmas.agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_forms"))
+        out = table.crossJoin(F.broadcast(entries)).withColumn("tokens", F.transform("tokens", lambda t: F.coalesce(F.try_element_at("_forms", t), t))).drop("_forms")
+    else:
+        words = table.select("source_idx", F.posexplode("tokens").alias("_i", "word")).join(lemmas, "word", "left")
+        whole = words.groupBy("source_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("lemma", "word").alias("w")))), lambda x: x["w"]).alias("_tokens"))
+        out = table.join(whole, "source_idx", "left").withColumn("tokens", F.coalesce("_tokens", "tokens")).drop("_tokens")
+    kept = F.filter("tokens", lambda t: ~t.isin(*stopwords)) if stopwords else F.col("tokens")
+    return out.withColumn("tokens", F.explode(F.array(kept))).withColumn("n_tokens", F.size("tokens"))
+
+
 def runs(rows: DataFrame, words: Column, name: str = "term") -> DataFrame:
     """One row for each different entry of words in a row: the entry as name, and how often it is there as n."""
     keep = [c for c in rows.columns if c not in ("tokens", name, "n")]

@@ -32,6 +32,13 @@ def test_tokens(spark, docs):
     assert {r.source_idx: r.tokens for r in corpus.token_table(docs).collect()} == {i: words(t) for i, t, _, _ in SOURCES}
 
 
+def test_lemmas(spark, docs):
+    forms = spark.createDataFrame([("tools", "tool"), ("discover", "the"), ("tools", "tooling")], "word string, lemma string")
+    for most in (10, 0):
+        got = {r.source_idx: r.tokens for r in corpus.with_lemmas(corpus.token_table(docs), forms, most).collect()}
+        assert got[0] == ["seo", "tool", "analysis"] and got[1] == ["seo", "tool", "research", "seo"] and got[3] == got[4] == []
+
+
 def test_ngrams_and_tfidf(docs):
     table = corpus.token_table(docs)
     got = {r.ngram: r for r in corpus.ngrams_with_sources(table, 2, 1, 1).collect()}
