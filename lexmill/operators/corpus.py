@@ -19,9 +19,9 @@ TITLE_B, SNIPPET_B, BODY_B = 0.5, 0.6, 0.75
 
 
 def token_table(corpus: DataFrame, words: Column | None = None) -> DataFrame:
-    """source_idx, field, weight, tokens and n_tokens of each source. words: another tokenizer's array."""
+    """source_idx, field, weight, tokens and n_tokens of each source; null fields are "", null weights 1. words: another tokenizer's array."""
     # The one-element generator keeps the optimizer from copying the tokenizer into filters and lambdas further on.
-    out = corpus.select("source_idx", "field", F.col("weight").cast("double").alias("weight"), F.explode(F.array(tokens("text") if words is None else words)).alias("tokens"))
+    out = corpus.select("source_idx", F.coalesce("field", F.lit("")).alias("field"), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"), F.explode(F.array(tokens("text") if words is None else words)).alias("tokens"))
     return out.withColumn("n_tokens", F.size("tokens"))
 
 
