@@ -37,9 +37,10 @@ def line_templates(docs: DataFrame, depth: int, similarity: float) -> tuple[Data
     lines = lines.select("rk", "line_no", F.explode(F.array(line_tokens(F.col("raw")))).alias("tokens")).filter(F.size("tokens") > 0)
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
     lines = staged(lines.select("rk", "line_no", F.size("tokens").alias("words"), leaf.alias("leaf"), F.xxhash64("tokens").alias("line")), "lines")
-    # Leaves with two different lines at least; one place of each different line.
-    mixed = lines.filter(F.col("words") > depth).groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("leaf")
-    kinds = lines.join(mixed, "leaf", "left_semi").groupBy("line").agg(F.min(F.struct("rk", "line_no")).alias("at"), F.first("leaf").alias("leaf"))
+    # One place of each different line, for leaves with two of them at least. A line that very many documents have is one row here.
+    kinds = staged(lines.filter(F.col("words") > depth).groupBy("line").agg(F.min(F.struct("rk", "line_no")).alias("at"), F.first("leaf").alias("leaf")), "kinds")
+    mixed = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf")
+    kinds = kinds.join(mixed, "leaf", "left_semi")
     wanted = staged(kinds.groupBy(F.col("at.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "leaf", "line")).alias("picks")), "wanted")
     texts = docs.join(F.broadcast(wanted.select("rk")), "rk", "left_semi") if wanted.count() <= MOST_BROADCAST else docs
     picked = wanted.join(texts, "rk").withColumn("all", F.split("text", "\n", -1)).select("all", F.explode("picks").alias("p"))
