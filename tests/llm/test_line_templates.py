@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from lexmill.llm import line_templates
 from lexmill.llm.line_templates import drop_templates, oracle
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("leaf", StringType()), StructField("n_lines", StringType())])
@@ -67,8 +68,9 @@ def corpus():
     return [*rows, (100, None), (101, ""), (102, "\n\n"), (103, rows[0][1]), (104, rows[0][1]), (105, rows[0][1])]
 
 
-@pytest.mark.parametrize("most", [1.0, 0.5])
-def test_as_brute_force_and_sql(spark, most):
+@pytest.mark.parametrize("most,broadcast", [(1.0, 1_000_000), (0.5, 0)])
+def test_as_brute_force_and_sql(spark, monkeypatch, most, broadcast):
+    monkeypatch.setattr(line_templates, "MOST_BROADCAST", broadcast)
     rows = corpus()
     df = spark.createDataFrame([(*x, "clash", "clash") for x in rows], DOCS).repartition(3)
     got = [(x.doc_id, x.text, x.n_lines, x.n_dropped) for x in drop_templates(df, most=most).collect()]
