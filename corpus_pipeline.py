@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import language_id
@@ -14,7 +14,7 @@ from lexmill.llm.sampled_pieces import encode_sampled
 
 #: Share of its letters that a text's language must have.
 LEAST_SHARE = 0.34
-#: A text of which repeated lines make up more than this share of words is a copy, and is left to the stage that joins copies.
+#: A text of which repeated lines make up more than this share of words may be a copy. It is left to the stage that joins copies if that takes it.
 COPY_SHARE = 0.5
 
 
@@ -24,18 +24,39 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 
 
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of linked documents, by row key rk, and the keys of those that stay."""
+    found = staged(similarity_classes(docs, row_key=True), "classes")
+    stay = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("rk").alias("rk")).select("rk")
+    return found, stay.union(found.filter("doc_id is null and component_id is null").select("rk"))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first."""
-    return drop_templates(docs, most=COPY_SHARE).select(docs.columns)
+    """Lines of recurring templates go from all documents but the first.
+
+    A text that would lose more than COPY_SHARE is left whole only if the join of copies takes it. Where the text that stays
+    of a class is one of these, all of them in its class lose their lines; other classes are as they were, and so still link.
+    """
+    columns = docs.columns
+    docs = staged(drop_templates(docs, most=COPY_SHARE, rest=True), "lines").withColumn("_rk", _key())
+    whole = docs.filter("rest is not null").select(F.col("_rk").alias("rk")).distinct()
+    if whole.isEmpty():
+        return docs.select(columns)
+    found, stay = _classes(docs)
+    found = found.join(whole, "rk", "left_semi").select("rk", "component_id").distinct()
+    kept = found.join(stay, "rk", "left_semi").select(F.col("component_id").alias("c")).distinct()
+    cut = found.join(kept, F.col("component_id").eqNullSafe(F.col("c")), "left_semi").select(F.col("rk").alias("_rk"), F.lit(True).alias("_cut")).distinct()
+    return docs.join(cut, "_rk", "left").withColumn("text", F.when(F.col("_cut"), F.col("rest")).otherwise(F.col("text"))).select(columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the one with the least doc_id stays; rows without a doc_id all stay, unless they repeat."""
-    found = similarity_classes(docs, row_key=True)
-    stay = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("rk").alias("_rk")).select("_rk")
-    stay = stay.union(found.filter("doc_id is null and component_id is null").select("rk"))
-    keyed = docs.withColumn("_rk", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
-    return keyed.join(stay, "_rk", "left_semi").dropDuplicates(["_rk"]).select(docs.columns)
+    _, stay = _classes(docs)
+    return docs.withColumn("_rk", _key()).join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").dropDuplicates(["_rk"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

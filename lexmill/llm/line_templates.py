@@ -54,16 +54,17 @@ def line_templates(docs: DataFrame, depth: int, similarity: float) -> tuple[Data
     return lines, made.filter(F.col("kept") >= similarity * F.col("n")).select("line", F.xxhash64(F.coalesce("template", F.lit(0)), F.lit("made")).alias("template"))
 
 
-def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0) -> DataFrame:
+def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0, rest: bool = False) -> DataFrame:
     """Texts without the lines whose template recurs in min_docs documents or more; the first document (least doc_id) keeps its lines.
 
     docs: doc_id, text and any other columns, which stay. Returns all of docs' columns, text cleaned, with n_lines (lines
     before) and n_dropped; a column of docs with one of these names is replaced. Lines are parted by \\n and put together with
     it again; blank lines are never dropped. most: a text of which more than this share of words would go is a copy rather
-    than a page with boilerplate, and is left whole. Null text stays null, with no lines. Rows of equal doc_id and text
+    than a page with boilerplate, and is left whole; rest adds a column of that name, what would be left of such a text (null for
+    others). Null text stays null, with no lines. Rows of equal doc_id and text
     are one document; null doc_ids come last. An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_rk")
+    docs = docs.drop("n_lines", "n_dropped", "_rk", *(["rest"] if rest else []))
     docs = docs.withColumn("text", F.col("text").cast("string")).withColumn("_rk", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("_rk").alias("rk"), "text")
     lines, made = line_templates(texts, depth, similarity)
@@ -79,14 +80,20 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarit
     gone = gone.groupBy("rk").agg(F.collect_set("line_no").alias("gone"), F.sum("words").alias("out"))
     if most < 1:
         total = lines.groupBy("rk").agg(F.sum("words").alias("words"))
-        gone = gone.join(total, "rk").filter(F.col("out") <= most * F.col("words"))
-    gone = staged(gone.select(F.col("rk").alias("_rk"), "gone"), "gone")
+        gone = gone.join(total, "rk").withColumn("whole", F.col("out") > most * F.col("words"))
+        gone = gone if rest else gone.filter("not whole")
+    else:
+        gone = gone.withColumn("whole", F.lit(False))
+    gone = staged(gone.select(F.col("rk").alias("_rk"), "gone", "whole"), "gone")
     size = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     split = F.split("text", "\n", -1)
     out = docs.join(F.broadcast(gone) if size <= MOST_BROADCAST else gone, "_rk", "left")
     kept = F.array_join(F.transform(F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"])), lambda s: s["x"]), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).drop("_rk", "gone")
+    drops = F.col("gone").isNotNull() & ~F.col("whole")
+    out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.when(drops, F.size("gone")), F.lit(0)).cast("long"))
+    if rest:
+        out = out.withColumn("rest", F.when(F.col("whole"), kept))
+    return out.withColumn("text", F.when(drops, kept).otherwise(F.col("text"))).drop("_rk", "gone", "whole")
 
 
 def oracle(min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0, documents: str = "documents") -> str:
