@@ -16,6 +16,8 @@ from lexmill.llm.sampled_pieces import encode_sampled
 LEAST_SHARE = 0.34
 #: A text of which repeated lines make up more than this share of words may be a copy. It is left to the stage that joins copies if that takes it.
 COPY_SHARE = 0.5
+#: Words of a shingle, and the Jaccard similarity in percent from which texts are copies.
+SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def _key() -> Column:
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of linked documents, by row key rk, and the keys of those that stay."""
-    found = staged(similarity_classes(docs, row_key=True), "classes")
+    found = staged(similarity_classes(docs, SHINGLE, PERCENT, row_key=True), "classes")
     stay = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("rk").alias("rk")).select("rk")
     return found, stay.union(found.filter("doc_id is null and component_id is null").select("rk"))
 

@@ -31,3 +31,15 @@ def test_repeated_lines_go_unless_the_join_takes_the_text(spark):
     left = {r.doc_id: r.text for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
     for line in shared:
         assert sum(line in t for t in left.values()) == 1
+
+
+def test_copies_link_by_five_words(spark):
+    base = words(7, 200).split()
+    # four and eight words are others
+    edited = {n: [w if k % (200 // n) != n else f"new{k}" for k, w in enumerate(base)] for n in (4, 8)}
+    inserted = base[:100] + words(8, 37).split() + base[100:]
+    rows = [(0, " ".join(base)), (1, " ".join(inserted)), (2, " ".join(edited[4])), (3, " ".join(edited[8]))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    share = {i: len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in sets}
+    assert 0.8 <= share[1] < 0.85 and 0.8 <= share[2] < 0.85 and share[3] < 0.8
+    assert set(staged_rows(spark, corpus_pipeline.near_copies, rows)) == {0, 3}
