@@ -16,6 +16,8 @@ from lexmill.llm.sampled_pieces import encode_sampled
 LEAST_SHARE = 0.34
 #: A text of which repeated lines make up more than this share of words may be a copy. It is left to the stage that joins copies if that takes it.
 COPY_SHARE = 0.5
+#: Lines of more words than this are passages, which go from two documents on; shorter ones go from three.
+LONG_LINE = 50
 #: Words of a shingle, and the Jaccard similarity in percent from which texts are copies.
 SHINGLE, PERCENT = 5, 80
 
@@ -44,7 +46,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of a class is one of these, all of them in its class lose their lines; other classes are as they were, and so still link.
     """
     columns = docs.columns
-    docs = staged(drop_templates(docs, most=COPY_SHARE, rest=True), "lines").withColumn("_rk", _key())
+    docs = staged(drop_templates(docs, most=COPY_SHARE, rest=True, long=LONG_LINE), "lines").withColumn("_rk", _key())
     whole = docs.filter("rest is not null").select(F.col("_rk").alias("rk")).distinct()
     if whole.isEmpty():
         return docs.select(columns)

@@ -54,14 +54,14 @@ def line_templates(docs: DataFrame, depth: int, similarity: float) -> tuple[Data
     return lines, made.filter(F.col("kept") >= similarity * F.col("n")).select("line", F.xxhash64(F.coalesce("template", F.lit(0)), F.lit("made")).alias("template"))
 
 
-def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0, rest: bool = False) -> DataFrame:
+def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0, rest: bool = False, long: int | None = None) -> DataFrame:
     """Texts without the lines whose template recurs in min_docs documents or more; the first document (least doc_id) keeps its lines.
 
     docs: doc_id, text and any other columns, which stay. Returns all of docs' columns, text cleaned, with n_lines (lines
     before) and n_dropped; a column of docs with one of these names is replaced. Lines are parted by \\n and put together with
     it again; blank lines are never dropped. most: a text of which more than this share of words would go is a copy rather
     than a page with boilerplate, and is left whole; rest adds a column of that name, what would be left of such a text (null for
-    others). Null text stays null, with no lines. Rows of equal doc_id and text
+    others). long: lines of more than so many words go from two documents on. Null text stays null, with no lines. Rows of equal doc_id and text
     are one document; null doc_ids come last. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped", "_rk", *(["rest"] if rest else []))
@@ -73,9 +73,10 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarit
     twice = rows.groupBy("leaf", "template").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).filter("a <> b").select("leaf", "template")
     rows_twice = rows.join(twice, ["leaf", "template"], "left_semi")
     ids = docs.select(F.col("_rk").alias("rk"), "doc_id").distinct()
-    holders = rows_twice.select("leaf", "template", "rk").distinct().join(ids, "rk")
+    holders = rows_twice.select("leaf", "template", "rk", "words").distinct().join(ids, "rk")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
-    often = holders.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter(F.col("n") >= min_docs)
+    often = holders.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.first("words").alias("words"))
+    often = often.filter((F.col("n") >= min_docs) | (F.lit(False) if long is None else (F.col("n") > 1) & (F.col("words") > long)))
     gone = rows_twice.join(often.select("leaf", "template", F.col("first.rk").alias("home")), ["leaf", "template"]).filter("rk <> home")
     gone = gone.groupBy("rk").agg(F.collect_set("line_no").alias("gone"), F.sum("words").alias("out"))
     if most < 1:

@@ -43,3 +43,10 @@ def test_copies_link_by_five_words(spark):
     share = {i: len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in sets}
     assert 0.8 <= share[1] < 0.85 and 0.8 <= share[2] < 0.85 and share[3] < 0.8
     assert set(staged_rows(spark, corpus_pipeline.near_copies, rows)) == {0, 3}
+
+
+def test_passages_go_from_two_documents_on(spark):
+    passage, line = words(20, 51), words(21, 50)
+    own = {i: words(200 + i, 60) for i in range(4)}
+    rows = [(0, own[0] + "\n" + passage), (1, passage + "\n" + own[1]), (2, own[2] + "\n" + line), (3, own[3] + "\n" + line)]
+    assert staged_rows(spark, corpus_pipeline.lines, rows) == dict(rows) | {1: own[1]}
