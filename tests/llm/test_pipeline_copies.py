@@ -50,3 +50,9 @@ def test_passages_go_from_two_documents_on(spark):
     own = {i: words(200 + i, 60) for i in range(4)}
     rows = [(0, own[0] + "\n" + passage), (1, passage + "\n" + own[1]), (2, own[2] + "\n" + line), (3, own[3] + "\n" + line)]
     assert staged_rows(spark, corpus_pipeline.lines, rows) == dict(rows) | {1: own[1]}
+
+
+def test_pieces_are_decoded(spark):
+    rows = [(0, "plain words"), (1, ""), (2, None), (3, " é😀\n\t▁ "), (4, words(30, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.lossless for r in corpus_pipeline.pieces(spark, docs, "").collect()} == {i: True for i, _ in rows}
