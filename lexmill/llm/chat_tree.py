@@ -76,7 +76,8 @@ def chat_tree(conversations: DataFrame, segment: int = 16) -> tuple[DataFrame, D
     Returns (turns, nodes). turns: conv_id, place (0 for the first turn), node. nodes: node, parent (null for first turns),
     tree, depth (turns before it), conversations (how many pass), formatted, loss_start, loss_end (the mask, inside formatted),
     emit_start (place in its tree's sequence), position_start (of its first character in a conversation) and attends (intervals
-    of the sequence taken by its ancestors in the tree).
+    of the sequence taken by its ancestors in the tree). earlier, on the first node of a tree, has the intervals (tree, start,
+    end) of ancestors in other trees, which all nodes of the tree share; attended() puts both together.
     Turns are ordered by turn, then role and text; repeated rows are turns of their own. Null role and text are empty; null
     conv_id is a conversation. An empty table gives empty results.
     """
@@ -101,8 +102,29 @@ def chat_tree(conversations: DataFrame, segment: int = 16) -> tuple[DataFrame, D
     above = nodes.select("node", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor"))
     spots = nodes.select(F.col("node").alias("ancestor"), F.struct(F.col("emit_start").alias("start"), (F.col("emit_start") + F.col("length")).alias("end")).alias("spot"))
     attends = above.join(spots, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list("spot")).alias("attends"))
-    nodes = nodes.join(attends, "node", "left").withColumn("attends", _merged(F.coalesce("attends", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))))
-    return turns, nodes.select("node", "parent", "tree", "depth", "conversations", "formatted", "loss_start", "loss_end", "emit_start", "position_start", "attends")
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    nodes = staged(nodes.join(attends, "node", "left").withColumn("attends", _merged(F.coalesce("attends", none))), "attends")
+    nodes = nodes.join(_earlier(rows, nodes, segment), "node", "left").withColumn("earlier", F.coalesce("earlier", F.expr("cast(array() as array<struct<tree:string,start:bigint,end:bigint>>)")))
+    return turns, nodes.select("node", "parent", "tree", "depth", "conversations", "formatted", "loss_start", "loss_end", "emit_start", "position_start", "attends", "earlier")
+
+
+def _earlier(rows: DataFrame, nodes: DataFrame, segment: int) -> DataFrame:
+    """For the first node of each tree that goes on from another: node and earlier, along one conversation that passes it."""
+    at = (F.col("place") / segment).cast("long")
+    roots = rows.filter((F.col("place") > 0) & (F.col("place") % segment == 0)).groupBy("node").agg(F.min(F.struct("conv_id", at.alias("k"))).alias("by"))
+    roots = roots.select("node", F.col("by.conv_id").alias("conv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("by.k") - 1)).alias("j"))
+    ends = rows.filter(F.col("place") % segment == segment - 1).select("conv_id", at.alias("part"), F.col("node").alias("end_node"))
+    own = F.struct(F.col("emit_start").alias("start"), (F.col("emit_start") + F.col("length")).alias("end"))
+    spots = nodes.select(F.col("node").alias("end_node"), F.transform(_merged(F.concat("attends", F.array(own))), lambda x: F.struct(F.col("tree").alias("tree"), x["start"].alias("start"), x["end"].alias("end"))).alias("spots"))
+    found = roots.join(ends, roots.conv.eqNullSafe(ends.conv_id) & (roots.j == ends.part)).select("node", "j", "end_node").join(spots, "end_node")
+    return found.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("j", "spots"))).alias("all")).select("node", F.flatten(F.col("all.spots")).alias("earlier"))
+
+
+def attended(nodes: DataFrame) -> DataFrame:
+    """node and attends of the nodes of chat_tree(): intervals (tree, start, end) of all ancestors, at any depth."""
+    first = nodes.filter(F.col("node") == F.col("tree")).select("tree", "earlier")
+    own = F.transform("attends", lambda x: F.struct(F.col("tree").alias("tree"), x["start"].alias("start"), x["end"].alias("end")))
+    return nodes.drop("earlier").join(first, "tree").select("node", F.concat("earlier", own).alias("attends"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
