@@ -2,12 +2,17 @@
 
 Conversations that share initial turns share the nodes of a tree. A node is a turn with all that came before it; its id is
 the running XOR of hashes of (place, role, text), two of 64 bits, so no conversation is gathered to find its nodes. A node's
-formatted text is emitted once. Nodes of a tree are emitted depth-first: in the order of their paths from the root, a running
-total of lengths gives each its place in the tree's sequence. With it go its position ids (they continue the parent's) and
-the intervals of the sequence that its ancestors take, which is what it may attend to besides itself. Units are characters.
-
-Paths are kept for segment turns: from there on a tree of its own begins, whose positions go on. Totals and ids are prefix
-scans, so neither a first turn that very many conversations share nor a very long conversation ends up in one task.
+turn is formatted, tokenised and emitted once. With its tokens go their position ids (from position_start on, one by one; they
+continue the parent's) and the intervals of the tree's sequence that its ancestors take, which is what it may attend to
+besides itself. Places, positions and intervals count tokens.
+
+Nodes are emitted depth-first, at any depth. Of the conversations through a node the one of least hash leads on: nodes with
+the same leader are a chain, a stretch of one path, emitted in one piece, and the chains that branch off it follow, from the
+deepest on. A path meets a new leader only where the least of a random order leaves it, so it crosses about the logarithm of
+the number of conversations of chains, however many turns it has. Chains, not turns, are what paths are written in and
+sorted by, and a node's ancestors are a piece of each chain on its path. Totals and ids are prefix scans and keys that many
+rows share are dealt out, so neither a first turn that very many conversations share nor a very long conversation ends up in
+one task.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scan import added, prefix_scan, xored
 from ._session import lean, partitions, staged, tune
+from ._skew import salted_join
+from .token_files import encode_text, encoding_of, vocabulary_path, vocabulary_ranks
 
 #: What opens and closes the text of a turn. Fixed values.
 TEMPLATE = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
@@ -60,71 +67,112 @@ def parsed(turn: Column) -> tuple[Column, Column]:
     return role, unescape(text)
 
 
+INTERVALS = "array<struct<start:bigint,end:bigint>>"
+
+
 def _merged(intervals: Column) -> Column:
     """Sorted intervals, those that touch as one."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    last = lambda a: F.element_at(a, -1)
+    last = lambda a: F.try_element_at(a, F.lit(-1))
     return F.aggregate(
-        intervals, F.expr(f"cast(array() as {kind})"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] == x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), x["end"].alias("end"))))).otherwise(F.concat(a, F.array(x))),
+        intervals, F.expr(f"cast(array() as {INTERVALS})"),
+        lambda a, x: F.when((F.size(a) > 0) & (last(a)["end"] == x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), x["end"].alias("end"))))).otherwise(F.concat(a, F.array(x))),
     )
 
 
-def chat_tree(conversations: DataFrame, segment: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Format conversations (conv_id, turn, role, text; other columns are not read) as a forest of shared turns.
+def _tokeniser(ranks, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = encoding_of(ranks.value, pattern)
+        for batch in batches:
+            ids, starts, ends = [], [], []
+            for turn, a, b in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("formatted", "loss_start", "loss_end")), strict=True):
+                head, body, tail = (encode_text(encoding, x) for x in (turn[:a], turn[a:b], turn[b:]))
+                ids.append(head + body + tail)
+                starts.append(len(head))
+                ends.append(len(head) + len(body))
+            keep = [c for c in batch.schema.names if c not in ("formatted", "loss_start", "loss_end")]
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [*keep, "ids", "n_tokens", "loss_start", "loss_end"])
 
-    Returns (turns, nodes). turns: conv_id, place (0 for the first turn), node. nodes: node, parent (null for first turns),
-    tree, depth (turns before it), conversations (how many pass), formatted, loss_start, loss_end (the mask, inside formatted),
-    emit_start (place in its tree's sequence), position_start (of its first character in a conversation) and attends (intervals
-    of the sequence taken by its ancestors in the tree). earlier, on the first node of a tree, has the intervals (tree, start,
-    end) of ancestors in other trees, which all nodes of the tree share; attended() puts both together.
-    Turns are ordered by turn, then role and text; repeated rows are turns of their own. Null role and text are empty; null
-    conv_id is a conversation. An empty table gives empty results.
-    """
-    tune(conversations.sparkSession)
+    return run
+
+
+def _turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, line (a name of the conversation that begins with a hash), place, node, parent, formatted, loss_start, loss_end."""
     rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text, start, end = formatted(F.col("role"), F.col("text"))
     rows = rows.select("conv_id", "turn", "role", F.xxhash64("role", "text").alias("hash"), text.alias("formatted"), start.cast("long").alias("loss_start"), end.cast("long").alias("loss_end"), F.lit(1).cast("long").alias("one"))
-    rows = rows.withColumn("length", F.char_length("formatted").cast("long"))
-    rows = prefix_scan(rows, ["conv_id"], ["turn", "role", "hash"], {"place": added("one"), "position_start": added("length")})
+    rows = prefix_scan(rows, ["conv_id"], ["turn", "role", "hash"], {"place": added("one")})
     rows = rows.withColumn("x", F.xxhash64("place", "role", "formatted")).withColumn("y", F.xxhash64("formatted", "role", "place", F.lit("y")))
     rows = prefix_scan(rows, ["conv_id"], ["place"], {"px": xored("x"), "py": xored("y")})
     name = lambda a, b: F.concat(F.hex(a), F.lit("-"), F.hex(b))
-    rows = rows.withColumn("node", name(F.col("px").bitwiseXOR(F.col("x")), F.col("py").bitwiseXOR(F.col("y")))).withColumn("parent", F.when(F.col("place") > 0, name(F.col("px"), F.col("py"))))
-    # The path inside a segment: its turns so far, segment at most.
-    window = Window.partitionBy("conv_id", F.floor(F.col("place") / segment)).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = staged(rows.withColumn("path", F.collect_list("node").over(window)), "turns")
+    line = F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n"))
+    return rows.select(
+        "conv_id", F.concat(F.hex(F.xxhash64(line)), line).alias("line"), "place", name(F.col("px").bitwiseXOR(F.col("x")), F.col("py").bitwiseXOR(F.col("y"))).alias("node"),
+        F.when(F.col("place") > 0, name(F.col("px"), F.col("py"))).alias("parent"), "formatted", "loss_start", "loss_end",
+    )
+
+
+def chat_tree(conversations: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Format conversations (conv_id, turn, role, text; other columns are not read) as a forest of shared turns.
+
+    Returns (turns, nodes). turns: conv_id, place (0 for the first turn), node. nodes: node, parent (null for first turns),
+    tree (its first node), depth (turns before it), conversations (how many pass), ids (tokens of the formatted turn), n_tokens,
+    loss_start, loss_end (the mask, in tokens of ids), emit_start (place in its tree's sequence), position_start (of its first
+    token in a conversation) and attends (sorted intervals of the sequence taken by all its ancestors). vocabulary: a file of
+    byte-level ranks; the markup and the text of an assistant's turn are tokenised apart, so the mask begins and ends between tokens.
+    Turns are ordered by turn, then role and a hash of role and text; repeated rows are turns of their own. Null role and text
+    are empty; null conv_id is a conversation. Every 10,000 characters of white space on end are tokenised by themselves. An
+    empty table gives empty results.
+    """
+    import public_tokenizers
+
+    spark = conversations.sparkSession
+    tune(spark)
+    rows = staged(_turns(conversations), "turns")
     turns = rows.select("conv_id", "place", "node")
     first = lambda *cs: [F.first(c).alias(c) for c in cs]
-    nodes = rows.groupBy("node").agg(*first("parent", "path", "formatted", "loss_start", "loss_end", "length", "position_start"), F.first("place").alias("depth"), F.count(F.lit(1)).alias("conversations"))
-    nodes = nodes.withColumn("tree", F.element_at("path", 1))
-    nodes = staged(prefix_scan(nodes, ["tree"], ["path"], {"emit_start": added("length")}), "nodes")
-    above = nodes.select("node", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ancestor"))
-    spots = nodes.select(F.col("node").alias("ancestor"), F.struct(F.col("emit_start").alias("start"), (F.col("emit_start") + F.col("length")).alias("end")).alias("spot"))
-    attends = above.join(spots, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list("spot")).alias("attends"))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    nodes = staged(nodes.join(attends, "node", "left").withColumn("attends", _merged(F.coalesce("attends", none))), "attends")
-    nodes = nodes.join(_earlier(rows, nodes, segment), "node", "left").withColumn("earlier", F.coalesce("earlier", F.expr("cast(array() as array<struct<tree:string,start:bigint,end:bigint>>)")))
-    return turns, nodes.select("node", "parent", "tree", "depth", "conversations", "formatted", "loss_start", "loss_end", "emit_start", "position_start", "attends", "earlier")
-
-
-def _earlier(rows: DataFrame, nodes: DataFrame, segment: int) -> DataFrame:
-    """For the first node of each tree that goes on from another: node and earlier, along one conversation that passes it."""
-    at = (F.col("place") / segment).cast("long")
-    roots = rows.filter((F.col("place") > 0) & (F.col("place") % segment == 0)).groupBy("node").agg(F.min(F.struct("conv_id", at.alias("k"))).alias("by"))
-    roots = roots.select("node", F.col("by.conv_id").alias("conv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("by.k") - 1)).alias("j"))
-    ends = rows.filter(F.col("place") % segment == segment - 1).select("conv_id", at.alias("part"), F.col("node").alias("end_node"))
-    own = F.struct(F.col("emit_start").alias("start"), (F.col("emit_start") + F.col("length")).alias("end"))
-    spots = nodes.select(F.col("node").alias("end_node"), F.transform(_merged(F.concat("attends", F.array(own))), lambda x: F.struct(F.col("tree").alias("tree"), x["start"].alias("start"), x["end"].alias("end"))).alias("spots"))
-    found = roots.join(ends, roots.conv.eqNullSafe(ends.conv_id) & (roots.j == ends.part)).select("node", "j", "end_node").join(spots, "end_node")
-    return found.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("j", "spots"))).alias("all")).select("node", F.flatten(F.col("all.spots")).alias("earlier"))
-
-
-def attended(nodes: DataFrame) -> DataFrame:
-    """node and attends of the nodes of chat_tree(): intervals (tree, start, end) of all ancestors, at any depth."""
-    first = nodes.filter(F.col("node") == F.col("tree")).select("tree", "earlier")
-    own = F.transform("attends", lambda x: F.struct(F.col("tree").alias("tree"), x["start"].alias("start"), x["end"].alias("end")))
-    return nodes.drop("earlier").join(first, "tree").select("node", F.concat("earlier", own).alias("attends"))
+    nodes = rows.groupBy("node").agg(*first("parent", "formatted", "loss_start", "loss_end"), F.first("place").alias("depth"), F.min("line").alias("chain"), F.count(F.lit(1)).alias("conversations"))
+    ranks = spark.sparkContext.broadcast(vocabulary_ranks(vocabulary or vocabulary_path()))
+    nodes = nodes.mapInArrow(lean(_tokeniser(ranks, public_tokenizers.PATTERN)), "node string, parent string, depth long, chain string, conversations long, ids array<int>, n_tokens long, loss_start long, loss_end long")
+    nodes = staged(prefix_scan(nodes, ["chain"], ["depth"], {"offset": added("n_tokens")}), "nodes")
+    # The chains that a conversation passes: where it meets each, and how many tokens of it are on its path.
+    met = salted_join(rows.select("line", "place", "node"), nodes.select("node", "chain", "n_tokens"), "node", ["line"], nodes.select("node", F.col("conversations").alias("rows")))
+    met = met.groupBy("line", "chain").agg(F.min(F.struct("place", "node")).alias("at"), F.sum("n_tokens").alias("part"))
+    paths = met.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("at", "chain", "part"))).alias("path"))
+    # A conversation that leads somewhere leads at its end.
+    own = F.element_at("path", -1)
+    paths = paths.filter(own["chain"] == F.col("line")).withColumn("total", own["part"]).withColumn("tree", F.get("path", F.lit(0))["at"]["node"])
+    paths = paths.withColumn("key", F.transform(F.slice("path", 2, F.size("path")), lambda s: F.struct((-s["at"]["place"]).alias("up"), s["chain"].alias("chain"))))
+    chains = prefix_scan(paths, ["tree"], ["key"], {"emit_start": added("total")})
+    chains = staged(chains.select(F.col("line").alias("chain"), "tree", "emit_start", "path"), "chains")
+    above = chains.select(F.col("chain").alias("below"), F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("k", "s")).select("below", "k", F.col("s.chain").alias("chain"), F.col("s.part").alias("part"))
+    above = salted_join(above, chains.select("chain", "emit_start"), "chain", ["below"])
+    above = above.groupBy("below").agg(F.sort_array(F.collect_list(F.struct(F.col("emit_start").alias("start"), (F.col("emit_start") + F.col("part")).alias("end")))).alias("above"))
+    chains = chains.join(above, chains.chain == above.below, "left").select("chain", "tree", F.col("emit_start").alias("_start"), F.coalesce("above", F.expr(f"cast(array() as {INTERVALS})")).alias("above"))
+    nodes = salted_join(nodes, chains, "chain", ["node"]).withColumn("emit_start", F.col("_start") + F.col("offset"))
+    here = F.when(F.col("offset") > 0, F.array(F.struct(F.col("_start").alias("start"), F.col("emit_start").alias("end")))).otherwise(F.expr(f"cast(array() as {INTERVALS})"))
+    nodes = nodes.withColumn("attends", _merged(F.concat("above", here)))
+    nodes = nodes.withColumn("position_start", F.aggregate("attends", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
+    return turns, nodes.select("node", "parent", "tree", "depth", "conversations", "ids", "n_tokens", "loss_start", "loss_end", "emit_start", "position_start", "attends")
+
+
+def _speller(spellings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = spellings.value
+        for batch in batches:
+            out = []
+            for ids, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                out.append(tuple(b"".join(map(raw.__getitem__, x)).decode() for x in (ids, ids[a:b])))
+            yield pa.record_batch([batch.column(0), *(pa.array([x[i] for x in out], pa.string()) for i in (0, 1))], ["node", "formatted", "masked"])
+
+    return run
+
+
+def spelled(nodes: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """node, formatted (the turn that its ids spell) and masked (what is under the loss mask)."""
+    spark = nodes.sparkSession
+    tune(spark)
+    raw = spark.sparkContext.broadcast({i: x for x, i in vocabulary_ranks(vocabulary or vocabulary_path()).items()})
+    return nodes.select("node", "ids", "loss_start", "loss_end").mapInArrow(lean(_speller(raw)), "node string, formatted string, masked string")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +207,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([*out, close(state)])
 
 
-def read_back(turns: DataFrame, nodes: DataFrame) -> DataFrame:
+def read_back(turns: DataFrame, nodes: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Conversations as the nodes on their paths tell: conv_id, n_turns, turns_sha256 (of role, \\n, text, \\n of each turn),
-    loss_chars and loss_sha256 (of the text under the loss masks, unescaped) and formatted_chars."""
+    loss_chars and loss_sha256 (of the text under the loss masks, unescaped) and formatted_chars. A digest takes its
+    conversation's turns in order, one after the other; none is held."""
+    nodes = staged(nodes, "read")
+    told = spelled(nodes, vocabulary)
     role, text = parsed(F.col("formatted"))
-    loss = unescape(F.col("formatted").substr(F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
-    told = nodes.select("node", role.alias("role"), text.alias("text"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("size"))
-    rows = turns.join(told, "node").repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")
+    told = told.select("node", role.alias("role"), text.alias("text"), unescape(F.col("masked")).alias("loss"), F.char_length("formatted").cast("long").alias("size"))
+    rows = salted_join(turns, told, "node", ["conv_id"], nodes.select("node", F.col("conversations").alias("rows")))
+    rows = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")
     kind = turns.schema["conv_id"].dataType.simpleString()
     return rows.select("conv_id", "role", "text", "loss", "size").mapInArrow(lean(_digests), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -9,6 +9,7 @@ document a block begins in, the place of the last one how much of that document
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from ._session import lean, partitions, run_dir, staged, tune
 
 #: Bytes that are tokenised together, and bytes of a file at which the next one is begun.
 PART_BYTES, FILE_BYTES = 1 << 20, 256 << 20
+#: So much white space on end is tokenised by itself: the pattern goes back over white space, and runs out of stack on a million.
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
 def vocabulary_path() -> str:
@@ -31,16 +34,29 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _ranks(path: str) -> dict[bytes, int]:
+def vocabulary_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def encoding_of(ranks: dict[bytes, int], pattern: str):
+    import tiktoken
+
+    return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def encode_text(encoding, text: str) -> list[int]:
+    """Token ids of a whole text. Every 10,000 characters of white space on end are tokenised by themselves."""
+    out, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        out += encoding.encode_ordinary(text[at : m.start()]) + encoding.encode_ordinary(m[0])
+        at = m.end()
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def _writer(ranks, pattern: str, path: str, end: int, kind: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        encoding = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        encoding = encoding_of(ranks.value, pattern)
         store, root = pafs.FileSystem.from_uri(path)
         stop = np.array([end], kind).tobytes()
         out, name, ordinal, size = None, "", 0, 0
@@ -56,7 +72,7 @@ def _writer(ranks, pattern: str, path: str, end: int, kind: str):
                         store.create_dir(root, recursive=True)
                         name, ordinal, size = f"{uuid.uuid4().hex}.bin", 0, 0
                         out = store.open_output_stream(f"{root}/{name}")
-                    tokens = np.array(encoding.encode_ordinary(text), kind).tobytes() + stop if text else stop
+                    tokens = np.array(encode_text(encoding, text), kind).tobytes() + stop if text else stop
                     out.write(tokens)
                     size += len(tokens)
                     names.append(name)
@@ -82,7 +98,7 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end: int =
 
     spark = docs.sparkSession
     tune(spark)
-    ranks = _ranks(vocabulary or vocabulary_path())
+    ranks = vocabulary_ranks(vocabulary or vocabulary_path())
     if end in set(ranks.values()) or max(end, *ranks.values()) > np.iinfo(kind).max:
         raise ValueError("end is an id of the vocabulary, or ids don't fit the kind")
     path = run_dir(spark, "tokens")

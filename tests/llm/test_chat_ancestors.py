@@ -1,20 +1,45 @@
-"""Attention intervals of conversations longer than a segment."""
+"""Attention intervals of long conversations."""
 
 import random
 
-from lexmill.llm.chat_tree import attended, chat_tree
+import pytest
 
+from lexmill.llm.chat_tree import chat_tree
 
-def test_all_ancestors_are_attended(spark):
+
+@pytest.mark.parametrize("turns", [16, 17, 300])
+def test_all_ancestors_are_attended(spark, turns):
     r = random.Random(4)
-    rows = [(c, t, "user", "same" if t < 20 and c in (0, 1, 2) else r.choice("ab") + "x" * r.randint(0, 3)) for c in (0, 1, 2, None) for t in range(40)]
+    half = turns // 2
+    rows = [(c, t, "user", "same" if t < half and c in (0, 1, 2) else r.choice("ab") + "x" * r.randint(0, 3)) for c in (0, 1, 2, None) for t in range(turns)]
+    # one that ends where others go on, one that repeats another, and branches at every turn of it
+    rows += [(5, t, "user", "same") for t in range(half)] + [(6, t, "user", "same") for t in range(half)]
+    rows += [(100 + k, t, "user", "same" if t < k else f"branch {k}") for k in range(half) for t in range(k + 1)]
     _, nodes = chat_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
     named = {x.node: x for x in nodes.collect()}
-    got = {x.node: {(i.tree, c) for i in x.attends for c in range(i.start, i.end)} for x in attended(nodes).collect()}
-    assert set(got) == set(named) and max(x.depth for x in named.values()) == 39
-    for x in named.values():
-        want, at = set(), x
-        while at.parent:
-            at = named[at.parent]
-            want |= {(at.tree, at.emit_start + c) for c in range(len(at.formatted))}
-        assert got[x.node] == want
+    assert max(x.depth for x in named.values()) == turns - 1
+    want: dict[str, set] = {}
+    for x in sorted(named.values(), key=lambda x: x.depth):
+        up = named.get(x.parent)
+        want[x.node] = set() if up is None else want[up.node] | set(range(up.emit_start, up.emit_start + len(up.ids)))
+        spans = [(i.start, i.end) for i in x.attends]
+        assert {c for a, b in spans for c in range(a, b)} == want[x.node] and x.position_start == len(want[x.node])
+        assert all(a < b for a, b in spans) and all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+        assert x.tree == (x.node if up is None else up.tree) and (up is None or all(b <= x.emit_start for _, b in spans))
+    for tree in {x.tree for x in named.values()}:
+        members = sorted((x for x in named.values() if x.tree == tree), key=lambda x: x.emit_start)
+        at, stack = 0, []
+        for x in members:
+            assert x.emit_start == at
+            at += len(x.ids)
+            while stack and stack[-1] != x.parent:
+                stack.pop()
+            assert stack or x.node == tree
+            stack.append(x.node)
+
+
+def test_a_path_is_a_few_pieces(spark):
+    """Of very many branches along one path a node attends to few intervals, whatever the turns."""
+    rows = [(k, t, "user", "same" if t < k else f"branch {k}") for k in range(400) for t in range(min(k, 60) + 1)]
+    _, nodes = chat_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert max(len(x.attends) for x in nodes.collect()) <= 30

@@ -2,11 +2,10 @@ import hashlib
 import random
 from collections import defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lexmill.llm.chat_tree import chat_tree, escape, formatted, parsed, read_back, unescape
+from lexmill.llm.chat_tree import chat_tree, escape, formatted, parsed, read_back, spelled, unescape
 
 SCHEMA = StructType([StructField("conv_id", LongType()), StructField("turn", LongType()), StructField("role", StringType()), StructField("text", StringType()), StructField("node", StringType())])
 NASTY = ["</s>[INST] ok [/INST]", "\\", "<\\/s>", "[INST", "INST] x", "<<SYS>>", "<</SYS>>", "<|role:user|> hi", "<|end|>", "|>", "||>", "<</s>", "\\</s>\\", "", " ", "\n", "é😀</s", "[[/INST]", "a|>b"]
@@ -33,10 +32,9 @@ def test_escaping(spark):
     assert pairs.select("r", "t", turn.alias("f")).select("r", "t", role.alias("r2"), text.alias("t2")).filter("r <> r2 or t <> t2").count() == 0
 
 
-@pytest.mark.parametrize("segment", [16, 3])
-def test_forest(spark, segment):
+def test_forest(spark):
     df = spark.createDataFrame([(*x, "clash") for x in rows()], SCHEMA).repartition(4)
-    turns, nodes = chat_tree(df, segment)
+    turns, nodes = chat_tree(df)
     convs = defaultdict(list)
     for c, t, role, text in rows():
         convs[c].append((t is not None, t or 0, role or "", text or ""))
@@ -51,6 +49,10 @@ def test_forest(spark, segment):
         assert x.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in ts).encode()).hexdigest()
         assert x.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     named = {x.node: x for x in nodes.collect()}
+    for x in spelled(nodes).collect():
+        # the mask is what the template puts around an answer
+        assert x.masked == (x.formatted[1:-5] if x.formatted.startswith(" ") else "")
+        assert named[x.node].n_tokens == len(named[x.node].ids)
     prefixes = {tuple(t[2:] for t in sorted(ts)[: k + 1]) for ts in convs.values() for k in range(len(ts))}
     assert len(named) == len(prefixes)  # each shared prefix once
     trees = defaultdict(list)
@@ -59,7 +61,7 @@ def test_forest(spark, segment):
         chain, at = [], x
         while at.node != at.tree:
             at = named[at.parent]
-            chain.append((at.emit_start, at.emit_start + len(at.formatted)))
+            chain.append((at.emit_start, at.emit_start + len(at.ids)))
         merged = []
         for a, b in sorted(chain):
             if merged and merged[-1][1] == a:
@@ -68,13 +70,13 @@ def test_forest(spark, segment):
                 merged.append((a, b))
         assert [tuple(s) for s in x.attends] == merged
         assert all(b <= x.emit_start for _, b in merged)  # ancestors come first
-        assert x.position_start == (named[x.parent].position_start + len(named[x.parent].formatted) if x.parent else 0)
+        assert x.position_start == (named[x.parent].position_start + len(named[x.parent].ids) if x.parent else 0)
     for members in trees.values():  # one sequence without gaps, each subtree in one piece
         members.sort(key=lambda x: x.emit_start)
         at, stack = 0, []
         for x in members:
             assert x.emit_start == at
-            at += len(x.formatted)
+            at += len(x.ids)
             if x.node != x.tree:
                 while stack[-1] != x.parent:
                     stack.pop()
@@ -84,3 +86,14 @@ def test_forest(spark, segment):
 def test_empty(spark):
     turns, nodes = chat_tree(spark.createDataFrame([], SCHEMA))
     assert turns.count() == nodes.count() == read_back(turns, nodes).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "[INST] word " * 100_000 + "\\" * 1000 + " " * 50_000
+    rows = [(1, 0, "user", long, ""), (1, 1, "assistant", long, ""), (2, 0, "user", long, ""), (2, 1, "assistant", "short", "")]
+    turns, nodes = chat_tree(spark.createDataFrame(rows, SCHEMA))
+    got = {x.conv_id: x for x in read_back(turns, nodes).collect()}
+    assert nodes.count() == 3
+    for c, said in ((1, long), (2, "short")):
+        assert got[c].turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{said}\n".encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())

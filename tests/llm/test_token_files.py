@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lexmill.llm.token_files import _ranks, count_tokens, document_tokens, vocabulary_path, write_token_files
+from lexmill.llm.token_files import count_tokens, document_tokens, vocabulary_path, vocabulary_ranks, write_token_files
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("file", StringType())])
 
@@ -20,7 +20,7 @@ def rows():
 
 @pytest.mark.parametrize("block", [4 << 20, 7, 1])
 def test_as_brute_force(spark, block):
-    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=_ranks(vocabulary_path()), special_tokens={})
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocabulary_ranks(vocabulary_path()), special_tokens={})
     df = spark.createDataFrame([(*x, "clash") for x in rows()], DOCS).repartition(3)
     got = sorted(((x.doc_id is None, x.doc_id or 0, x.n_tokens) for x in document_tokens(df, block=block).collect()))
     assert got == sorted((i is None, i or 0, len(e.encode_ordinary(t or ""))) for i, t in rows())
@@ -44,3 +44,14 @@ def test_end_must_be_free(spark, tmp_path):
     with pytest.raises(ValueError):
         write_token_files(df, str(tmp_path / "v"), end=7)
     assert document_tokens(df, str(tmp_path / "v"), end=256).first().n_tokens == 2
+
+
+def test_white_space_without_end(spark):
+    from lexmill.llm.token_files import encode_text, encoding_of
+
+    e = encoding_of(vocabulary_ranks(vocabulary_path()), P.PATTERN)
+    for t in ("", " " * 9_999 + "a", "a" + " " * 10_000, " " * 1_000_000 + "b c", "x" * 300_000):
+        assert e.decode(encode_text(e, t)) == t
+    assert encode_text(e, "a  b\n\n c") == e.encode_ordinary("a  b\n\n c")
+    got = document_tokens(spark.createDataFrame([(1, " " * 1_000_000), (2, "a b")], "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_tokens for x in got} == {1: len(encode_text(e, " " * 1_000_000)), 2: 2}
