@@ -133,7 +133,7 @@ def chat_tree(conversations: DataFrame, vocabulary: str | None = None) -> tuple[
     nodes = rows.groupBy("node").agg(*first("parent", "formatted", "loss_start", "loss_end"), F.first("place").alias("depth"), F.min("line").alias("chain"), F.count(F.lit(1)).alias("conversations"))
     ranks = spark.sparkContext.broadcast(vocabulary_ranks(vocabulary or vocabulary_path()))
     nodes = nodes.mapInArrow(lean(_tokeniser(ranks, public_tokenizers.PATTERN)), "node string, parent string, depth long, chain string, conversations long, ids array<int>, n_tokens long, loss_start long, loss_end long")
-    nodes = staged(prefix_scan(nodes, ["chain"], ["depth"], {"offset": added("n_tokens")}), "nodes")
+    nodes = staged(nodes, "nodes")
     # The chains that a conversation passes: where it meets each, and how many tokens of it are on its path.
     met = salted_join(rows.select("line", "place", "node"), nodes.select("node", "chain", "n_tokens"), "node", ["line"], nodes.select("node", F.col("conversations").alias("rows")))
     met = met.groupBy("line", "chain").agg(F.min(F.struct("place", "node")).alias("at"), F.sum("n_tokens").alias("part"))
@@ -148,20 +148,22 @@ def chat_tree(conversations: DataFrame, vocabulary: str | None = None) -> tuple[
     above = salted_join(above, chains.select("chain", "emit_start"), "chain", ["below"])
     above = above.groupBy("below").agg(F.sort_array(F.collect_list(F.struct(F.col("emit_start").alias("start"), (F.col("emit_start") + F.col("part")).alias("end")))).alias("above"))
     chains = chains.join(above, chains.chain == above.below, "left").select("chain", "tree", F.col("emit_start").alias("_start"), F.coalesce("above", F.expr(f"cast(array() as {INTERVALS})")).alias("above"))
-    nodes = salted_join(nodes, chains, "chain", ["node"]).withColumn("emit_start", F.col("_start") + F.col("offset"))
+    offsets = prefix_scan(nodes.select("node", "chain", "depth", "n_tokens"), ["chain"], ["depth"], {"offset": added("n_tokens")}).select("node", "chain", "offset")
+    offsets = salted_join(staged(offsets, "offsets"), chains, "chain", ["node"]).drop("chain")
+    nodes = nodes.join(offsets, "node").withColumn("emit_start", F.col("_start") + F.col("offset"))
     here = F.when(F.col("offset") > 0, F.array(F.struct(F.col("_start").alias("start"), F.col("emit_start").alias("end")))).otherwise(F.expr(f"cast(array() as {INTERVALS})"))
     nodes = nodes.withColumn("attends", _merged(F.concat("above", here)))
     nodes = nodes.withColumn("position_start", F.aggregate("attends", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
     return turns, nodes.select("node", "parent", "tree", "depth", "conversations", "ids", "n_tokens", "loss_start", "loss_end", "emit_start", "position_start", "attends")
 
 
-def _speller(spellings):
+def _speller(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = spellings.value
+        spell = encoding_of(ranks.value, pattern).decode_bytes
         for batch in batches:
             out = []
             for ids, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                out.append(tuple(b"".join(map(raw.__getitem__, x)).decode() for x in (ids, ids[a:b])))
+                out.append((spell(ids).decode(), spell(ids[a:b]).decode() if b > a else ""))
             yield pa.record_batch([batch.column(0), *(pa.array([x[i] for x in out], pa.string()) for i in (0, 1))], ["node", "formatted", "masked"])
 
     return run
@@ -169,10 +171,12 @@ def _speller(spellings):
 
 def spelled(nodes: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """node, formatted (the turn that its ids spell) and masked (what is under the loss mask)."""
+    import public_tokenizers
+
     spark = nodes.sparkSession
     tune(spark)
-    raw = spark.sparkContext.broadcast({i: x for x, i in vocabulary_ranks(vocabulary or vocabulary_path()).items()})
-    return nodes.select("node", "ids", "loss_start", "loss_end").mapInArrow(lean(_speller(raw)), "node string, formatted string, masked string")
+    ranks = spark.sparkContext.broadcast(vocabulary_ranks(vocabulary or vocabulary_path()))
+    return nodes.select("node", "ids", "loss_start", "loss_end").mapInArrow(lean(_speller(ranks, public_tokenizers.PATTERN)), "node string, formatted string, masked string")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

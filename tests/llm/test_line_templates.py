@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -13,30 +14,27 @@ from lexmill.llm.line_templates import drop_templates, oracle
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("leaf", StringType()), StructField("n_lines", StringType())])
 
 
-def brute(rows, min_docs=3, depth=4, similarity=0.7, most=1.0):
+def brute(rows, min_docs=3, depth=4, similarity=0.7, most=1.0, long=50):
     def tokens(line):
-        return tuple("<*>" if re.search("[0-9]", t) else t for t in re.split("[ \t\x0b\f\r]+", line) if t)
+        raw = [t for t in re.split("[ \t\x0b\f\r]+", line) if t]
+        return tuple(raw) if all(re.search("[0-9]", t) for t in raw) else tuple("<*>" if re.search("[0-9]", t) else t for t in raw)
 
-    docs = {(d, t): [tokens(x) for x in t.split("\n")] for d, t in rows if t is not None}
-    leaves = defaultdict(set)
-    for ls in docs.values():
-        for x in ls:
-            if x:
-                leaves[len(x), x[:depth]].add(x)
-
-    def template(x):
-        same = leaves[len(x), x[:depth]]
-        if len(x) <= depth or len(same) < 2:
-            return x
-        y = tuple(t if sum(o[i] == t for o in same) > 1 else "<*>" for i, t in enumerate(x))
-        common = [sum(o[i] == t for o in same) > 1 for i, t in enumerate(x)]
-        return ("made", *y) if sum(common) >= similarity * len(x) else x
+    def templates(x):
+        out, may = [x], (100 - round(100 * similarity)) * len(x) // 100
+        if may and len(x) > depth and not all(re.search("[0-9]", t) for t in x):
+            wide = max(1, may // 2)
+            n = -(-(len(x) - depth) // wide)
+            pairs = [(a, a) for a in range(n)] if may < 2 or n < 2 else list(itertools.combinations(range(n), 2))
+            out += [(ab, *(t if i < depth or (i - depth) // wide not in ab else None for i, t in enumerate(x))) for ab in pairs]
+        return out
 
+    docs = {(d, t): [tokens(x) for x in t.split("\n")] for d, t in rows if t is not None}
     where = defaultdict(set)
     for k, ls in docs.items():
         for x in ls:
-            if x:
-                where[len(x), x[:depth], template(x)].add(k)
+            for y in templates(x) if x else ():
+                where[y].add(k)
+    first = lambda ks: min(ks, key=lambda k: (k[0] is None, k[0] or 0))
     out = []
     for d, t in rows:
         if t is None:
@@ -44,8 +42,8 @@ def brute(rows, min_docs=3, depth=4, similarity=0.7, most=1.0):
             continue
         lines, keep, gone = t.split("\n"), [], 0
         for line, x in zip(lines, docs[d, t]):
-            at = where.get((len(x), x[:depth], template(x)), set()) if x else set()
-            drop = len(at) >= min_docs and (d, t) != min(at, key=lambda k: (k[0] is None, k[0] or 0))
+            often = [where[y] for y in templates(x) if len(where[y]) >= min_docs or len(where[y]) > 1 and len(x) > long] if x else []
+            drop = any((d, t) != first(ks) for ks in often)
             gone += len(x) if drop else 0
             keep += [] if drop else [line]
         if gone > most * sum(map(len, docs[d, t])):
@@ -65,6 +63,9 @@ def corpus():
         ls += r.sample(shared, r.randint(0, 3)) + [f.format(line(1), line(1)) for f in r.sample(forms, r.randint(0, 2))] + r.sample(["", " ", "\t"], 1)
         r.shuffle(ls)
         rows.append((i, "\n".join(ls)))
+    passage = line(60)
+    rows += [(70 + i, passage.replace("x", f"x{i}")) for i in range(2)] + [(80 + i, passage.replace(" a", f" new{'ab'[i]}")) for i in range(2)]
+    rows += [(90 + i, "\n".join(f"{i + j} {j} {j + 1} {j * j}" for j in range(6))) for i in range(4)]
     return [*rows, (100, None), (101, ""), (102, "\n\n"), (103, rows[0][1]), (104, rows[0][1]), (105, rows[0][1])]
 
 
@@ -92,3 +93,36 @@ def test_repeated_rows_and_nulls(spark):
     )
     assert set(got[0].asDict()) == {"doc_id", "text", "leaf", "n_lines", "n_dropped"}
     assert drop_templates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_more_documents_never_bring_a_line_back(spark):
+    """Two fields with values that repeat, in a leaf that fills up with other lines."""
+    r = random.Random(9)
+    names, cities = (["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)] for n in (10, 12))
+    form = "your parcel has come for {} and was left at the shop in the town of {} today"
+    noise = lambda: "your parcel has come " + " ".join(r.choice(names) for _ in range(12))
+    rows = [(i, form.format(r.choice(names), r.choice(cities)) + "\nown " + " ".join(r.choice(cities) for _ in range(9)) + "\n" + noise()) for i in range(90)]
+    dropped = set()
+    for n in (3, 10, 30, 90):
+        got = {x.doc_id: x.text for x in drop_templates(spark.createDataFrame(rows[:n], "doc_id long, text string")).collect()}
+        gone = {(i, line) for i, t in rows[:n] for line in t.split("\n") if line not in got[i].split("\n")}
+        assert dropped <= gone
+        dropped = gone
+    assert {(i, t.split("\n")[0]) for i, t in rows[1:]} <= dropped
+    assert sum(line == t.split("\n")[0] for (i, line) in dropped for j, t in rows if i == j) == 89
+
+
+def test_passages_go_from_two_documents_on(spark):
+    words = [f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(60)]
+    rows = [(1, "x\n" + " ".join(words[:51])), (2, " ".join(words[:51]) + "\ny"), (3, " ".join(words[:50])), (4, " ".join(words[:50]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.text for x in drop_templates(df).collect()} == dict(rows) | {2: "y"}
+    assert {x.doc_id: x.text for x in drop_templates(df, long=None).collect()} == dict(rows)
+
+
+def test_very_long_texts(spark):
+    line = "word " * 200_000
+    many = "\n".join(f"row {'abcdefghij'[i % 10]} of {i}" for i in range(100_000))
+    rows = [(i, t) for i, t in enumerate([line, line, many, many, many])]
+    got = {x.doc_id: (x.n_lines, x.n_dropped, len(x.text)) for x in drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (1, 0, len(line)), 1: (1, 1, 0), 2: (100_000, 0, len(many)), 3: (100_000, 100_000, 0), 4: (100_000, 100_000, 0)}
