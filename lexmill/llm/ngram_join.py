@@ -2,14 +2,18 @@
 
 Equal sets are one class from the start, so copies are never paired. The other sets reach a common shard by pigeonhole: a
 set in the global order (of hashes) is cut into so many ranges that two linked sets must agree on one which is not empty.
-Sets of few n-grams, where ranges may be empty, are routed by prefix tokens instead. What shares a range is joined to a
-candidate group, and each group, in blocks of bounded size, goes through a prefix-tree join:
-
-* n-grams found in the same members are one weighted token; tokens are ordered by frequency, common ones first;
-* the ordered sets form a compressed trie; one traversal carries the partial overlaps of all probes at once;
-* a subtree is left when no probe can still reach the threshold with the lengths that remain.
-
-Overlaps at the leaves are exact sums. Hashes of n-grams and sets have 64 bits.
+Sets of few n-grams, where ranges may be empty, are routed by prefix tokens instead. Nothing is closed over candidates, only
+over links that are verified:
+
+1. of the sets with a key, each is joined with the least one, its pivot; a set meets a pivot once, however many keys they share;
+2. these links are closed. A key is done if all its sets but the pivot are of one class by now;
+3. the sets of the keys that are left are joined with one another, in blocks, and all links are closed again;
+4. if links are to be counted, the sets of each class are joined with one another, in blocks. All links lie inside classes.
+
+A join stores sets in a prefix tree, each in one global order, that of hashes; n-grams found in the same members are one
+weighted token. One traversal carries the partial overlaps of all probes at once, and a subtree is left when no probe can
+still reach the threshold with the lengths that remain. Overlaps at the leaves are exact sums. Hashes of n-grams and sets
+have 64 bits.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._session import lean, partitions, staged, tune
+from ._skew import salted_join
 from ._text import SPACED, U64, chunks, mix, prefix_hashes, shingle_hashes, span_hashes, word_spans
 
 #: Sets below this size are routed by prefix tokens; sizes from there on fall in classes of this ratio.
@@ -31,7 +36,7 @@ SMALL, RATIO = 40, 1.5
 #: Ranges of fewer n-grams than LEAST route only sets that have too few others; there are SPARE times the ranges needed.
 LEAST, SPARE = 3, 1.15
 #: Members and n-grams of a block of candidates.
-BLOCK_MEMBERS, BLOCK_GRAMS = 1000, 500_000
+BLOCK_MEMBERS, BLOCK_GRAMS = 250, 500_000
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -109,51 +114,66 @@ class Routes:
         return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def _sets(size: int):
+def _sets(size: int, percent: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routes = Routes(percent)
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 found = gram_sets(data, offsets, size)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([set_id(x) if len(x) else None for x in found], pa.int64())], ["doc_id", "rk", "n_shingles", "sid"])
+                keys = [routes.keys(x).view(np.int64) for x in found]
+                ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
+                yield pa.record_batch(
+                    [part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([set_id(x) if len(x) else None for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
+                    ["doc_id", "rk", "n_shingles", "sid", "keys"],
+                )
 
     return sets
 
 
-def _keys(size: int, percent: int):
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        routes = Routes(percent)
-        for batch in batches:
-            for _, data, offsets in chunks(batch):
-                found = {set_id(x): x for x in gram_sets(data, offsets, size) if len(x)}
-                if found:
-                    each = [routes.keys(x) for x in found.values()]
-                    sid = np.repeat(np.array(list(found), np.int64), [len(x) for x in each])
-                    yield pa.record_batch([pa.array(np.concatenate(each).view(np.int64)), pa.array(sid)], ["key", "sid"])
-
-    return keys
-
-
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, sid): an edge from each set to the least one with its key. Nothing but the last key is carried on."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        pivot = sid[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        if last is not None and last[0] == key[0]:
-            pivot[: int(np.searchsorted(key, key[0], "right"))] = last[1]
-        last = (key[-1], pivot[-1])
+    """Rows sorted by (key, sid): (sid, pivot) without a key, once a batch, for sets with a key that a lesser one, the pivot, has too;
+    and with the key for keys of three sets or more. At most two rows and the pivot of the last key are carried on."""
+    none = np.zeros(0, np.int64)
+    held = (none, none)  # of a key of which two sets at most have been seen
+    on: tuple | None = None  # a key of more, its pivot and its last set
+
+    def told(key: np.ndarray, sid: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, on
+        again = np.zeros(len(key), bool)  # repeated rows
+        again[1:] = (key[1:] == key[:-1]) & (sid[1:] == sid[:-1])
+        again[:1] = on is not None and (key[0], sid[0]) == (on[0], on[2])
+        key, sid = key[~again], sid[~again]
+        if not len(key):
+            return
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(start, append=len(key))
+        pivot, more = sid[start].copy(), size > 2
+        if on is not None and on[0] == key[0]:
+            pivot[0], more[0] = on[1], True
+        end = len(key)
+        if not last and not more[-1]:
+            end = int(start[-1])
+            held, on = (key[end:], sid[end:]), None
+        else:
+            held, on = (none, none), (key[-1], pivot[-1], sid[-1])
+        run = np.repeat(np.arange(len(start)), size)[:end]
+        key, sid, pivot, more = key[:end], sid[:end], pivot[run], more[run]
         far = sid != pivot
-        if far.any():
-            pairs = np.unique(np.stack([sid[far], pivot[far]], axis=1), axis=0)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        pairs = np.unique(np.stack([sid[far], pivot[far]], axis=1), axis=0)
+        rest = more & far
+        if len(pairs):
+            yield pa.record_batch([pa.array(np.append(x, y)) for x, y in ((pairs[:, 0], sid[rest]), (pairs[:, 1], pivot[rest]))] + [pa.array(np.append(np.zeros(len(pairs), np.int64), key[rest]), mask=np.append(np.ones(len(pairs), bool), np.zeros(int(rest.sum()), bool)))], ["sid", "pivot", "key"])
+
+    for batch in batches:
+        if batch.num_rows:
+            key, sid = (np.append(h, batch.column(i).to_numpy()) for i, h in enumerate(held))
+            yield from told(key, sid, False)
+    if len(held[0]):
+        yield from told(*held, True)
 
 
-def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set the others that it links with: (index, indices). side: if given, only pairs of different sides."""
+def trie_links(sets: list[np.ndarray], percent: int, stored: np.ndarray | None = None, probes: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set stored in the tree the probes that it links with, itself left out: (index, indices). All of both unless given."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets])
     every, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -166,7 +186,7 @@ def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     shared = np.flatnonzero(count > 1)  # an n-gram of one member adds to no overlap
     _, pick, weight = np.unique(sig[shared], return_index=True, return_counts=True)
     rep = shared[pick]
-    rank = np.lexsort((rep, -count[rep]))
+    rank = np.argsort(rep)  # the order of hashes, the same in every block
     rep, weight = rep[rank], weight[rank].astype(np.int64)
     # members of token r: owner[begin[r] : begin[r] + freq[r]]
     begin, freq = start[rep], count[rep]
@@ -182,7 +202,8 @@ def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     ordered = token[by]
     seqs = [ordered[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
     names = [x.astype(">u4").tobytes() for x in seqs]
-    line = sorted(range(n), key=names.__getitem__)
+    line = sorted(range(n) if stored is None else stored.tolist(), key=names.__getitem__)
+    probes = np.arange(n) if probes is None else probes
     cum = np.append(0, np.cumsum(freq))
 
     def added(chain: np.ndarray, alive: np.ndarray) -> np.ndarray:
@@ -194,7 +215,7 @@ def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
         who = np.concatenate([member[cum[t] : cum[t + 1]] for t in chain])
         return np.bincount(who, np.repeat(weight[chain], freq[chain]), minlength=n).astype(np.int64)[alive]
 
-    stack = [(0, n, 0, 0, np.zeros(n, np.int64), np.arange(n))]
+    stack = [(0, len(line), 0, 0, np.zeros(len(probes), np.int64), probes)] if line else []
     while stack:
         lo, hi, depth, passed, overlap, alive = stack.pop()
         first = seqs[line[lo]]
@@ -217,7 +238,7 @@ def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
         if hi - lo == 1:
             y = line[lo]
             linked = (100 + percent) * overlap >= percent * (sizes[alive] + sizes[y])
-            linked &= (alive != y) if side is None else (side[alive] != side[y])
+            linked &= alive != y
             if linked.any():
                 yield y, alive[linked]
             continue
@@ -239,7 +260,7 @@ def _join(size: int, percent: int):
     def group(rows: dict[int, tuple], cross: bool) -> list[tuple[int, int, int]]:
         sids = list(rows)
         sets, mult = [rows[s][0] for s in sids], np.array([rows[s][1] for s in sids])
-        side = np.array([rows[s][2] for s in sids]) if cross else None
+        sides = np.array([rows[s][2] for s in sids])
         parent = list(range(len(sids)))
 
         def root(x: int) -> int:
@@ -249,8 +270,10 @@ def _join(size: int, percent: int):
             return x
 
         links = np.zeros(len(sids), np.int64)
-        for y, others in trie_links(sets, percent, side):
-            links[y] = mult[others].sum()
+        for y, others in trie_links(sets, percent, *((np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if cross else ())):
+            links[y] += mult[others].sum()
+            if cross:
+                links[others] += mult[y]
             for x in others.tolist():
                 a, b = root(x), root(y)
                 if a != b:
@@ -285,6 +308,51 @@ def _join(size: int, percent: int):
     return join
 
 
+def _verify(size: int, percent: int):
+    """Rows sorted by (pivot, part), the pivot's first: links (sid, pivot). Members are stored in trees of bounded size, the pivot probes them."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, lead, held, grams = None, None, {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held and lead is not None:
+                sids = list(held)
+                n = len(sids)
+                found = [sids[y] for y, _ in trie_links([*held.values(), lead], percent, np.arange(n), np.array([n]))]
+                if found:
+                    yield pa.record_batch([pa.array(found, pa.int64()), pa.array([last[0]] * len(found), pa.int64())], ["a", "b"])
+            held.clear()
+
+        for batch in batches:
+            for part, data, offsets in chunks(batch):
+                cols = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("pivot", "part", "sid")]
+                for pivot, k, sid, x in zip(*cols, gram_sets(data, offsets, size), strict=True):
+                    if (pivot, k) != last or len(held) >= BLOCK_MEMBERS or grams >= BLOCK_GRAMS:
+                        yield from flush()
+                        grams = 0
+                        if (pivot, k) != last:
+                            last, lead = (pivot, k), None
+                    if sid == pivot:
+                        lead = x
+                    else:
+                        held[sid] = x
+                        grams += len(x)
+        yield from flush()
+
+    return verify
+
+
+def _star_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs: sid, pivot, all different. The links among them: a, b. A pivot of very many sets is copied to parts of them."""
+    n = partitions(pairs.sparkSession)
+    counts = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"))
+    counts = staged(counts.withColumn("parts", F.ceil(F.col("rows") / BLOCK_MEMBERS).cast("int")), "pivots")
+    rows = salted_join(pairs, counts.select("pivot", "parts"), "pivot", ["sid"], counts.select("pivot", "rows")).select("pivot", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), "sid", F.lit(1).alias("later"))
+    leads = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("sid"), F.lit(0).alias("later"))
+    rows = rows.union(leads).join(classes.select("sid", "rk"), "sid").join(texts, "rk").select("pivot", "part", "later", "sid", "text")
+    return rows.repartition(n, "pivot", "part").sortWithinPartitions("pivot", "part", "later").mapInArrow(lean(_verify(size, percent)), "a long, b long")
+
+
 def _blocks(found: DataFrame, percent: int) -> DataFrame:
     """Rows of found for each block of their group: (comp, i, j), with side (whether in part i).
 
@@ -292,24 +360,46 @@ def _blocks(found: DataFrame, percent: int) -> DataFrame:
     are at most one band apart, part i and part j meet only if their bands are equal or next to each other.
     """
     step = math.log(100 / percent) * 1.001
-    found = found.withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / step)).otherwise(0).cast("long"))
-    parts = found.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("parts"))
-    own = found.join(parts, ["comp", "band"])
-    own = own.withColumn("here", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("sid"), "parts"))
-    own = own.withColumn("near", F.explode(F.when(F.col("large"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
-    met = parts.select(F.col("comp").alias("c"), F.col("band").alias("near_band"), F.col("parts").alias("others"))
-    own = own.join(met, (own.comp == met.c) & (own.near == met.near_band))
-    own = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))).withColumn("there", F.col("near") * (1 << 32) + F.col("part"))
+    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), ((F.count(F.lit(1)) > BLOCK_MEMBERS) | (F.sum("n") > BLOCK_GRAMS)).alias("large"))
+    found = salted_join(found, sizes.select("comp", "large"), "comp", ["sid"], sizes.select("comp", "rows"))
+    found = staged(found.withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / step)).otherwise(0).cast("long")).withColumn("at", F.concat_ws(":", "comp", "band")), "banded")
+    parts = found.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("rows"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("parts"))
+    parts = staged(parts, "parts")
+    # For each band the parts of the bands that its members meet: its own and, of a large group, its neighbours'.
+    near = parts.select("comp", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct(F.col("band").alias("near"), "parts").alias("met"))
+    near = near.groupBy("comp", "band").agg(F.collect_list("met").alias("met")).join(parts, ["comp", "band"])
+    near = near.select(F.concat_ws(":", "comp", "band").alias("at"), "met", "parts", "rows")
+    own = salted_join(found, near.select("at", "met", "parts"), "at", ["sid"], near.select("at", "rows"))
+    own = own.withColumn("here", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("sid"), "parts")).withColumn("m", F.explode("met"))
+    own = own.withColumn("there", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m.parts") - 1), lambda k: F.col("m.near") * (1 << 32) + k)))
     return own.select("comp", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"), (F.col("here") < F.col("there")).cast("int").alias("side"), "sid", "mult", "rk")
 
 
-def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_key: bool = False) -> DataFrame:
+def _joined(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """groups: comp, sid, rk, mult, n. Joins the sets of each group with one another: sid, root (of its links in a block), links."""
+    rows = _blocks(groups, percent).join(texts, "rk").select("comp", "i", "j", "side", "sid", "mult", "text")
+    rows = rows.repartition(partitions(groups.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    return staged(rows.mapInArrow(lean(_join(size, percent)), "sid long, root long, links long"), "links")
+
+
+def _open_groups(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of the keys whose sets, but for the pivot, are of several classes: comp (a name of the group, one for keys of the same sets) and sid."""
+    rows = stars.filter("key is not null").select("key", "sid").join(labels, F.col("sid") == labels.v, "left").select("key", "sid", F.coalesce("c", "sid").alias("c"))
+    left = rows.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("sid")).alias("comp")).filter("a <> b")
+    left = staged(left.withColumn("comp", F.xxhash64("comp", "rows")), "open")
+    once = left.groupBy("comp").agg(F.min("key").alias("key"), F.first("rows").alias("rows"))
+    return salted_join(stars.filter("key is not null").select("key", "sid"), once.select("key", "comp"), "key", ["sid"]).select("comp", "sid")
+
+
+def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_key: bool = False, links: bool = True) -> DataFrame:
     """Link documents with 100 * intersection >= percent * union of their sets of size-word n-grams, and close the links.
 
     docs: doc_id, text; other columns are not read. Words are runs of non-white space with A-Z lower-cased; fewer words than
     size make one n-gram. Returns for each row doc_id, n_shingles (size of its set), component_id (the smallest doc_id
     reached by links, itself included) and n_links (rows it links with directly). Null or wordless texts have no set and
-    link with nothing. row_key adds rk, xxhash64 of doc_id as text and text. Equal sets always link, so repeated rows do. A null doc_id is never a component's id, unless all are null.
+    link with nothing. row_key adds rk, xxhash64 of doc_id as text and text, and root, which tells classes of one component_id
+    apart (rows of one doc_id may be of several; null without a set). links: whether n_links is wanted; counting them takes all pairs of a class,
+    closing them doesn't. Equal sets always link, so repeated rows do. A null doc_id is never a component's id, unless all are null.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -317,22 +407,26 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_ke
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("rk"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = staged(docs.mapInArrow(lean(_sets(size)), f"doc_id {kind}, rk long, n_shingles long, sid long"), "members")
-    keys = docs.select("text").mapInArrow(lean(_keys(size, percent)), "key long, sid long")
-    groups = components(staged(keys.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(lean(_stars), "a long, b long"), "stars"))
-    classes = staged(members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("mult"), F.first("n_shingles").alias("n")), "classes")
-    found = groups.join(classes, groups.v == classes.sid).select("sid", F.col("c").alias("comp"), "rk", "mult", "n")
-    sizes = found.groupBy("comp").agg(((F.count(F.lit(1)) > BLOCK_MEMBERS) | (F.sum("n") > BLOCK_GRAMS)).alias("large"))
-    found = staged(found.join(sizes, "comp"), "found")
-    pairs = _blocks(found, percent).join(docs.select("rk", "text"), "rk").select("comp", "i", "j", "side", "sid", "mult", "text")
-    pairs = pairs.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    links = staged(pairs.mapInArrow(lean(_join(size, percent)), "sid long, root long, links long"), "links")
-    if found.filter("large").isEmpty():
-        roots = links.select("sid", "root")
-    else:
-        roots = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("sid"), F.col("c").alias("root"))
-    degree = links.groupBy("sid").agg(F.sum("links").alias("links"))
-    roots = staged(roots.join(classes.select("sid", "least"), "sid"), "roots")
-    ids = roots.groupBy("root").agg(F.min("least").alias("component"))
-    by_set = classes.join(roots.join(ids, "root").select("sid", "component"), "sid", "left").join(degree, "sid", "left").select("sid", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
-    return members.join(by_set, "sid", "left").select(*(["rk"] if row_key else []), "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    members = staged(docs.mapInArrow(lean(_sets(size, percent)), f"doc_id {kind}, rk long, n_shingles long, sid long, keys array<long>"), "members")
+    classes = members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("mult"), F.first("n_shingles").alias("n"))
+    classes = staged(classes, "classes")
+    # Keys of one row of each class only, so copies don't crowd them.
+    keys = members.select("rk", "sid", "keys").join(classes.select("rk"), "rk", "left_semi").select(F.explode("keys").alias("key"), "sid")
+    stars = staged(keys.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(lean(_stars), "sid long, pivot long, key long"), "stars")
+    texts = docs.select("rk", "text")
+    found = staged(_star_links(staged(stars.filter("key is null").select("sid", "pivot").distinct(), "pairs"), classes, texts, size, percent), "links")
+    labels = components(found)
+    open_ = staged(_open_groups(stars, labels).join(classes.drop("least"), "sid"), "open")
+    if not open_.isEmpty():
+        more = _joined(open_, texts, size, percent)
+        labels = components(found.union(more.select("sid", "root")))
+    sets = staged(classes.join(labels, classes.sid == labels.v, "left").select("sid", "least", "rk", "mult", "n", F.coalesce("c", "sid").alias("comp")), "sets")
+    whole = sets.groupBy("comp").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("rows"), F.sum("mult").alias("all"))
+    sets = staged(salted_join(sets, whole.select("comp", "component", F.col("rows").alias("kinds"), "all"), "comp", ["sid"], whole.select("comp", "rows")), "labelled")
+    if links:
+        counted = _joined(sets.filter("kinds > 2").select("comp", "sid", "rk", "mult", "n"), texts, size, percent).groupBy("sid").agg(F.sum("links").alias("links"))
+        sets = sets.join(counted, "sid", "left").withColumn("links", F.when(F.col("kinds") > 2, F.coalesce("links", F.lit(0)) + F.col("mult") - 1).otherwise(F.col("all") - 1))
+    told = sets.select("sid", "component", F.col("comp").alias("root"), *(["links"] if links else []))
+    by_row = salted_join(members.filter("sid is not null").drop("keys"), told, "sid", ["rk"], classes.select("sid", F.col("mult").alias("rows")))
+    bare = members.filter("sid is null").drop("keys").select("*", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("root"), *([F.lit(0).cast("long").alias("links")] if links else []))
+    return by_row.unionByName(bare).select(*(["rk", "root"] if row_key else []), "doc_id", "n_shingles", F.col("component").alias("component_id"), *([F.col("links").cast("long").alias("n_links")] if links else []))
