@@ -122,7 +122,8 @@ class Rule:
         return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int, cuts: int) -> list[tuple[str, str, float]]:
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int, cuts: int, aside: set[tuple[str, str]]) -> list[tuple[str, str, float]]:
+    """Conditions by information gain, one after the other; the first is none that has been put aside."""
     inside = np.ones(len(bad), bool)
     out: list[tuple[str, str, float]] = []
     while len(out) < most and (~bad & inside).any():
@@ -141,7 +142,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int, cuts: int) -> li
                 good, all_ = of(k)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(good > 0, good * (np.log2(good / all_) - base), -1)
-                if len(gain) and gain.max() > best[0]:
+                if len(gain) and gain.max() > best[0] and (out or (f, op) not in aside):
                     i = int(np.argmax(gain))
                     middle = float((values[k[i] - 1] + values[k[i]]) / 2)
                     best = (float(gain[i]), (f, op, middle))
@@ -152,40 +153,53 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int, cuts: int) -> li
     return out
 
 
-def learn(x: dict[str, np.ndarray], keep: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, support: int = 8, cuts: int = 256) -> list[Rule]:
+def _pruned(conditions: list[tuple[str, str, float]], x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[Rule, float]:
+    """The rule of the first conditions that do best on the rows given, and the share that it rejects rightly there (0 if it covers none)."""
+    best, n = -2.0, 0
+    for k in range(1, len(conditions) + 1):
+        hit = Rule(tuple(conditions[:k]), False).matches(x)
+        p, q = (hit & bad).sum(), (hit & ~bad).sum()
+        worth = (p - q) / (p + q) if p + q else -1.0
+        if worth > best + 1e-12:
+            best, n = worth, k
+    tight: dict[tuple[str, str], float] = {}
+    for f, op, t in conditions[:n]:
+        tight[f, op] = min(t, tight.get((f, op), t)) if op == "<=" else max(t, tight.get((f, op), t))
+    return Rule(tuple((f, op, t) for (f, op), t in tight.items()), False), (best + 1) / 2
+
+
+def learn(x: dict[str, np.ndarray], keep: np.ndarray, most_conditions: int = 4, precision: float = 0.9, support: int = 8, cuts: int = 256) -> list[Rule]:
     """Rules that reject, in order; what none matches is kept.
 
-    Every third row prunes. A rule must reject rightly in precision of the rows it covers there, and cover support rows in all.
-    Without rows of both kinds no rule is learned.
+    Every third row of each kind prunes. A rule must reject rightly in precision of the rows it covers there and in all, and
+    cover support rows in all; where a twentieth of the bad rows is less than support, that many, 3 at least. A rule that
+    doesn't is dropped, the feature and side of its first condition is put aside as a first condition, and another is grown;
+    covering ends when no first condition is left or no bad row. Without rows of both kinds no rule is learned.
     """
     bad = ~np.asarray(keep, bool)
-    prune = np.arange(len(bad)) % 3 == 2
+    prune = np.zeros(len(bad), bool)
+    for kind in (bad, ~bad):
+        prune[np.flatnonzero(kind)[2::3]] = True
+    support = min(support, max(3, -(-int(bad.sum()) // 20)))
     left = np.ones(len(bad), bool)
     rules: list[Rule] = []
-    while len(rules) < most_rules:
+    aside: set[tuple[str, str]] = set()
+    while True:
         grow, test = left & ~prune, left & prune
         if not (bad & grow).any() or not (~bad & grow).any():
             break
-        conditions = _grow({f: v[grow] for f, v in x.items()}, bad[grow], most_conditions, cuts)
-        best, n = -2.0, 0
-        for k in range(1, len(conditions) + 1):
-            hit = Rule(tuple(conditions[:k]), False).matches(x) & test
-            p, q = (hit & bad).sum(), (hit & ~bad).sum()
-            worth = (p - q) / (p + q) if p + q else -1.0
-            if worth > best + 1e-12:
-                best, n = worth, k
-        if not n:
+        conditions = _grow({f: v[grow] for f, v in x.items()}, bad[grow], most_conditions, cuts, aside)
+        if not conditions:
             break
-        tight: dict[tuple[str, str], float] = {}
-        for f, op, t in conditions[:n]:
-            tight[f, op] = min(t, tight.get((f, op), t)) if op == "<=" else max(t, tight.get((f, op), t))
-        rule = Rule(tuple((f, op, t) for (f, op), t in tight.items()), False)
+        rule, share = _pruned(conditions, {f: v[test] for f, v in x.items()}, bad[test])
         hit = rule.matches(x) & left
         right = int((hit & bad).sum())
-        if (best + 1) / 2 < precision or hit.sum() < support or right < precision * hit.sum():
-            break
+        if share < precision or hit.sum() < support or right < precision * hit.sum():
+            aside.add(conditions[0][:2])
+            continue
         rules.append(Rule(rule.conditions, False, int(hit.sum()), right))
         left &= ~hit
+        aside.clear()
     return rules
 
 
@@ -214,7 +228,8 @@ def judged(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, rules: l
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. kept: false if base_failed,
     else what the rules say; rules are learned from labels unless given. Null text has no words and fails. Repeated rows are
     judged alike. If a doc_id has several labels the lowest counts; labels of null are left out. Without labels nothing
-    but the base rejects. An empty table gives an empty result.
+    but the base rejects. An empty table gives an empty result. most_rows bounds the labelled rows that rules are learned from;
+    learn() says what a rule must do, and that it has four conditions at most, of 256 thresholds tried for each feature.
     """
     counts = staged(statistics(docs), "counts")
     rules = learned_rules(counts, labels, most_rows) if rules is None else rules

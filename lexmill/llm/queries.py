@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_templates, quality_rules, warc
+from . import language_id, line_templates, oracles, quality_rules, warc
 from .chat_tree import chat_tree, read_back
 from .decontaminate import contamination
 from .ngram_join import similarity_classes
@@ -48,6 +48,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that need no rules."""
+    return op5_quality_rules(spark, sf_dir).drop("kept")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(path, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -80,10 +85,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "quality_base": quality_base,
     "op6_warc": op6_warc,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op10_line_dedup": line_templates.oracle()}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": oracles.OP4,
+    "quality_base": oracles.QUALITY_BASE,
+    "op6_warc": oracles.OP6,
+    "op7_chat_formatting": oracles.OP7,
+    "op8_ngram_jaccard_join": oracles.OP8,
+    "op10_line_dedup": line_templates.oracle(),
+}

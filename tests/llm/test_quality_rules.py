@@ -57,3 +57,86 @@ def test_verdicts(spark):
     assert {x.doc_id for x in got if x.base_failed} == {200, 201, 202}
     assert all(x.kept != x.base_failed for x in judged(df, lab.limit(0)).collect())
     assert judged(df.limit(0), lab).count() == 0
+
+
+def brute_learn(x, keep, most_conditions=4, precision=0.9, support=8):
+    """Covering by loops over all rows, features and thresholds."""
+    bad = [not k for k in keep]
+    n = len(bad)
+    order = {True: 0, False: 0}
+    prune = []
+    for b in bad:
+        prune.append(order[b] % 3 == 2)
+        order[b] += 1
+    support = min(support, max(3, -(-sum(bad) // 20)))
+    covers = lambda cs, i: all(x[f][i] <= t if op == "<=" else x[f][i] >= t for f, op, t in cs)
+    left, rules, aside = set(range(n)), [], set()
+    while True:
+        grow, test = [i for i in left if not prune[i]], [i for i in left if prune[i]]
+        if not any(bad[i] for i in grow) or all(bad[i] for i in grow):
+            return rules
+        cs, inside = [], grow
+        while len(cs) < most_conditions and any(not bad[i] for i in inside):
+            p, best = sum(bad[i] for i in inside), (1e-9, None)
+            base = np.log2(p / len(inside))
+            for f in x:
+                values = sorted({x[f][i] for i in inside})
+                cuts = [(a + b) / 2 for a, b in zip(values, values[1:])]
+                for op in ("<=", ">="):
+                    for t in cuts:
+                        hit = [i for i in inside if covers([(f, op, t)], i)]
+                        good = sum(bad[i] for i in hit)
+                        gain = good * (np.log2(good / len(hit)) - base) if good else -1
+                        if gain > best[0] + 1e-12 and (cs or (f, op) not in aside):
+                            best = (gain, (f, op, t))
+            if best[1] is None:
+                break
+            cs.append(best[1])
+            inside = [i for i in inside if covers([best[1]], i)]
+        if not cs:
+            return rules
+        worth = []
+        for k in range(1, len(cs) + 1):
+            hit = [i for i in test if covers(cs[:k], i)]
+            p = sum(bad[i] for i in hit)
+            worth.append((2 * p - len(hit)) / len(hit) if hit else -1.0)
+        k = worth.index(max(worth)) + 1
+        hit = {i for i in left if covers(cs[:k], i)}
+        right = sum(bad[i] for i in hit)
+        if (max(worth) + 1) / 2 < precision or len(hit) < support or right < precision * len(hit):
+            aside.add(cs[0][:2])
+        else:
+            rules.append(hit)
+            left -= hit
+            aside = set()
+
+
+def test_covering_as_brute_force():
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        x = {"a": r.integers(0, 12, 150).astype(float), "b": r.integers(0, 8, 150).astype(float), "c": r.random(150).round(2)}
+        keep = ~((x["a"] > 8) | (x["b"] < 1) & (x["c"] > 0.4)) ^ (r.random(150) < 0.03)
+        left, got = np.ones(150, bool), []
+        for rule in learn(x, keep):
+            hit = rule.matches(x) & left
+            got.append(set(np.flatnonzero(hit).tolist()))
+            left &= ~hit
+        assert got == brute_learn({f: v.tolist() for f, v in x.items()}, keep.tolist()) and got
+
+
+def test_goes_on_after_a_rule_that_fails():
+    """The best first condition holds for too few rows; the rule behind it is found all the same."""
+    r = np.random.default_rng(3)
+    x = {"a": r.random(300), "b": r.random(300)}
+    keep = np.ones(300, bool)
+    keep[:2] = False
+    x["a"][:2] = 5.0
+    keep[np.flatnonzero(x["b"] > 0.9)] = False
+    rules = learn(x, keep)
+    assert rules and all(("b", ">=") == rule.conditions[0][:2] for rule in rules)
+
+
+def test_very_long_text(spark):
+    text = "word " * 300_000 + "\n" + "#" * 1_000_000
+    got = statistics(spark.createDataFrame([(1, text, "")], DOCS)).first()
+    assert tuple(got[1:])[:6] == (300_001, 2_200_000, 1_000_000, 0, 300_000, 2)
