@@ -33,10 +33,11 @@ def _key() -> Column:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of linked documents, by row key rk, and the keys of those that stay."""
-    found = staged(similarity_classes(docs, SHINGLE, PERCENT, row_key=True), "classes")
-    stay = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("rk").alias("rk")).select("rk")
-    return found, stay.union(found.filter("doc_id is null and component_id is null").select("rk"))
+    """Classes of linked documents, by row key rk and root (null for texts without words, which link with nothing), and the keys of those that stay."""
+    found = staged(similarity_classes(docs, SHINGLE, PERCENT, row_key=True, links=False), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
+    stay = found.filter("root is not null").groupBy("root").agg(first.alias("first")).select(F.col("first.rk").alias("rk"))
+    return found, stay.union(found.filter("root is null").select("rk"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +52,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if whole.isEmpty():
         return docs.select(columns)
     found, stay = _classes(docs)
-    found = found.join(whole, "rk", "left_semi").select("rk", "component_id").distinct()
-    kept = found.join(stay, "rk", "left_semi").select(F.col("component_id").alias("c")).distinct()
-    cut = found.join(kept, F.col("component_id").eqNullSafe(F.col("c")), "left_semi").select(F.col("rk").alias("_rk"), F.lit(True).alias("_cut")).distinct()
+    found = found.join(whole, "rk", "left_semi").select(F.col("rk").alias("_rk"), "root").distinct()
+    kept = found.join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").select("root").distinct()
+    cut = found.join(kept, "root", "left_semi").select("_rk", F.lit(True).alias("_cut"))
     return docs.join(cut, "_rk", "left").withColumn("text", F.when(F.col("_cut"), F.col("rest")).otherwise(F.col("text"))).select(columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id stays; rows without a doc_id all stay, unless they repeat."""
+    """Of each class of linked documents the one with the least doc_id stays. Texts without words all stay; rows that repeat stay once."""
     _, stay = _classes(docs)
     return docs.withColumn("_rk", _key()).join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").dropDuplicates(["_rk"]).select(docs.columns)
 
