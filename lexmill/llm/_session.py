@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch that Spark hands to Python, and the rows it may hold at most.
@@ -45,18 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.gettempdir()}/lexmill-{getpass.getuser()}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Folders made so far, in order, and not deleted.
+FOLDERS: list[str] = []
+
+
 def run_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below shared_dir(); it is deleted when the driver ends."""
+    """A new folder below shared_dir(); it is deleted by release(), or when the driver ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    if not FOLDERS:
+        atexit.register(release, spark)
+    FOLDERS.append(path)
     return path
 
 
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders from number since of FOLDERS on, but for keep. What still reads them fails: call it when results are written."""
+    for path in FOLDERS[since:]:
+        if path not in keep:
+            _delete(spark, path)
+            FOLDERS.remove(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -66,6 +83,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """A file system for Python workers and the path in it, for the schemes that Spark knows: file, hdfs, s3a, gs, abfss, and
+    those of fsspec where that is installed."""
+    scheme, _, rest = path.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
+    except pa.ArrowInvalid:
+        import fsspec
+
+        store, root = fsspec.core.url_to_fs(path)
+        return pafs.PyFileSystem(pafs.FSSpecHandler(store)), root
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: it is computed once, and lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scan import added, largest, prefix_scan
-from ._session import lean, partitions, run_dir, staged, tune
+from ._session import lean, open_store, partitions, run_dir, staged, tune
 
 #: Bytes that are tokenised together, and bytes of a file at which the next one is begun.
 PART_BYTES, FILE_BYTES = 1 << 20, 256 << 20
@@ -57,7 +56,7 @@ def encode_text(encoding, text: str) -> list[int]:
 def _writer(ranks, pattern: str, path: str, end: int, kind: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoding_of(ranks.value, pattern)
-        store, root = pafs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         stop = np.array([end], kind).tobytes()
         out, name, ordinal, size = None, "", 0, 0
         try:
@@ -109,7 +108,7 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end: int =
 
 def _counter(path: str, end: int, kind: str, block: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         for batch in batches:
             for file, at, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 with store.open_input_file(f"{root}/{file}") as f:

@@ -3,7 +3,8 @@
 Archives are series of gzip members, one for each record, so that a record can be read by its place alone. Payloads that
 were written before are revisit records: a first pass finds, for each payload digest, the page that holds the payload. Each
 task writes its own archives and returns an index row for each record: offset, length, URL, digest and kind. Reading takes
-any selection of index rows, sorts it by place, joins ranges that lie close together into one read, and parses the records.
+any selection of index rows, deals it by file and stretch of offsets, sorts it by place, joins ranges that lie close together
+into one read, across Arrow batches, and parses the records.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import lean, run_dir, staged, tune
+from ._session import lean, open_store, partitions, run_dir, staged, tune
+from ._skew import salted_join
 
 #: Bytes of an archive at which the next one is begun; gap and size of reads that are joined.
 FILE_BYTES, GAP, READ_BYTES = 128 << 20, 64 << 10, 8 << 20
+#: Bytes of an archive that one task reads selected records of, so long as there are more stretches than tasks.
+STRETCH = 32 << 20
+#: Digests of payloads that several pages have which are broadcast at most, some 60 MB; beyond that pages are shuffled to them.
+MOST_BROADCAST = 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 INDEX = ["page_id", "url", "file", "offset", "length", "digest", "record_type", "refers_to", "payload_bytes"]
@@ -77,7 +82,7 @@ def parse(raw: bytes) -> dict[str, object]:
 
 def _writer(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         out, name, at = None, "", 0
         try:
             for batch in batches:
@@ -105,7 +110,7 @@ def _writer(path: str):
 
 
 def write_archives(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
-    """Write pages (page_id, url, html) to archives in the shared folder; other columns are not read.
+    """Write pages (page_id, an integer, url, html) to archives in the shared folder; other columns are not read.
 
     Returns the folder and the index. Of equal payloads of at least least bytes the one with the largest page_id is the
     response, the others revisit it; smaller payloads are all responses. Null html is an empty payload, a null url an empty
@@ -116,54 +121,72 @@ def write_archives(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
     tune(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html"))
-    # Digests alone are aggregated, in each task first; a digest that very many pages have meets one row, so the join may split it.
-    held = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "holder")
-    rows = rows.join(held, "sha", "left")
-    refers = F.when(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
+    # Digests alone are aggregated, in each task first; only pages of which others have the payload need to meet them.
+    held = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    held = staged(held, "held")
+    if held.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(held.select("sha", "holder")), "sha", "left")
+    else:
+        # A digest that very many pages have is dealt out.
+        alone = rows.join(held.select("sha"), "sha", "left_anti").withColumn("holder", F.lit(None).cast("long"))
+        rows = salted_join(rows, held.select("sha", "holder"), "sha", ["page_id", "url"], held.select("sha", "rows")).unionByName(alone)
+    refers = F.when(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")) & (F.octet_length("html") >= least), F.col("holder"))
     path = run_dir(spark, "warc")
     index = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(lean(_writer(path)), "page_id long, url string, file string, offset long, length long, digest string, record_type string, refers_to long, payload_bytes long")
     return path, staged(index, "warc-index")
 
 
-def ranges(places: list[tuple[int, int]], gap: int = GAP, most: int = READ_BYTES) -> Iterator[tuple[int, int, list[int]]]:
-    """Sorted (offset, length) joined to reads: (begin, end, numbers of the places in it)."""
-    begin = end = -1
-    inside: list[int] = []
-    for k, (at, size) in enumerate(places):
-        if inside and (at - end > gap or at + size - begin > most):
-            yield begin, end, inside
+def ranges(places: Iterator[tuple[str, int, int]], gap: int = GAP, most: int = READ_BYTES) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
+    """Sorted (file, offset, length) joined to reads: (file, begin, end, places in it)."""
+    name, begin, end = "", -1, -1
+    inside: list[tuple[int, int]] = []
+    for file, at, size in places:
+        if inside and (file != name or at - end > gap or at + size - begin > most):
+            yield name, begin, end, inside
             inside = []
         if not inside:
-            begin, end = at, at
-        inside.append(k)
+            name, begin, end = file, at, at
+        inside.append((at, size))
         end = max(end, at + size)
     if inside:
-        yield begin, end, inside
+        yield name, begin, end, inside
 
 
 def _reader(path: str, payloads: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
-        for batch in batches:
-            wanted: dict[str, list[tuple[int, int]]] = {}
-            for file, at, size in sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                wanted.setdefault(file, []).append((at, size))
-            for file, places in wanted.items():
-                with store.open_input_file(f"{root}/{file}") as f:
-                    for begin, end, inside in ranges(places):
-                        raw = f.read_at(end - begin, begin)
-                        found = [parse(raw[places[k][0] - begin : places[k][0] - begin + places[k][1]]) for k in inside]
-                        if not payloads:
-                            for x in found:
-                                x["payload"] = None
-                        yield pa.record_batch([pa.array([x[c] for x in found], k) for c, k in kinds.items()], list(kinds))
+        places = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        name, archive = "", None
+        try:
+            for file, begin, end, inside in ranges(places):
+                if file != name:
+                    if archive is not None:
+                        archive.close()
+                    name, archive = file, store.open_input_file(f"{root}/{file}")
+                raw = archive.read_at(end - begin, begin)
+                found = [parse(raw[at - begin : at - begin + size]) for at, size in inside]
+                if not payloads:
+                    for x in found:
+                        x["payload"] = None
+                yield pa.record_batch([pa.array([x[c] for x in found], k) for c, k in kinds.items()], list(kinds))
+        finally:
+            if archive is not None:
+                archive.close()
 
     return read
 
 
+def placed(index: DataFrame) -> DataFrame:
+    """file, offset, length of a selection of index rows, in whatever order they come, as they are best read: stretches of a file
+    in one task each, sorted. A few files are dealt to all tasks by their stretches."""
+    n = partitions(index.sparkSession)
+    return index.select("file", "offset", "length").repartition(n, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+
+
 def read_archives(path: str, index: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of a selection of index rows (file, offset, length): page_id, url, record_type, refers_to, payload_bytes,
-    payload_digest and payload (null for revisits, or if payloads is False). A null url reads as an empty one."""
+    payload_digest and payload (null for revisits, or if payloads is False). A null url reads as an empty one. Rows that are
+    selected twice are read twice. An empty selection gives an empty result."""
     tune(index.sparkSession)
-    return index.select("file", "offset", "length").mapInArrow(lean(_reader(path, payloads)), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return placed(index).mapInArrow(lean(_reader(path, payloads)), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")

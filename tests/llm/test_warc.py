@@ -3,10 +3,11 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lexmill.llm import warc
-from lexmill.llm.warc import digest_of, ranges, read_archives, write_archives
+from lexmill.llm.warc import digest_of, placed, ranges, read_archives, write_archives
 
 PAGES = StructType([StructField("page_id", LongType()), StructField("url", StringType()), StructField("html", StringType()), StructField("file", StringType())])
 
@@ -55,5 +56,24 @@ def test_damage_is_found():
 
 
 def test_ranges():
-    assert list(ranges([(0, 10), (10, 5), (20, 5), (90, 5)], gap=5, most=100)) == [(0, 25, [0, 1, 2]), (90, 95, [3])]
-    assert [x[:2] for x in ranges([(0, 10), (10, 10), (20, 10)], gap=5, most=20)] == [(0, 20), (20, 30)]
+    places = [("a", 0, 10), ("a", 10, 5), ("a", 20, 5), ("a", 90, 5), ("b", 95, 5)]
+    assert list(ranges(iter(places), gap=5, most=100)) == [("a", 0, 25, [(0, 10), (10, 5), (20, 5)]), ("a", 90, 95, [(90, 5)]), ("b", 95, 100, [(95, 5)])]
+    assert [x[1:3] for x in ranges(iter([("a", 0, 10), ("a", 10, 10), ("a", 20, 10)]), gap=5, most=20)] == [(0, 20), (20, 30)]
+
+
+def test_a_shuffled_selection_costs_as_few_reads(spark):
+    df = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 50, "") for i in range(4000)], PAGES).repartition(2)
+    path, index = write_archives(df)
+    some = index.filter("page_id % 3 = 0")
+    reads = lambda rows: sum(len(list(ranges(iter(p)))) for p in placed(rows).rdd.map(tuple).glom().collect() if p)
+    assert reads(some.orderBy("file", "offset")) == reads(some.orderBy(F.rand(1)).repartition(7)) == index.select("file").distinct().count()
+    assert {x.page_id for x in read_archives(path, some.orderBy(F.rand(1))).collect()} == set(range(0, 4000, 3))
+
+
+def test_many_copies_and_very_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    long = "<p>long é</p>" * 300_000
+    mine = [(i, f"u{i}", "same" if i % 3 else f"own {i}", "") for i in range(300)] + [(300, "l", long, ""), (301, "m", long, "")]
+    df = spark.createDataFrame(mine, PAGES).repartition(5)
+    got = [(*x[:6], None if x.payload is None else bytes(x.payload)) for x in read_archives(*write_archives(df)).collect()]
+    assert sorted(got, key=str) == sorted(brute([x[:3] for x in mine], 0), key=str)
