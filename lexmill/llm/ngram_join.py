@@ -7,7 +7,8 @@ over links that are verified:
 
 1. of the sets with a key, each is joined with the least one, its pivot; a set meets a pivot once, however many keys they share;
 2. these links are closed. A key is done if all its sets but the pivot are of one class by now;
-3. the sets of the keys that are left are joined with one another, in blocks, and all links are closed again;
+3. the sets of the keys that are left are joined with one another, in blocks, and all links are closed again. Keys that overlap
+   are joined as one group where that takes fewer rows than key by key;
 4. if links are to be counted, the sets of each class are joined with one another, in blocks. All links lie inside classes.
 
 A join stores sets in a prefix tree, each in one global order, that of hashes; n-grams found in the same members are one
@@ -391,6 +392,18 @@ def _open_groups(stars: DataFrame, labels: DataFrame) -> DataFrame:
     return salted_join(stars.filter("key is not null").select("key", "sid"), once.select("key", "comp"), "key", ["sid"]).select("comp", "sid")
 
 
+def _cheapest(groups: DataFrame) -> DataFrame:
+    """groups: comp, sid and more. Groups that overlap, as one, where that takes no more rows in blocks than the groups do; else as they are."""
+    least = groups.groupBy("comp").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("rows"))
+    labels = components(salted_join(groups.select("comp", "sid"), least.select("comp", "b"), "comp", ["sid"], least.select("comp", "rows")).select(F.col("sid").alias("a"), "b"))
+    rows = staged(groups.join(labels, groups.sid == labels.v).drop("v"), "overlaps")
+    members = labels.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
+    sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("rows")).join(members, "c")
+    sizes = staged(sizes.withColumn("one", F.col("members") * F.ceil(F.col("members") / BLOCK_MEMBERS) <= F.col("rows")), "overlap_sizes")
+    rows = salted_join(rows, sizes.select("c", "one"), "c", ["sid", "comp"], sizes.select("c", "rows"))
+    return rows.withColumn("comp", F.when(F.col("one"), F.xxhash64("c", F.lit("one"))).otherwise(F.col("comp"))).drop("c", "one").dropDuplicates(["comp", "sid"])
+
+
 def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_key: bool = False, links: bool = True) -> DataFrame:
     """Link documents with 100 * intersection >= percent * union of their sets of size-word n-grams, and close the links.
 
@@ -418,7 +431,7 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_ke
     labels = components(found)
     open_ = staged(_open_groups(stars, labels).join(classes.drop("least"), "sid"), "open")
     if not open_.isEmpty():
-        more = _joined(open_, texts, size, percent)
+        more = _joined(staged(_cheapest(open_), "groups"), texts, size, percent)
         labels = components(found.union(more.select("sid", "root")))
     sets = staged(classes.join(labels, classes.sid == labels.v, "left").select("sid", "least", "rk", "mult", "n", F.coalesce("c", "sid").alias("comp")), "sets")
     whole = sets.groupBy("comp").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("rows"), F.sum("mult").alias("all"))
