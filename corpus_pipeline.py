@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import language_id
-from lexmill.llm._session import staged
+from lexmill.llm._session import FOLDERS, release, staged
 from lexmill.llm.decontaminate import contamination
 from lexmill.llm.line_templates import drop_templates
 from lexmill.llm.ngram_join import similarity_classes
@@ -22,10 +22,20 @@ LONG_LINE = 50
 SHINGLE, PERCENT = 5, 80
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns as one, so that none of their names meets one of an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("_extra"))
+
+
+def _unpacked(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_extra")[c].alias(c) for c in columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, and mixtures in which no language has a third of the letters, go."""
-    found = language_id.identify(docs, language_id.learn(docs), carry=tuple(docs.columns), spans=False)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    found = language_id.identify(_packed(docs), language_id.learn(docs), carry=("doc_id", "text", "_extra"), spans=False)
+    return _unpacked(found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)), docs.columns)
 
 
 def _key() -> Column:
@@ -47,32 +57,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of a class is one of these, all of them in its class lose their lines; other classes are as they were, and so still link.
     """
     columns = docs.columns
-    docs = staged(drop_templates(docs, most=COPY_SHARE, rest=True, long=LONG_LINE), "lines").withColumn("_rk", _key())
+    docs = staged(drop_templates(_packed(docs), most=COPY_SHARE, rest=True, long=LONG_LINE), "lines").withColumn("_rk", _key())
     whole = docs.filter("rest is not null").select(F.col("_rk").alias("rk")).distinct()
     if whole.isEmpty():
-        return docs.select(columns)
+        return _unpacked(docs, columns)
     found, stay = _classes(docs)
     found = found.join(whole, "rk", "left_semi").select(F.col("rk").alias("_rk"), "root").distinct()
     kept = found.join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").select("root").distinct()
     cut = found.join(kept, "root", "left_semi").select("_rk", F.lit(True).alias("_cut"))
-    return docs.join(cut, "_rk", "left").withColumn("text", F.when(F.col("_cut"), F.col("rest")).otherwise(F.col("text"))).select(columns)
+    return _unpacked(docs.join(cut, "_rk", "left").withColumn("text", F.when(F.col("_cut"), F.col("rest")).otherwise(F.col("text"))), columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the one with the least doc_id stays. Texts without words all stay; rows that repeat stay once."""
     _, stay = _classes(docs)
-    return docs.withColumn("_rk", _key()).join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").dropDuplicates(["_rk"]).select(docs.columns)
+    return _unpacked(_packed(docs).withColumn("_rk", _key()).join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").dropDuplicates(["_rk"]), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of the benchmark go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(docs.columns))
-    return found.filter(~F.col("contaminated")).select(docs.columns)
+    found = contamination(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("doc_id", "text", "_extra"))
+    return _unpacked(found.filter(~F.col("contaminated")), docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled SentencePiece ids of each document, and whether decoding gives the text back."""
-    rows = decode_pieces(encode_sampled(docs))
+    rows = decode_pieces(encode_sampled(docs.select("doc_id", "text")))
     return rows.select("doc_id", "ids", "n_tokens", (F.col("decoded") == F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lossless"))
 
 
@@ -82,9 +92,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage writes on its way is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        since = len(FOLDERS)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, "stage")
+            release(spark, since, keep=(FOLDERS[-1],))
     return docs
