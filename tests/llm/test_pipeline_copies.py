@@ -56,3 +56,24 @@ def test_pieces_are_decoded(spark):
     rows = [(0, "plain words"), (1, ""), (2, None), (3, " é😀\n\t▁ "), (4, words(30, 90))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.lossless for r in corpus_pipeline.pieces(spark, docs, "").collect()} == {i: True for i, _ in rows}
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    a, b = words(31, 60), words(32, 60)
+    rows = [(3, a), (3, b), (3, a), (4, a), (None, b), (None, words(33, 60)), (5, None), (5, ""), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.text) for x in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, a), (3, b), (None, rows[5][1]), (5, None), (5, ""), (6, " ")], key=str)
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, rk string, sid string, _cut string, score string, ids string, n_words string, root string, rest string, n_dropped string"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = words(40, 80)
+    for rows in ([], [(1, text, "aa", *"abcdefghi"), (2, text, "aa", *"abcdefghi"), (3, words(41, 80), "aa", *"abcdefghi")]):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), schema)
+        assert sorted(x.doc_id for x in corpus_pipeline.pieces(spark, docs, "").collect()) == ([1, 3] if rows else [])
