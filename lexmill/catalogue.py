@@ -204,12 +204,12 @@ def intent_corpus_type(spark, sf_dir):
 # --- pages ---
 
 _TITLE, _H1 = "(?s)<title>(.*?)</title>", "(?s)<h1>(.*?)</h1>"
-_PAGES_SQL = f"p AS (SELECT page_id, url, html, regexp_extract(html, '{_TITLE}', 1) AS title, regexp_extract(html, '{_H1}', 1) AS h1, substr(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), 1, 300) AS intro FROM pages)"
+_PAGES_SQL = f"p AS (SELECT page_id, url, html, regexp_extract(html, '{_TITLE}', 1) AS title, regexp_extract(html, '{_H1}', 1) AS h1, regexp_extract(html, '(?s)<p>(.*?)</p>', 1) AS intro FROM pages)"
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spread(table(spark, sf_dir, "pages"))
-    return p.select("page_id", "url", "html", F.regexp_extract("html", _TITLE, 1).alias("title"), F.regexp_extract("html", _H1, 1).alias("h1"), F.substring(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1), 1, 300).alias("intro_text"), F.lit("").alias("meta_description"), F.col("html").alias("body"))
+    return p.select("page_id", "url", "html", F.regexp_extract("html", _TITLE, 1).alias("title"), F.regexp_extract("html", _H1, 1).alias("h1"), F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1).alias("intro_text"), F.lit("").alias("meta_description"), F.col("html").alias("body"))
 
 
 @query(f"""
@@ -333,14 +333,14 @@ def domain_metrics(spark, sf_dir):
     return out.select("domain", r6("avg_position").alias("avg_position"), "keyword_serp_count", "result_count", "total_keyword_serps", "total_results", r6("domain_visibility").alias("domain_visibility"))
 
 
-# every 25th page and a domain as sources
-_SOURCES_SQL = f"src AS (SELECT page_id AS source_pos, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_extract(url, '^([^?#]*)', 1) || '/?x=1' END AS source_url FROM pages WHERE page_id % 25 = 0)"
+# pages as sources: every second as it is, the others written otherwise
+_SOURCES_SQL = f"src AS (SELECT page_id AS source_pos, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_extract(url, '^([^?#]*)', 1) || '/?x=1' END AS source_url FROM pages)"
 _MATCH_SQL = lambda c: f"regexp_extract({c}, '^([^:]*://)', 1) || regexp_replace(lower(regexp_extract({c}, '^[^:/?#]*://([^/?#:]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract({c}, '^[^:/?#]*://[^/?#]*([^?#]*)', 1), '/+$', '')"
 _DOM = lambda c: _DOMAIN_SQL.replace("(url,", f"({c},")
 
 
 def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").filter("page_id % 25 = 0")
+    p = table(spark, sf_dir, "pages")
     return p.select(F.col("page_id").alias("source_pos"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("/?x=1"))).alias("source_url"))
 
 
@@ -350,12 +350,12 @@ def url_classify(spark, sf_dir):
     return keyed.classified(table(spark, sf_dir, "pages").select("page_id", "url"), source_urls(spark, sf_dir)).select("page_id", "match_type", "matched_target")
 
 
-@query(f"""WITH {_SERP_SQL}, {_SOURCES_SQL}, x AS (SELECT keyword AS norm_kw, source_url, url, position, page_id, CASE WHEN {_MATCH_SQL('url')} = {_MATCH_SQL('source_url')} THEN 0 WHEN {_DOM('url')} = {_DOM('source_url')} THEN 1 END AS p FROM s, src)
-SELECT norm_kw, source_url, url AS matched_serp_url, CASE p WHEN 0 THEN 'full_url' ELSE 'domain' END AS match_type, coalesce(position, 0) AS serp_rank FROM x WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY norm_kw, source_url ORDER BY p, coalesce(position, 1000000000), page_id) = 1""")
+@query(f"""WITH {_SERP_SQL}, {_SOURCES_SQL}, a AS (SELECT DISTINCT source_url, {_MATCH_SQL('source_url')} AS m, {_DOM('source_url')} AS d FROM src), r AS (SELECT keyword AS norm_kw, url, position, page_id, {_MATCH_SQL('url')} AS m, {_DOM('url')} AS d FROM s),
+x AS (SELECT norm_kw, source_url, url, position, page_id, 0 AS p FROM a JOIN r USING (m) UNION ALL SELECT norm_kw, source_url, url, position, page_id, 1 FROM a JOIN r USING (d) WHERE a.d <> '')
+SELECT norm_kw, source_url, url AS matched_serp_url, CASE p WHEN 0 THEN 'full_url' ELSE 'domain' END AS match_type, coalesce(position, 0) AS serp_rank FROM x QUALIFY row_number() OVER (PARTITION BY norm_kw, source_url ORDER BY p, coalesce(position, 1000000000), page_id) = 1""")
 def match_index(spark, sf_dir):
     serp = serp_table(spark, sf_dir).withColumnRenamed("keyword", "norm_kw")
-    # a few sources, each paired with every result, as a source context is
-    out = keyed.match_index(serp.crossJoin(F.broadcast(source_urls(spark, sf_dir).select("source_url"))))
+    out = keyed.match_index_of(serp, source_urls(spark, sf_dir))
     return out.select("norm_kw", "source_url", "matched_serp_url", "match_type", F.col("serp_rank").cast("long").alias("serp_rank"))
 
 
@@ -535,39 +535,82 @@ def generated_quality(spark, sf_dir):
 
 # --- crawl and stores ---
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT s_nationkey AS a, s_suppkey % 25 AS b FROM supplier WHERE s_suppkey % 3 = 0), r AS (SELECT 0 AS n, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN l ON a = n WHERE depth < 3)
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT s_nationkey AS a, s_suppkey % 25 AS b FROM supplier), r AS (SELECT 0 AS n, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN l ON a = n WHERE depth < 3)
 SELECT 'http://n' || n || '.example.com/' AS url, min(depth) AS depth FROM r GROUP BY n""")
 def crawl_frontier(spark, sf_dir):
     page = lambda c: F.concat(F.lit("http://n"), c.cast("string"), F.lit(".example.com/"))
-    links = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(page(F.col("s_nationkey")).alias("url"), page(F.col("s_suppkey") % 25).alias("target")).distinct()
+    links = table(spark, sf_dir, "supplier").select(page(F.col("s_nationkey")).alias("url"), page(F.col("s_suppkey") % 25).alias("target")).distinct()
     seeds = spark.createDataFrame([("http://n0.example.com/", 0)], "url string, seq long")
     return crawl.crawl(links, seeds, 3, 1000, same_site=False).select("url", "depth")
 
 
+_KINDS = {"click": "serp", "view": "ads", "error": "trends", "purchase": "llm_extract", "signup": "another"}
+
+
 def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.concat("event_type", F.lit("-"), F.col("user_id") % 40).alias("cache_key"), F.col("event_type").alias("kind"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq"), F.col("props").alias("payload"))
+    kind = F.create_map(*(F.lit(x) for kv in _KINDS.items() for x in kv))[F.col("event_type")]
+    return e.select(F.concat("event_type", F.lit("-"), F.col("user_id") % 40).alias("cache_key"), kind.alias("kind"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq"), F.col("props").alias("payload"))
 
 
-_CACHE_SQL = "WITH c AS (SELECT event_type || '-' || user_id % 40 AS cache_key, event_type AS kind, ts AS created_at, event_id AS seq, props AS payload, ts + INTERVAL 1 HOUR * CASE event_type WHEN 'click' THEN 24 WHEN 'view' THEN 168 ELSE 720 END AS expires_at FROM events), l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, seq DESC) = 1)"
+_KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items()) + " END"
+_HOURS_SQL = "CASE event_type WHEN 'error' THEN 24 WHEN 'purchase' THEN 720 ELSE 168 END"
+_CACHE_SQL = f"WITH c AS (SELECT event_type || '-' || user_id % 40 AS cache_key, {_KIND_SQL} AS kind, ts AS created_at, event_id AS seq, props AS payload, ts + INTERVAL 1 HOUR * {_HOURS_SQL} AS expires_at FROM events), l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, seq DESC) = 1)"
 _NOW = "2024-01-30 12:00:00"
-TTL = {"click": 24, "view": 168}
+
+
+def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.latest(stores.with_expiry(cache_rows(spark, sf_dir)))
+
+
+def now() -> Column:
+    return F.lit(_NOW).cast("timestamp")
 
 
 @query(_CACHE_SQL + f" SELECT cache_key, seq, payload FROM l WHERE expires_at >= TIMESTAMP '{_NOW}'")
 def cache_latest_valid(spark, sf_dir):
-    rows = stores.with_expiry(cache_rows(spark, sf_dir), TTL, 720)
-    return stores.valid(stores.latest(rows), F.lit(_NOW).cast("timestamp")).select("cache_key", "seq", "payload")
+    return stores.valid(cached(spark, sf_dir), now()).select("cache_key", "seq", "payload")
+
+
+# every event reads the key of the user after its own
+_READS_SQL = "n AS (SELECT event_type || '-' || (user_id + 1) % 40 AS cache_key, count(*) AS n FROM events GROUP BY 1)"
+
 
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("-"), (F.col("user_id") + 1) % 40).alias("cache_key"))
 
-@query(_CACHE_SQL + f" SELECT kind, count(*) AS records, count(*) FILTER (expires_at < TIMESTAMP '{_NOW}') AS expired FROM l GROUP BY kind")
+
+@query(_CACHE_SQL + f", {_READS_SQL} SELECT cache_key, CASE WHEN expires_at >= TIMESTAMP '{_NOW}' THEN coalesce(n, 0) ELSE 0 END AS hits FROM l LEFT JOIN n USING (cache_key)")
+def cache_hits(spark, sf_dir):
+    return stores.with_hits(cached(spark, sf_dir), reads(spark, sf_dir), now()).select("cache_key", "hits")
+
+
+@query(_CACHE_SQL + f", {_READS_SQL} SELECT kind, count(*) AS records, count(*) FILTER (expires_at < TIMESTAMP '{_NOW}') AS expired, CAST(sum(CASE WHEN expires_at >= TIMESTAMP '{_NOW}' THEN coalesce(n, 0) ELSE 0 END) AS BIGINT) AS hits FROM l LEFT JOIN n USING (cache_key) GROUP BY kind")
 def cache_stats(spark, sf_dir):
-    return stores.cache_stats(stores.latest(stores.with_expiry(cache_rows(spark, sf_dir), TTL, 720)), F.lit(_NOW).cast("timestamp"))
+    return stores.cache_stats(stores.with_hits(cached(spark, sf_dir), reads(spark, sf_dir), now()), now())
 
 
 @query(_CACHE_SQL + " SELECT cache_key, seq FROM l ORDER BY created_at DESC, seq DESC LIMIT 100")
 def cache_evicted(spark, sf_dir):
-    return stores.newest(stores.latest(stores.with_expiry(cache_rows(spark, sf_dir), TTL, 720)), 100).select("cache_key", "seq")
+    return stores.newest(cached(spark, sf_dir), 100).select("cache_key", "seq")
+
+
+# events as history: clicks are cache records, those of the others that end in 7 have no time
+_HISTORY_SQL = f"h AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'cache' ELSE 'run' END AS record_type, event_id % 10 <> 7 AS timed, ts, ts + INTERVAL 168 HOUR AS expires_at FROM events)"
+
+
+@query(f"WITH {_HISTORY_SQL} SELECT seq, record_type FROM h WHERE CASE WHEN record_type = 'cache' THEN expires_at >= TIMESTAMP '{_NOW}' ELSE NOT timed OR ts >= TIMESTAMP '{_NOW}' - INTERVAL 10 DAY END")
+def history_trimmed(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    cache = F.col("event_type") == "click"
+    rows = e.select(F.col("event_id").alias("seq"), F.when(cache, "cache").otherwise("run").alias("record_type"), F.when(cache | (F.col("event_id") % 10 != 7), F.col("ts").cast("string")).otherwise("no time").alias("created_at"), F.when(cache, F.col("ts") + F.expr("INTERVAL 168 HOURS")).cast("string").alias("expires_at"))
+    return stores.trimmed_history(rows, now(), 10).select("seq", "record_type")
+
+
+@query("SELECT event_id AS seq FROM events")
+def history_untrimmed(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("string").alias("created_at"))
+    return stores.trimmed_history(rows, now(), 0).select("seq")
 
 
 @query("SELECT event_id, sha256('{\"a\":\"' || lower(event_type) || '\",\"user\":' || user_id || '}') AS key FROM events")

@@ -150,19 +150,25 @@ def bm25f(table: DataFrame, query: list[str], weights: dict[str, float] | None =
     return out if top_n is None else out.orderBy(F.desc("score"), F.desc("query_coverage"), "source_idx").limit(top_n)
 
 
-def neighbour_counts(table: DataFrame, window: int = 5, only: DataFrame | None = None) -> DataFrame:
+def neighbour_counts(table: DataFrame, window: int = 5, only: DataFrame | None = None, seeds: list[str] | None = None) -> DataFrame:
     """term, other, n: how often two different words stand at most window places apart, in both directions.
 
-    only: a table of terms; pairs of other terms are left out before they are shuffled to be counted.
+    only: a table of terms; pairs of other terms are left out before they are shuffled to be counted. seeds: the same as a
+    list, for a few terms: only their surroundings are looked at.
     """
     t = F.col("tokens")
 
     def shifted(d: int) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(t) - d - 1), lambda i: F.struct(F.get(t, i).alias("term"), F.get(t, i + d).alias("other")))
-        return F.when(F.size(t) > d, pairs).otherwise(F.expr("cast(array() as array<struct<term:string,other:string>>)"))
-
-    pairs = table.select(F.inline(F.flatten(F.array(*(shifted(d) for d in range(1, window + 1)))))).filter("term <> other")
-    pairs = pairs.union(pairs.select("other", "term"))
+        # A place and the one d further on (d places back, if d is negative): both directions come out of one pass.
+        first, last = max(0, -d), F.size(t) - 1 - max(0, d)
+        places = F.sequence(F.lit(first), last)
+        if seeds is not None:
+            places = F.filter(places, lambda i: F.get(t, i).isin(*seeds))
+        pairs = F.transform(places, lambda i: F.struct(F.get(t, i).alias("term"), F.get(t, i + d).alias("other")))
+        return F.when(F.size(t) > abs(d), pairs).otherwise(F.expr("cast(array() as array<struct<term:string,other:string>>)"))
+
+    all_ = F.flatten(F.array(*(shifted(d) for d in range(-window, window + 1) if d)))
+    pairs = table.select(F.inline(all_)).filter("term <> other")
     if only is not None:
         pairs = pairs.join(only.select("term").distinct(), "term", "left_semi")
     return pairs.groupBy("term", "other").agg(F.count(F.lit(1)).alias("n"))
@@ -174,10 +180,8 @@ def cooccurrence(table: DataFrame, seeds: list[str], window: int = 5, top_n: int
     Rank by count desc, jaccard desc, term. Contexts are gathered for seeds and their neighbours only, in one pass each; the pairs of
     the seeds, on which all else is built, are checkpointed.
     """
-    spark = table.sparkSession
     seeds = list(dict.fromkeys(s.lower() for s in seeds))
-    names = spark.createDataFrame([(s,) for s in seeds], "term string")
-    near = checkpointed(neighbour_counts(table, window, F.broadcast(names)))
+    near = checkpointed(neighbour_counts(table, window, seeds=seeds))
     kept = near.filter(~F.col("other").isin(*seeds)) if seeds else near
     # Which seeds a word stands by, for the words that neighbours stand by.
     by = near.groupBy("other").agg(F.collect_set("term").alias("by"))

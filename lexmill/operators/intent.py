@@ -95,12 +95,11 @@ def intent(corpus: DataFrame) -> DataFrame:
     confidence = .55 * share of sources with a signal + .25 * share of the top category + .20 * different signals / (4 * sources), 1 at
     most. Too little score is undetermined, a close second category mixed; ties go to the category named first.
     """
-    rows = source_signals(corpus)
-    flat = rows.select("source_idx", F.col("weight").alias("w"), F.inline("signals"))
-    totals = rows.agg(F.count(F.lit(1)).alias("N"), F.count_if(F.size("signals") > 0).alias("matched"))
+    # One pass: sources without a signal come along as one row, the first signal of a source counts it.
+    flat = source_signals(corpus).select(F.col("weight").alias("w"), F.posexplode_outer("signals").alias("pos", "s")).select("w", "pos", "s.*")
     score = lambda c: F.coalesce(F.sum(F.when(F.col("category") == c, F.col("w") * F.col("weight"))), F.lit(0.0))
     # The different signals are at most as many as there are rules.
-    sums = flat.agg(*(score(c).alias(c) for c in CATEGORIES), F.sort_array(F.collect_set("signal")).alias("signals")).crossJoin(totals)
+    sums = flat.agg(*(score(c).alias(c) for c in CATEGORIES), F.sort_array(F.collect_set("signal")).alias("signals"), F.count_if(F.col("pos").isNull() | (F.col("pos") == 0)).alias("N"), F.count_if(F.col("pos") == 0).alias("matched"))
     ranked = F.array_sort(F.array(*(F.struct((-F.col(c)).alias("s"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(CATEGORIES))))
     sums = sums.withColumn("r", ranked).withColumn("top", -F.col("r")[0]["s"]).withColumn("second", -F.col("r")[1]["s"]).withColumn("all", sum((F.col(c) for c in CATEGORIES[1:]), F.col(CATEGORIES[0])))
     confidence = F.least(F.lit(1.0), 0.55 * F.col("matched") / F.col("N") + 0.25 * F.col("top") / F.col("all") + 0.20 * F.size("signals") / (4 * F.col("N")))

@@ -88,7 +88,9 @@ def months_with_data(volumes: DataFrame) -> DataFrame:
 
 def converted(rows: DataFrame, rates: DataFrame, columns: list[str], source: str, target: str) -> DataFrame:
     """columns from the currency in column source to target, by rates (currency, uah for one unit). Unknown currencies stay as they are.
-    The rates, a row for each currency, are broadcast."""
+    The rates, a row for each currency, are broadcast; as there are fewer than 1,000 currencies, more rows raise ValueError."""
+    if rates.limit(1001).count() > 1000:
+        raise ValueError("rates must have one row for each currency")
     few = F.broadcast(rates.select(F.col("currency").alias("_c"), F.col("uah").alias("_from")))
     to = F.broadcast(rates.filter(F.col("currency") == target).agg(F.max("uah").alias("_to")))
     out = rows.join(few, rows[source] == F.col("_c"), "left").crossJoin(to)
@@ -109,8 +111,8 @@ def interest_averages(points: DataFrame) -> DataFrame:
 
 
 def interest_wide(points: DataFrame, keywords: list[str]) -> DataFrame:
-    """time, formatted_time and a column for each keyword."""
-    return points.groupBy("time", "formatted_time").pivot("keyword", keywords).agg(F.first("value", ignorenulls=True))
+    """time, formatted_time and a column for each keyword. Of several values of one keyword and time the largest; merged_interest() leaves one."""
+    return points.groupBy("time", "formatted_time").pivot("keyword", keywords).agg(F.max("value"))
 
 
 def first_with_data(results: DataFrame) -> DataFrame:
@@ -172,6 +174,22 @@ def match_index(serp: DataFrame, row: str = "row_idx") -> DataFrame:
     return rows.groupBy("norm_kw", "source_url").agg(F.min_by(F.struct(*cols), best).alias("b")).select("norm_kw", "source_url", "b.*")
 
 
+def match_index_of(serp: DataFrame, sources: DataFrame, row: str = "row_idx") -> DataFrame:
+    """match_index() of every result with every source, without pairing them: serp: norm_kw, url, position and row; sources: source_url.
+    Results come down to the best one of each keyword and URL, and of each keyword and domain, before they meet sources by equality."""
+    rank = F.coalesce(F.col("position").try_cast("int"), F.lit(0))
+    rows = serp.select("norm_kw", F.col("url").alias("matched_serp_url"), rank.alias("serp_rank"), F.col(row).alias("_row"), match_url("url").alias("full"), match_domain("url").alias("domain"))
+    best = F.min_by(F.struct("matched_serp_url", "serp_rank"), F.struct(F.when(F.col("serp_rank") > 0, F.col("serp_rank")).otherwise(F.lit(10**9)), "_row")).alias("b")
+    asked = sources.select(F.trim("source_url").alias("source_url")).filter(F.coalesce(F.col("source_url"), F.lit("")) != "").distinct()
+    asked = asked.select("source_url", match_url("source_url").alias("full"), match_domain("source_url").alias("domain"))
+    kinds = []
+    for place, (key, kind) in enumerate((("full", "full_url"), ("domain", "domain"))):
+        found = rows.filter((F.col(key) != "") | F.lit(key == "full")).groupBy("norm_kw", key).agg(best)
+        told = F.struct(F.col("b.matched_serp_url").alias("matched_serp_url"), F.lit(kind).alias("match_type"), F.col("b.serp_rank").alias("serp_rank"), F.col("domain").alias("matched_domain"))
+        kinds.append(asked.join(found, key).select("norm_kw", "source_url", F.lit(place).alias("p"), told.alias("b")))
+    return kinds[0].unionByName(kinds[1]).groupBy("norm_kw", "source_url").agg(F.min_by("b", "p").alias("b")).select("norm_kw", "source_url", "b.*")
+
+
 def with_match_index(ads: DataFrame, index: DataFrame) -> DataFrame:
     """ads with page_url_in_serp ("" if none) and serp_rank by normalised keyword and trimmed source URL."""
     keyed = ads.withColumn("norm_kw", keyword_key("keyword")).withColumn("_source", F.trim(F.coalesce("source_url", F.lit(""))))
@@ -180,9 +198,9 @@ def with_match_index(ads: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def with_trend_columns(rows: DataFrame, averages: DataFrame, constants: dict[str, object], keyword: str = "keyword") -> DataFrame:
-    """rows with average_interest by the exact keyword, else by its lower case, and constant columns."""
-    exact = averages.groupBy(F.col("keyword").alias("_e")).agg(F.first("average_interest").alias("_ev"))
-    lower = averages.groupBy(F.lower("keyword").alias("_l")).agg(F.min_by("average_interest", "keyword").alias("_lv"))
+    """rows with average_interest by the exact keyword (of a keyword that averages repeats, the largest), else by its lower case, and constant columns."""
+    exact = averages.groupBy(F.col("keyword").alias("_e")).agg(F.max("average_interest").alias("_ev"))
+    lower = averages.groupBy(F.lower("keyword").alias("_l")).agg(F.min_by("average_interest", F.struct("keyword", -F.col("average_interest"))).alias("_lv"))
     out = rows.join(exact, rows[keyword] == exact["_e"], "left").join(lower, F.lower(rows[keyword]) == lower["_l"], "left")
     return out.withColumn("average_interest", F.coalesce("_ev", "_lv")).drop("_e", "_ev", "_l", "_lv").withColumns({k: F.lit(v) for k, v in constants.items()})
 

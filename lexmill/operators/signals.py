@@ -104,7 +104,7 @@ def anchor_summary(links: DataFrame, page_terms: DataFrame | None = None) -> dic
     anchors = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("count"))
     total = anchors.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_links"), F.count(F.lit(1)).alias("unique_anchors"))
     words = rows.withColumn("a", anchor_terms("anchor")).filter(F.size("a") > 0)
-    words = words.withColumn("terms", F.array().cast("array<string>")) if page_terms is None else words.join(page_terms.select("url", "terms").dropDuplicates(["url"]), "url", "left")
+    words = words.withColumn("terms", F.array().cast("array<string>")) if page_terms is None else words.join(page_terms.groupBy("url").agg(F.max("terms").alias("terms")), "url", "left")
     apart = F.size(F.array_intersect("a", F.coalesce("terms", F.array().cast("array<string>")))) / F.size("a") < 0.2
     bad = words.filter(apart).groupBy("url").agg(F.count(F.lit(1)).alias("count")).filter("count >= 3")
     often = F.greatest(F.lit(8), F.floor(0.08 * F.greatest("total_links", F.lit(1))))

@@ -56,7 +56,8 @@ def keyword_groups_of_rows(rows: DataFrame, order: str = "row_no") -> DataFrame:
     return _numbered(rows.withColumn("keywords", words), order)
 
 
-def seed_keywords(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Comma-separated seeds without quotes around them, in any case the first of equals: keyword, pos."""
-    rows = raw.select(F.posexplode(F.split(column, ",")).alias("pos", "k")).withColumn("keyword", F.regexp_replace(F.trim("k"), "^[\"']+|[\"']+$", "")).filter("keyword <> ''")
-    return first_rows(rows.withColumn("_k", F.lower("keyword")), ["_k"], ["pos"]).select("keyword", "pos")
+def seed_keywords(raw: DataFrame, column: str = "raw", order: str | None = None) -> DataFrame:
+    """Comma-separated seeds without quotes around them, in any case the first of equals: keyword, pos. order: the column that rows
+    of raw come in, needed where there are several; of rows without an order the text of the row decides."""
+    rows = raw.select(F.col(order or column).alias("row"), F.posexplode(F.split(column, ",")).alias("pos", "k")).withColumn("keyword", F.regexp_replace(F.trim("k"), "^[\"']+|[\"']+$", "")).filter("keyword <> ''")
+    return first_rows(rows.withColumn("_k", F.lower("keyword")), ["_k"], ["row", "pos", "keyword"]).select("keyword", "pos")

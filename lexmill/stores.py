@@ -9,8 +9,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Hours that records of a kind stay valid. Fixed values.
-TTL_HOURS = {"serp": 24, "ads": 168, "trends": 24, "llm": 720, "scrape": 168}
+#: Hours that records of a kind stay valid, and those of any other kind. Fixed values.
+TTL_HOURS = {"serp": 168, "ads": 168, "llm_extract": 720, "llm_generate": 720, "crawl": 168, "math": 168, "trends": 24, "model_fetch": 720}
+TTL_DEFAULT = 168
 SECRET = re.compile(r"(?i)(api.?key|token|secret|password|authorization|cookie)")
 
 
@@ -36,7 +37,7 @@ def key_of(request: Column) -> Column:
     return F.sha2(F.to_json(request), 256)
 
 
-def with_expiry(records: DataFrame, ttl_hours: dict[str, int] | None = None, default: int = 24) -> DataFrame:
+def with_expiry(records: DataFrame, ttl_hours: dict[str, int] | None = None, default: int = TTL_DEFAULT) -> DataFrame:
     """records (kind, created_at) with expires_at."""
     hours = F.lit(default)
     for kind, h in (TTL_HOURS if ttl_hours is None else ttl_hours).items():
@@ -68,15 +69,39 @@ def without(records: DataFrame, condition: Column) -> DataFrame:
     return records.filter(~F.coalesce(condition, F.lit(False)))
 
 
-def cache_stats(records: DataFrame, now: Column) -> DataFrame:
-    return records.groupBy("kind").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("expires_at") < now).alias("expired"))
+def with_hits(records: DataFrame, reads: DataFrame, now: Column) -> DataFrame:
+    """records (one for each cache_key; hits, 0 if there is no such column) after reads (cache_key, a row for each look-up): each
+    read of a valid record counts as a hit. Expired and missing records aren't hit. Reads are counted before they are joined."""
+    counted = reads.groupBy("cache_key").agg(F.count(F.lit(1)).alias("_reads"))
+    before = F.coalesce(F.col("hits"), F.lit(0)) if "hits" in records.columns else F.lit(0)
+    hit = F.when(F.col("expires_at").isNull() | (F.col("expires_at") >= now), F.coalesce("_reads", F.lit(0))).otherwise(0)
+    return records.join(counted, "cache_key", "left").withColumn("hits", (before + hit).cast("long")).drop("_reads")
 
 
-def trimmed_history(entries: DataFrame, now: Column, days: int, most: int) -> DataFrame:
-    """entries: created_at (text), seq. Those of the last days, the most newest of them; what is no time stays."""
-    at = F.try_to_timestamp("created_at")
-    kept = entries.withColumn("_at", at).filter(F.col("_at").isNull() | (F.col("_at") >= now - F.make_dt_interval(days=F.lit(days))))
-    return kept.orderBy(F.desc("_at"), F.desc("seq")).limit(most).drop("_at")
+def cache_stats(records: DataFrame, now: Column) -> DataFrame:
+    """kind ("unknown" if null), records, expired and hits (0 without such a column)."""
+    hits = F.sum(F.coalesce("hits", F.lit(0))) if "hits" in records.columns else F.lit(0)
+    return records.groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("expires_at") < now).alias("expired"), hits.cast("long").alias("hits"))
+
+
+def trimmed_history(entries: DataFrame, now: Column, days: int = 30, most: int | None = None) -> DataFrame:
+    """entries: created_at (text), seq, and, where there are cache records among them, record_type and expires_at (text).
+
+    Cache records (record_type cache) stay until they expire; other entries stay for days, and what has no time stays. With days
+    of 0 or less nothing is trimmed. most: entries other than cache records that stay at most, the newest."""
+    if days <= 0:
+        return entries
+    old = F.coalesce(F.try_to_timestamp("created_at") < now - F.make_dt_interval(days=F.lit(days)), F.lit(False))
+    cache = F.lit(False)
+    if "record_type" in entries.columns:
+        cache = F.coalesce(F.col("record_type") == "cache", F.lit(False))
+        over = F.coalesce(F.try_to_timestamp("expires_at") < now, F.lit(False)) if "expires_at" in entries.columns else F.lit(False)
+        old = F.when(cache, over).otherwise(old)
+    kept = entries.filter(~old)
+    if most is None:
+        return kept
+    visible = kept.filter(~cache).withColumn("_at", F.try_to_timestamp("created_at")).orderBy(F.desc("_at"), F.desc("seq")).limit(most).drop("_at")
+    return visible.unionByName(kept.filter(cache))
 
 
 class Checkpoints:
