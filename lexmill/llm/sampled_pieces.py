@@ -27,6 +27,8 @@ HASH = U64(0x9E3779B97F4A7C15)
 TABLE_BITS = 18
 #: Bytes of text segmented together; the lattice takes some hundred times as much.
 CHUNK = 1 << 19
+#: Units of more code points are parted where no piece reaches across; code points looked at to find such a place in a long text.
+LONG_UNIT, LOOK = 256, 1 << 16
 
 
 def vocabulary_path() -> str:
@@ -47,6 +49,7 @@ class Vocabulary:
     table: np.ndarray = field(repr=False)
     target: np.ndarray = field(repr=False)
     piece: np.ndarray = field(repr=False)  # of each trie node, -1 if none
+    longest: int  # code points of a piece
 
     @classmethod
     def load(cls, path: str, power: float) -> Vocabulary:
@@ -96,7 +99,7 @@ class Vocabulary:
                 slot = (slot + 1) & ((1 << bits) - 1)
             table[slot], target[slot] = k, t
         marks = [x for x, u in zip(names, usable, strict=True) if u and chr(MARK) in x.lstrip(chr(MARK))]
-        return cls(weights, raw, byte_ids, not marks, root, table, target, np.array(piece, np.int32))
+        return cls(weights, raw, byte_ids, not marks, root, table, target, np.array(piece, np.int32), max((len(x) for x, u in zip(names, usable, strict=True) if u), default=1))
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The trie node that follows, -1 if none."""
@@ -114,6 +117,27 @@ class Vocabulary:
         return out
 
 
+def uncrossed(v: Vocabulary, code: np.ndarray) -> np.ndarray:
+    """Whether no piece reaches across the place before each code point (False for the first): all paths of the lattice meet
+    there, so what comes before and after is segmented alike together and apart."""
+    n = len(code)
+    edge = np.zeros(n + 1, np.int64)
+    at, state, j = np.arange(n), v.root[code], 1
+    while len(at):
+        good = state >= 0
+        at, state = at[good], state[good]
+        whole = at[v.piece[state] >= 0] if j > 1 else at[:0]
+        np.add.at(edge, whole + 1, 1)
+        np.add.at(edge, whole + j, -1)
+        good = at + j < n
+        at, state = at[good], state[good]
+        state = v.step(state, code[at + j])
+        j += 1
+    out = np.cumsum(edge)[:n] == 0
+    out[:1] = False
+    return out
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
@@ -138,6 +162,10 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     begins[base[:-1][np.diff(base) > 0]] = True
     unit = np.flatnonzero(begins)
     size = np.diff(unit, append=n)
+    for a, b in zip(unit[size > LONG_UNIT].tolist(), (unit + size)[size > LONG_UNIT].tolist(), strict=True):
+        begins[a + np.flatnonzero(uncrossed(v, code[a:b]))] = True
+    unit = np.flatnonzero(begins)
+    size = np.diff(unit, append=n)
     power = np.multiply.accumulate(np.append(U64(1), np.full(n, HASH)))
     inverse = np.multiply.accumulate(np.append(U64(1), np.full(n, pow(int(HASH), -1, 1 << 64), U64)))
     total = np.append(U64(0), np.cumsum((code.astype(U64) + U64(1)) * power[:-1]))
@@ -243,17 +271,30 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     return out.astype(np.int32), count
 
 
-def _cuts(raw: np.ndarray, most: int) -> list[int]:
-    """Byte places where a long text may be parted: at the first space after a word, so no unit is cut."""
+def _cuts(v: Vocabulary, raw: np.ndarray, most: int) -> list[int]:
+    """Byte places where a long text may be parted: at the first space after a word, so no unit is cut, or where there is none
+    in LOOK bytes, at the first place that no piece reaches across. A stretch without either stays in one part."""
     out, at = [0], most
+    spaced = v.splits
     while at < len(raw):
-        near = raw[at : at + (1 << 20)]
-        k = np.flatnonzero((near[1:] == 0x20) & (near[:-1] != 0x20))
+        near = raw[at : at + LOOK]
+        k = np.flatnonzero((near[1:] == 0x20) & (near[:-1] != 0x20)) + 1 if spaced else near[:0]
+        if not len(k):
+            lead = np.flatnonzero((near & 0xC0) != 0x80)
+            lead = lead[:-1] if at + LOOK < len(raw) else lead  # the last may be cut off
+            if len(lead):
+                ends = np.append(lead[1:], lead[-1] + 1 + int(np.argmax(np.append((near[lead[-1] + 1 :] & 0xC0) != 0x80, True))))
+                code = np.frombuffer(near[lead[0] : ends[-1]].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
+                lone = code == MARK
+                code[code == 0x20] = MARK
+                code[lone] = NO_PIECE
+                # pieces that begin before the window or end behind it aren't seen: its margins don't count
+                k = lead[v.longest : max(v.longest, len(lead) - v.longest)][uncrossed(v, code)[v.longest : max(v.longest, len(lead) - v.longest)]]
         if len(k):
-            out.append(at + 1 + int(k[0]))
+            out.append(at + int(k[0]))
             at = out[-1] + most
         else:
-            at += len(near)
+            at += max(1, len(near) - 8 * v.longest)
     return [*out, len(raw)]
 
 
@@ -263,10 +304,10 @@ def _encoder(vocabulary, carry: int):
         for batch in batches:
             for part, data, offsets in chunks(batch, most=CHUNK):
                 keys = part.column(part.num_columns - 1).to_numpy().view(U64)
-                if len(data) <= 2 * CHUNK or part.num_rows > 1 or not v.splits:
+                if len(data) <= 2 * CHUNK or part.num_rows > 1:
                     ids, count = encode(v, data, offsets, keys, np.zeros(len(keys), np.int64))
                 else:
-                    edges, found, before = _cuts(data, CHUNK), [], 0
+                    edges, found, before = _cuts(v, data, CHUNK), [], 0
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         found.append(encode(v, data[a:b], np.array([0, b - a]), keys, np.array([before]))[0])
                         before += int(((data[a:b] & 0xC0) != 0x80).sum())

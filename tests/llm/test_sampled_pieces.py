@@ -56,7 +56,7 @@ def test_long_texts_in_parts(spark, monkeypatch):
     v = Vocabulary.load(vocabulary_path(), 1.0)
     key = np.array([3], np.uint64)
     raw = np.frombuffer(text.encode(), np.uint8)
-    edges = sampled_pieces._cuts(raw, 100)
+    edges = sampled_pieces._cuts(v, raw, 100)
     parts, before = [], 0
     for a, b in zip(edges, edges[1:]):
         parts += encode(v, raw[a:b], np.array([0, b - a]), key, np.array([before]))[0].tolist()
@@ -91,3 +91,42 @@ def test_drawn_in_proportion(vocabulary):
     for w, x in weights.items():
         p = x / sum(weights.values())
         assert abs(drawn[w] / n - p) < 4 * (p * (1 - p) / n) ** 0.5 + 1e-3
+
+
+def in_parts(v, text, key, most):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    edges, out, before = sampled_pieces._cuts(v, raw, most), [], 0
+    for a, b in zip(edges[:-1], edges[1:]):
+        out += encode(v, raw[a:b], np.array([0, b - a]), np.array([key], np.uint64), np.array([before]))[0].tolist()
+        before += len(raw[a:b].tobytes().decode())
+    return out, len(edges) - 1
+
+
+def test_unspaced_texts_in_parts(vocabulary, monkeypatch):
+    """Parting a text without spaces where no piece reaches across changes nothing."""
+    r = random.Random(8)
+    for letters in ("日本語中文字のはにを", "日本abcdeé", "\n\t😀ß", "▁x"):
+        text = "".join(r.choice(letters) for _ in range(3000))
+        monkeypatch.setattr(sampled_pieces, "LONG_UNIT", 10**9)
+        whole = one(vocabulary, text, 7)
+        monkeypatch.setattr(sampled_pieces, "LONG_UNIT", 16)
+        assert one(vocabulary, text, 7) == whole
+        parts, n = in_parts(vocabulary, text, 7, 300)
+        assert parts == whole and n > 5
+    assert in_parts(vocabulary, "e" * 2000, 7, 300)[0] == one(vocabulary, "e" * 2000, 7)
+
+
+def test_no_place_is_called_uncrossed_that_a_piece_crosses(vocabulary):
+    r = random.Random(2)
+    pieces = {x for i, x in enumerate(vocabulary.raw) if x and i not in set(vocabulary.byte_ids.tolist())}
+    text = "".join(r.choice("the日本 ing中er") for _ in range(400))
+    code = np.array([0x2581 if c == " " else ord(c) for c in text], np.uint32)
+    free = sampled_pieces.uncrossed(vocabulary, code)
+    want = [i > 0 and not any(text[a:b].encode() in pieces for a in range(max(0, i - vocabulary.longest), i) for b in range(i + 1, min(len(text), a + vocabulary.longest) + 1)) for i in range(len(text))]
+    assert free.tolist() == want and any(want)
+
+
+def test_very_long_unspaced_text(spark):
+    text = "".join(random.Random(3).choice("日本語中文字のはにを") for _ in range(1_000_000))
+    row = decode_pieces(encode_sampled(spark.createDataFrame([(1, text, "")], DOCS))).first()
+    assert row.decoded == text
