@@ -31,6 +31,8 @@ from ._text import BASE, U64, Powers, chunks, mix, prefix_hashes, span_hashes, t
 #: Longer texts are cut into overlapping pieces of this size; positions inside a piece have 24 bits.
 PIECE = 4 << 20
 SHARD_BYTES = 4 << 20
+#: Minimisers of very many candidates that are broadcast at most, 16 bytes each; more are joined.
+MOST_BROADCAST = 1_000_000
 ROW = ["minimiser", "content", "rk", "start", "end"]
 #: Of a run in its chunk: the only one of its content, the first of several, or another of several (dealt by a hash of its own).
 ALONE, TWICE, PASSED = 0, 1, 2
@@ -274,7 +276,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(batch.num_rows), counts)
         start, end = flat.field("start").to_numpy(), flat.field("end").to_numpy()
         body = [raw[a:b] for a, b in zip((start + offsets[owner]).tolist(), (end + offsets[owner]).tolist(), strict=True)]
-        yield pa.record_batch([flat.field("minimiser"), flat.field("content"), batch.column(0).take(pa.array(owner)), pa.array(start), pa.array(body, pa.binary())], ["minimiser", "content", "rk", "start", "body"])
+        yield pa.record_batch([flat.field("minimiser"), flat.field("salt"), flat.field("dealt"), batch.column(0).take(pa.array(owner)), pa.array(start), pa.array(body, pa.binary())], ["minimiser", "salt", "dealt", "rk", "start", "body"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,13 +351,13 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 100, group: in
     docs = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("rk"), "doc_id", "text")
     rows = docs.select("rk", "text").mapInArrow(lean(_cut(width, gram)), "minimiser long, content long, rk long, start long, end long, state tinyint")
     sifted = staged(rows.repartition(n, "minimiser").sortWithinPartitions("minimiser", "content").mapInArrow(lean(_sift), "minimiser long, content long, rk long, start long, end long, whole boolean, rival boolean"), "sifted")
-    picks = sifted.filter("rival").groupBy("rk").agg(F.collect_list(F.struct("minimiser", "content", "start", "end")).alias("picks"))
+    # Minimisers of very many candidates are told by rows without bytes, before any bytes are cut out.
+    rivals = sifted.filter("rival").select("minimiser", "content", "rk", "start", "end")
+    many = staged(rivals.groupBy("minimiser").agg(F.ceil(F.count(F.lit(1)) / group).cast("long").alias("shards")).filter("shards > 1"), "many")
+    rivals = rivals.join(F.broadcast(many) if many.count() <= MOST_BROADCAST else many, "minimiser", "left").withColumn("salt", F.pmod("content", F.coalesce("shards", F.lit(1))))
+    picks = rivals.groupBy("rk").agg(F.collect_list(F.struct("minimiser", "salt", F.col("shards").isNotNull().alias("dealt"), "start", "end")).alias("picks"))
     # Repeated rows share rk; each is cut, and what they share is repeated in any case.
-    bodies = picks.join(docs.select("rk", "text"), "rk").select("rk", "text", "picks").mapInArrow(lean(_bodies), "minimiser long, content long, rk long, start long, body binary")
-    many = sifted.filter("rival").groupBy("minimiser").count().filter(F.col("count") > group)
-    bodies = bodies.join(many, "minimiser", "left").withColumn("dealt", F.col("count").isNotNull())
-    salt = F.when(F.col("dealt"), F.pmod("content", F.ceil(F.col("count") / group))).otherwise(F.lit(0)).cast("long")
-    bodies = bodies.select("minimiser", "rk", "start", "body", "dealt", salt.alias("salt"))
+    bodies = picks.join(docs.select("rk", "text"), "rk").select("rk", "text", "picks").mapInArrow(lean(_bodies), "minimiser long, salt long, dealt boolean, rk long, start long, body binary")
     marks = staged(bodies.repartition(n, "minimiser", "salt").sortWithinPartitions("minimiser", "salt").mapInArrow(lean(_shards(width)), "print long, rk long, start long, end long"), "marks")
     merged = marks.filter("print <> 0").repartition(n, "print").sortWithinPartitions("print").mapInArrow(lean(_merge), "rk long, start long, end long")
     found = sifted.filter("whole").select("rk", "start", "end").unionByName(marks.filter("print = 0").select("rk", "start", "end")).unionByName(merged)
