@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from lexmill import catalogue  # noqa: E402
 from lexmill.operators import corpus  # noqa: E402
 
-HEADLINES = ("tokens_stats", "ngram_rank_2", "tfidf_terms", "bm25f_rank", "cooccurrence_terms", "simhash64", "page_signals", "topical_overlap", "intent_corpus_type", "domain_metrics", "ads_enriched", "metric_buckets", "trends_merged", "dedupe_first", "url_classify", "generated_quality")
+HEADLINES = ("tokens_stats", "ngram_rank_2", "tfidf_terms", "bm25f_rank", "cooccurrence_terms", "simhash64", "page_signals", "topical_overlap", "intent_corpus_type", "domain_metrics", "ads_enriched", "metric_buckets", "trends_merged", "dedupe_first", "url_classify", "match_index", "generated_quality")
 
 
 def seconds(make) -> float:

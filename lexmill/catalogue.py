@@ -617,3 +617,6 @@ def history_untrimmed(spark, sf_dir):
 def cache_keys(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", stores.key_of(F.struct(F.lower("event_type").alias("a"), F.col("user_id").alias("user"))).alias("key"))
+
+
+from . import catalogue_joins  # noqa: E402, F401  its queries join those above

@@ -166,7 +166,7 @@ def test_crawl(spark):
 
 def test_stores(spark, tmp_path):
     assert stores.cache_key("serp", "x", {"b": [2, 1], "a": " Q ", "api_key": "s"}) == stores.cache_key("serp", "x", {"a": "q", "b": [1, 2]})
-    rows = spark.createDataFrame([("k", "serp", "2024-01-01 00:00:00", 1), ("k", "serp", "2024-01-02 00:00:00", 2), ("l", "llm", "2024-01-01 00:00:00", 3)], "cache_key string, kind string, created_at string, seq long").withColumn("created_at", F.to_timestamp("created_at"))
+    rows = spark.createDataFrame([("k", "serp", "2024-01-01 00:00:00", 1), ("k", "serp", "2024-01-02 00:00:00", 2), ("l", "llm_generate", "2024-01-01 00:00:00", 3)], "cache_key string, kind string, created_at string, seq long").withColumn("created_at", F.to_timestamp("created_at"))
     last = stores.latest(stores.with_expiry(rows))
     assert sorted((r.cache_key, r.seq) for r in stores.valid(last, F.lit("2024-01-10").cast("timestamp")).collect()) == [("l", 3)]
     steps = stores.Checkpoints(spark, str(tmp_path / "run"), {"k": [1]})
@@ -235,3 +235,50 @@ def test_plans(spark, tmp_path):
     with pytest.raises(sinks.UnsafePath):
         sinks.report_path("../x", str(tmp_path / "outputs"))
     assert sinks.file_suffix(["https://a.b/c", "d"]) == "a_b_c_plus_1"
+
+
+def test_history_keeps_what_has_no_age(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill import stores
+
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    rows = [(1, "run", "2024-01-31 00:00:00", None), (2, "run", "2023-01-01 00:00:00", None), (3, "run", "no time", None), (4, None, None, None), (5, "cache", "2023-01-01 00:00:00", "2024-03-01 00:00:00"), (6, "cache", "2024-01-31 00:00:00", "2024-01-31 12:00:00"), (7, "cache", "2023-01-01 00:00:00", None), (8, "cache", "2023-01-01 00:00:00", "never")]
+    df = spark.createDataFrame(rows, "seq long, record_type string, created_at string, expires_at string")
+    left = lambda d: {r.seq for r in d.collect()}
+    assert left(stores.trimmed_history(df, now, 30)) == {1, 3, 4, 5, 7, 8}
+    assert left(stores.trimmed_history(df, now, 0)) == left(stores.trimmed_history(df, now, -1)) == set(range(1, 9))
+    assert left(stores.trimmed_history(df, now, 30, 1)) == {1, 5, 7, 8}
+    assert left(stores.trimmed_history(df.limit(0), now, 30)) == set()
+
+
+def test_hits_and_lifetimes(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from lexmill import stores
+
+    made = dt.datetime(2024, 1, 1)
+    kinds = ["serp", "ads", "llm_extract", "llm_generate", "crawl", "math", "trends", "model_fetch", "other", None]
+    rows = stores.with_expiry(spark.createDataFrame([(f"k{i}", k, made, i) for i, k in enumerate(kinds)], "cache_key string, kind string, created_at timestamp, seq long"))
+    hours = {r.kind: (r.expires_at - made).total_seconds() / 3600 for r in rows.collect()}
+    assert hours == {"serp": 168, "ads": 168, "llm_extract": 720, "llm_generate": 720, "crawl": 168, "math": 168, "trends": 24, "model_fetch": 720, "other": 168, None: 168}
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp")
+    reads = spark.createDataFrame([("k0",), ("k0",), ("k6",), ("k9",), ("none",), (None,)], "cache_key string")
+    once = stores.with_hits(rows, reads, now)
+    assert {r.cache_key: r.hits for r in once.collect() if r.hits} == {"k0": 2, "k9": 1}
+    twice = stores.with_hits(once, reads, now)
+    assert {r.kind: (r.records, r.expired, r.hits) for r in stores.cache_stats(twice, now).collect() if r.kind in ("serp", "trends", "unknown")} == {"serp": (1, 0, 4), "trends": (1, 1, 0), "unknown": (1, 0, 2)}
+
+
+def test_matches_of_all_sources_as_in_pairs(spark):
+    from lexmill.operators import keyed
+
+    serp = [(k, u, p, i) for i, (k, u, p) in enumerate([("a", "https://www.x.com/p/", "3"), ("a", "http://x.com/q", None), ("a", "https://y.org/", "1"), ("b", "https://sub.x.com/p", "2"), ("b", "https://x.com/p?z=1", "9"), ("b", "", "1"), ("c", None, "1")])]
+    sources = ["https://x.com/p", " https://x.com/p ", "https://x.com/q", "y.org", "https://none.net", "", None]
+    s = spark.createDataFrame(serp, "norm_kw string, url string, position string, row_idx long")
+    src = spark.createDataFrame([(x,) for x in sources], "source_url string")
+    got = {tuple(r) for r in keyed.match_index_of(s, src).collect()}
+    want = {tuple(r) for r in keyed.match_index(s.crossJoin(src)).collect()}
+    assert got == want and len(got) >= 5
