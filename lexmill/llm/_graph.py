@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import staged
+from ._session import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,11 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
+    before = labels
     while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("c").alias("m"))
         nearer = labels.join(near, labels.v == near.a, "left").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("v").alias("w"), F.col("c").alias("far"))
         new = staged(nearer.join(jump, nearer.c == jump.w, "left").select("v", "old", F.least("c", "far").alias("c")), "labels")
-        labels = new.select("v", "c")
-        if new.filter("old <> c").isEmpty():
+        done = new.filter("old <> c").isEmpty()
+        discard(*([both] if done else []), before)
+        before, labels = new, new.select("v", "c")
+        if done:
             return labels

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import getpass
@@ -72,6 +73,14 @@ def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) ->
         if path not in keep:
             _delete(spark, path)
             FOLDERS.remove(path)
+    _collect(spark)
+
+
+def _collect(spark: SparkSession) -> None:
+    """Shuffle files of what has been written go as soon as the driver's collectors find that no plan holds them."""
+    gc.collect()
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -101,7 +110,19 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = run_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that staged() wrote and that nothing reads any more."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        if t._folder in FOLDERS:
+            _delete(spark, t._folder)
+            FOLDERS.remove(t._folder)
+    _collect(spark)
 
 
 def partitions(spark: SparkSession) -> int:

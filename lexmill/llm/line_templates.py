@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import staged
+from ._session import FOLDERS, discard, release, staged
 from ._skew import salted_join
 
 #: White space inside a line, and what stands for a variable field.
@@ -109,7 +109,9 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarit
     docs = docs.withColumn("text", F.col("text").cast("string")).withColumn("_rk", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("_rk").alias("rk"), "doc_id", "text")
     lines = staged(_lines(texts, depth), "lines")
+    since = len(FOLDERS)
     homes = staged(recurring_lines(texts.select("rk", "text"), lines, min_docs, depth, similarity, long), "homes")
+    release(docs.sparkSession, since, (homes._folder,))
     gone = salted_join(lines.select("rk", "line_no", "words", "line"), homes, "line", ["rk"]).filter("rk <> home")
     gone = gone.select("rk", "line_no", "words").distinct().groupBy("rk").agg(F.collect_list("line_no").alias("gone"), F.sum("words").alias("out"))
     if most < 1:
@@ -119,6 +121,7 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarit
     else:
         gone = gone.withColumn("whole", F.lit(False))
     gone = staged(gone.select(F.col("rk").alias("_rk"), "gone", "whole"), "gone")
+    discard(lines, homes)
     size = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     split = F.split("text", "\n", -1)
     out = docs.join(F.broadcast(gone) if size <= MOST_BROADCAST else gone, "_rk", "left")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._session import lean, partitions, staged, tune
+from ._session import discard, lean, partitions, staged, tune
 from ._skew import salted_join
 from ._text import SPACED, U64, chunks, mix, prefix_hashes, shingle_hashes, span_hashes, word_spans
 
@@ -38,6 +38,8 @@ SMALL, RATIO = 40, 1.5
 LEAST, SPARE = 3, 1.15
 #: Members and n-grams of a block of candidates.
 BLOCK_MEMBERS, BLOCK_GRAMS = 250, 500_000
+#: Row keys of classes that are broadcast at most, 8 bytes each; keys of sets are shuffled to more.
+MOST_BROADCAST = 1_000_000
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -420,19 +422,27 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_ke
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("rk"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = staged(docs.mapInArrow(lean(_sets(size, percent)), f"doc_id {kind}, rk long, n_shingles long, sid long, keys array<long>"), "members")
+    made = staged(docs.mapInArrow(lean(_sets(size, percent)), f"doc_id {kind}, rk long, n_shingles long, sid long, keys array<long>"), "members")
+    members = staged(made.drop("keys"), "members")
     classes = members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("mult"), F.first("n_shingles").alias("n"))
     classes = staged(classes, "classes")
     # Keys of one row of each class only, so copies don't crowd them.
-    keys = members.select("rk", "sid", "keys").join(classes.select("rk"), "rk", "left_semi").select(F.explode("keys").alias("key"), "sid")
+    reps = classes.select("rk")
+    keys = made.select("rk", "sid", "keys").join(F.broadcast(reps) if reps.count() <= MOST_BROADCAST else reps, "rk", "left_semi").select(F.explode("keys").alias("key"), "sid")
     stars = staged(keys.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(lean(_stars), "sid long, pivot long, key long"), "stars")
     texts = docs.select("rk", "text")
-    found = staged(_star_links(staged(stars.filter("key is null").select("sid", "pivot").distinct(), "pairs"), classes, texts, size, percent), "links")
+    discard(made)
+    pairs = staged(stars.filter("key is null").select("sid", "pivot").distinct(), "pairs")
+    found = staged(_star_links(pairs, classes, texts, size, percent), "links")
     labels = components(found)
     open_ = staged(_open_groups(stars, labels).join(classes.drop("least"), "sid"), "open")
+    discard(stars, pairs)
     if not open_.isEmpty():
-        more = _joined(staged(_cheapest(open_), "groups"), texts, size, percent)
+        groups = staged(_cheapest(open_), "groups")
+        more = _joined(groups, texts, size, percent)
         labels = components(found.union(more.select("sid", "root")))
+        discard(groups, more)
+    discard(open_, found)
     sets = staged(classes.join(labels, classes.sid == labels.v, "left").select("sid", "least", "rk", "mult", "n", F.coalesce("c", "sid").alias("comp")), "sets")
     whole = sets.groupBy("comp").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("rows"), F.sum("mult").alias("all"))
     sets = staged(salted_join(sets, whole.select("comp", "component", F.col("rows").alias("kinds"), "all"), "comp", ["sid"], whole.select("comp", "rows")), "labelled")
@@ -440,6 +450,6 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_ke
         counted = _joined(sets.filter("kinds > 2").select("comp", "sid", "rk", "mult", "n"), texts, size, percent).groupBy("sid").agg(F.sum("links").alias("links"))
         sets = sets.join(counted, "sid", "left").withColumn("links", F.when(F.col("kinds") > 2, F.coalesce("links", F.lit(0)) + F.col("mult") - 1).otherwise(F.col("all") - 1))
     told = sets.select("sid", "component", F.col("comp").alias("root"), *(["links"] if links else []))
-    by_row = salted_join(members.filter("sid is not null").drop("keys"), told, "sid", ["rk"], classes.select("sid", F.col("mult").alias("rows")))
-    bare = members.filter("sid is null").drop("keys").select("*", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("root"), *([F.lit(0).cast("long").alias("links")] if links else []))
+    by_row = salted_join(members.filter("sid is not null"), told, "sid", ["rk"], classes.select("sid", F.col("mult").alias("rows")))
+    bare = members.filter("sid is null").select("*", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("root"), *([F.lit(0).cast("long").alias("links")] if links else []))
     return by_row.unionByName(bare).select(*(["rk", "root"] if row_key else []), "doc_id", "n_shingles", F.col("component").alias("component_id"), *([F.col("links").cast("long").alias("n_links")] if links else []))
