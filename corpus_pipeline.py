@@ -44,7 +44,9 @@ def _key() -> Column:
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of linked documents, by row key rk and root (null for texts without words, which link with nothing), and the keys of those that stay."""
+    since = len(FOLDERS)
     found = staged(similarity_classes(docs, SHINGLE, PERCENT, row_key=True, links=False), "classes")
+    release(docs.sparkSession, since, (found._folder,))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
     stay = found.filter("root is not null").groupBy("root").agg(first.alias("first")).select(F.col("first.rk").alias("rk"))
     return found, stay.union(found.filter("root is null").select("rk"))
@@ -61,10 +63,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = docs.filter("rest is not null").select(F.col("_rk").alias("rk")).distinct()
     if whole.isEmpty():
         return _unpacked(docs, columns)
-    found, stay = _classes(docs)
-    found = found.join(whole, "rk", "left_semi").select(F.col("rk").alias("_rk"), "root").distinct()
+    since = len(FOLDERS)
+    classes, stay = _classes(docs)
+    found = classes.join(whole, "rk", "left_semi").select(F.col("rk").alias("_rk"), "root").distinct()
     kept = found.join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").select("root").distinct()
-    cut = found.join(kept, "root", "left_semi").select("_rk", F.lit(True).alias("_cut"))
+    cut = staged(found.join(kept, "root", "left_semi").select("_rk", F.lit(True).alias("_cut")), "cut")
+    release(spark, since, (cut._folder,))
     return _unpacked(docs.join(cut, "_rk", "left").withColumn("text", F.when(F.col("_cut"), F.col("rest")).otherwise(F.col("text"))), columns)
 
 
