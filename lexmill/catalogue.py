@@ -619,4 +619,4 @@ def cache_keys(spark, sf_dir):
     return e.select("event_id", stores.key_of(F.struct(F.lower("event_type").alias("a"), F.col("user_id").alias("user"))).alias("key"))
 
 
-from . import catalogue_joins  # noqa: E402, F401  its queries join those above
+from . import catalogue_joins, catalogue_sources  # noqa: E402, F401  their queries join those above
