@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .catalogue import _DOMAIN_SQL, _GEN_SQL, _HOST_SQL, _SOURCES_SQL, ORACLES, TOKENS_SQL, document_tokens, page_table, points, query, r6, serp_table, source_urls, table, tokens_sql
 from .functions import urls
-from .functions.text import cut_at_space, filled_prompt, half_even_int, redacted, rich_snippet, selection_key, without_tags, without_thinking
+from .functions.text import cut_at_space, filled_prompt, half_even_int, redacted, rich_snippet, selection_key, without_suffix, without_tags, without_thinking
 from .operators import corpus, keyed, quality, sets
+from .plans.profile import report_sheet
 from .sources import inputs
 
 # --- joins by keyword: customers as keywords, suppliers as metrics of which some keywords repeat ---
@@ -240,3 +241,53 @@ def generated_quality_varied(spark, sf_dir):
 @query(f"WITH {_VARIED_SQL}, o AS (SELECT text_id, avg(score) AS overall, count(*) FILTER (length_compliant) AS compliant FROM s GROUP BY text_id) SELECT text_id, round(overall, 6) AS overall, CASE WHEN overall >= 70 THEN 'Good' WHEN overall >= 50 THEN 'Fair' ELSE 'Poor' END AS status, compliant FROM o")
 def generated_reports(spark, sf_dir):
     return quality.quality_report(varied_scores(spark, sf_dir)).select("text_id", r6("overall").alias("overall"), "status", "compliant")
+
+
+# --- selections, source contexts, stems, sheets ---
+
+_PICKS_SQL = "p AS (SELECT CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE ' k' || c_custkey % 70 END AS keyword, 's' || c_nationkey || ' ' AS source_url, c_custkey AS row_idx FROM customer), done AS (SELECT 's' || s_nationkey AS source_url, 'k' || s_suppkey % 70 AS keyword, s_acctbal AS searches FROM supplier), f AS (SELECT trim(keyword) AS keyword, trim(source_url) AS source_url, min(row_idx) AS row_idx FROM p WHERE trim(keyword) <> '' GROUP BY 1, 2)"
+
+
+def selection(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    picks = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 9 == 0, " ").otherwise(F.concat(F.lit(" k"), F.col("c_custkey") % 70)).alias("keyword"), F.concat(F.lit("s"), "c_nationkey", F.lit(" ")).alias("source_url"), F.col("c_custkey").alias("row_idx"))
+    done = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_nationkey").alias("source_url"), F.concat(F.lit("k"), F.col("s_suppkey") % 70).alias("keyword"), F.col("s_acctbal").alias("searches"))
+    return sets.selection_context(picks, done)
+
+
+@query(f"WITH {_PICKS_SQL} SELECT source_url, keyword, searches FROM done UNION ALL SELECT source_url, keyword, NULL FROM f ANTI JOIN done USING (source_url, keyword)")
+def selection_rows(spark, sf_dir):
+    return selection(spark, sf_dir)["rows"].select("source_url", "keyword", "searches")
+
+
+@query(f"WITH {_PICKS_SQL} SELECT source_url, string_agg(keyword, ' ' ORDER BY row_idx) AS keywords, CAST(count(*) AS INTEGER) AS selected FROM f GROUP BY source_url")
+def selection_by_source(spark, sf_dir):
+    return selection(spark, sf_dir)["by_source"].withColumn("keywords", F.array_join("keywords", " "))
+
+
+@query("WITH a AS (SELECT DISTINCT trim([' en', 'de', 'www.x.org', ' ', 'fr'][c_custkey % 5 + 1]) AS keyword, CASE WHEN c_nationkey % 4 = 0 THEN '' ELSE 'https://n' || c_nationkey || '.org/' END AS source_url FROM customer), r AS (SELECT page_id, regexp_extract(url, '://[^/]*/([a-z]+)', 1) AS keyword FROM pages) SELECT keyword, source_url, keyword || '||' || source_url AS source_context_key, page_id FROM a JOIN r USING (keyword) WHERE keyword NOT IN ('', 'www.x.org')")
+def results_by_source(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    pairs = c.select(F.get(F.array(*map(F.lit, [" en", "de", "www.x.org", " ", "fr"])), (F.col("c_custkey") % 5).cast("int")).alias("keyword"), F.when(F.col("c_nationkey") % 4 != 0, F.concat(F.lit(" https://n"), "c_nationkey", F.lit(".org/"))).alias("source_url"))
+    results = serp_table(spark, sf_dir).select("keyword", F.col("row_idx").alias("page_id"))
+    return sets.source_contexts(pairs, results).select("keyword", "source_url", "source_context_key", "page_id")
+
+
+_ENDS = ["ий", "ность", "тель", "ому", "у", "ами"]
+
+
+@query(f"SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 < 2 THEN left('слов', 1 + s_suppkey % 7) || ({_ENDS!r})[s_suppkey % 6 + 1] ELSE 'слово' || s_suppkey % 3 END AS word, CASE WHEN s_suppkey % 7 >= 2 THEN 'слово' || s_suppkey % 3 WHEN length(left('слов', 1 + s_suppkey % 7) || ({_ENDS!r})[s_suppkey % 6 + 1]) <= 4 THEN left('слов', 1 + s_suppkey % 7) || ({_ENDS!r})[s_suppkey % 6 + 1] ELSE left('слов', 1 + s_suppkey % 7) || CASE s_suppkey % 6 WHEN 1 THEN 'но' WHEN 4 THEN 'у' ELSE '' END END AS stem FROM supplier")
+def stems(spark, sf_dir):
+    k = F.col("s_suppkey")
+    end = F.get(F.array(*map(F.lit, _ENDS)), (k % 6).cast("int"))
+    word = F.when(k % 7 < 2, F.concat(F.substring(F.lit("слов"), F.lit(1), (1 + k % 7).cast("int")), end)).otherwise(F.concat(F.lit("слово"), (k % 3).cast("string")))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), word.alias("word"), without_suffix(word).alias("stem"))
+
+
+@query(f"SELECT domain AS \"Domain\", round_even(avg_position, 1) AS \"Avg Position\", keyword_serp_count || '/' || total_keyword_serps AS \"Keyword SERPs\", total_keyword_serps AS \"Total Keywords\", result_count AS \"Result Count\", total_results AS \"Total Results\" FROM ({ORACLES['domain_metrics']})")
+def sheet_of_domains(spark, sf_dir):
+    return report_sheet("SERP Domains", keyed.domain_metrics(serp_table(spark, sf_dir)))
+
+
+@query(f"SELECT 2 AS \"Gram Size\", ngram AS \"N-Gram\", raw_count AS \"Count\", round_even(weighted_count, 4) AS \"Weighted Count\", doc_frequency AS \"DF\", total_word_count AS \"Total Words\", round_even(density_pct, 4) AS \"Density %\" FROM ({ORACLES['ngram_rank_2']})")
+def sheet_of_ngrams(spark, sf_dir):
+    return report_sheet("N-Grams", corpus.ngrams(document_tokens(spark, sf_dir), 2).withColumn("gram_size", F.lit(2)))

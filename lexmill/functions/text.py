@@ -39,6 +39,21 @@ def tokens(text: Column | str, stopwords: Sequence[str] = STOPWORDS, word: str =
     return F.filter(out, lambda t: ~t.isin(*stopwords)) if stopwords else out
 
 
+#: Endings that are taken off words of more than four letters, the first that fits. Fixed values.
+SUFFIXES = ("ий", "ия", "ое", "ый", "ая", "ой", "ем", "их", "ых", "ому", "ему", "ого", "его", "ому", "ими", "ами", "сть", "ность", "тель")
+
+
+def without_suffix(word: Column) -> Column:
+    """A word of more than four letters without the first of SUFFIXES, in their order, that it ends with."""
+    cut = F.coalesce(*(F.when(F.endswith(word, F.lit(s)), F.substring(word, F.lit(1), F.length(word) - len(s))) for s in dict.fromkeys(SUFFIXES)), word)
+    return F.when(F.length(word) > 4, cut).otherwise(word)
+
+
+def stripped(words: Column) -> Column:
+    """tokens() without their suffixes."""
+    return F.transform(words, without_suffix)
+
+
 def signal_tokens(text: Column | str) -> Column:
     """Words of two or more letters or digits, repeats included; no stopwords, hyphens part."""
     return F.regexp_extract_all(F.lower(_text(text)), F.lit(f"({SIGNAL_WORD})"), F.lit(0))

@@ -150,10 +150,14 @@ def bm25f(table: DataFrame, query: list[str], weights: dict[str, float] | None =
     return out if top_n is None else out.orderBy(F.desc("score"), F.desc("query_coverage"), "source_idx").limit(top_n)
 
 
+#: Words that are broadcast at most.
+MOST_BROADCAST = 1_000_000
+
+
 def neighbour_counts(table: DataFrame, window: int = 5, only: DataFrame | None = None, seeds: list[str] | None = None) -> DataFrame:
     """term, other, n: how often two different words stand at most window places apart, in both directions.
 
-    only: a table of terms; pairs of other terms are left out before they are shuffled to be counted. seeds: the same as a
+    only: a table of different terms; pairs of other terms are left out before they are shuffled to be counted. seeds: the same as a
     list, for a few terms: only their surroundings are looked at.
     """
     t = F.col("tokens")
@@ -170,7 +174,7 @@ def neighbour_counts(table: DataFrame, window: int = 5, only: DataFrame | None =
     all_ = F.flatten(F.array(*(shifted(d) for d in range(-window, window + 1) if d)))
     pairs = table.select(F.inline(all_)).filter("term <> other")
     if only is not None:
-        pairs = pairs.join(only.select("term").distinct(), "term", "left_semi")
+        pairs = pairs.join(only, "term", "left_semi")
     return pairs.groupBy("term", "other").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -185,7 +189,9 @@ def cooccurrence(table: DataFrame, seeds: list[str], window: int = 5, top_n: int
     kept = near.filter(~F.col("other").isin(*seeds)) if seeds else near
     # Which seeds a word stands by, for the words that neighbours stand by.
     by = near.groupBy("other").agg(F.collect_set("term").alias("by"))
-    context = neighbour_counts(table, window, kept.select(F.col("other").alias("term")))
+    words = kept.select(F.col("other").alias("term")).distinct()
+    # Few words are sent to the texts, so pairs are counted before they are shuffled; more are joined.
+    context = neighbour_counts(table, window, F.broadcast(words) if words.count() <= MOST_BROADCAST else words)
     shared = F.create_map(*(x for s in seeds for x in (F.lit(s), F.count_if(F.array_contains("by", s))))) if seeds else F.create_map().cast("map<string,bigint>")
     words = context.join(by, "other", "left").groupBy(F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("b"), shared.alias("shared"))
     sizes = near.groupBy(F.col("term").alias("seed")).agg(F.count(F.lit(1)).alias("a"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_keyword, is_valid_keyword, keyword_key
+from ..functions.text import clean_keyword, is_url_like, is_valid_keyword, keyword_key
 from .signals import first_rows
 
 PAIR = ["source_url", "keyword"]
@@ -78,3 +78,26 @@ def term_overlap(left: DataFrame, right: DataFrame, order: str = "row_idx") -> d
     key = lambda d, name: d.withColumn("key", keyword_key("term")).filter("key <> ''").groupBy("key").agg(F.min_by("term", order).alias(name))
     a, b = key(left, "left_term"), key(right, "right_term")
     return {"both": a.join(b, "key"), "left_only": a.join(b, "key", "left_anti"), "right_only": b.join(a, "key", "left_anti")}
+
+
+def selected_pairs(selected: DataFrame, order: str = "row_idx") -> DataFrame:
+    """selected: keyword, source_url and order. Trimmed pairs without blanks, the first of equals."""
+    rows = selected.withColumn("keyword", F.trim("keyword")).withColumn("source_url", F.trim("source_url"))
+    return first_pairs(rows.filter((F.coalesce("keyword", F.lit("")) != "") & (F.coalesce("source_url", F.lit("")) != "")), order)
+
+
+def selection_context(selected: DataFrame, processed: DataFrame, order: str = "row_idx") -> dict[str, DataFrame]:
+    """What a selection of (keyword, source_url) leads to: rows, processed with the pairs that it lacks (other columns null), and
+    by_source, source_url with its keywords in the order selected and their number. An empty selection adds nothing."""
+    pairs = selected_pairs(selected, order)
+    lists = pairs.groupBy("source_url").agg(F.sort_array(F.collect_list(F.struct(order, "keyword"))).alias("l"))
+    by_source = lists.select("source_url", F.transform("l", lambda x: x["keyword"]).alias("keywords"), F.size("l").alias("selected"))
+    return {"rows": append_absent(processed, pairs.select(*PAIR)), "by_source": by_source}
+
+
+def source_contexts(pairs: DataFrame, results: DataFrame) -> DataFrame:
+    """A run of results for each source: pairs (keyword, source_url), trimmed, without blank keywords and those that are URLs, each once,
+    with the results (keyword, …) of their keyword; source_context_key is keyword and source URL. A blank source is a context too."""
+    clean = pairs.select(F.trim("keyword").alias("keyword"), F.trim(F.coalesce("source_url", F.lit(""))).alias("source_url"))
+    clean = clean.filter((F.coalesce("keyword", F.lit("")) != "") & ~is_url_like(F.col("keyword"))).distinct()
+    return clean.withColumn("source_context_key", F.concat_ws("||", "keyword", "source_url")).join(results, "keyword")

@@ -139,3 +139,32 @@ def export_sheets(profile: Profile) -> dict[str, DataFrame]:
     if profile.bm25f is not None:
         sheets["bm25f"] = r(profile.bm25f, "score", "query_coverage").withColumn("matched_terms", F.array_join("matched_terms", ", ")).drop("term_scores")
     return sheets
+
+
+#: Sheets of a report, their columns and where they come from. Fixed values.
+SHEETS = {
+    "N-Grams": {"Gram Size": "gram_size", "N-Gram": "ngram", "Count": "raw_count", "Weighted Count": "weighted_count", "DF": "doc_frequency", "Total Words": "total_word_count", "Density %": "density_pct"},
+    "TF-IDF Terms": {"Term": "term", "Count": "raw_count", "TF-IDF": "tfidf", "DF": "doc_frequency", "Total Words": "total_word_count", "Density %": "density_pct"},
+    "Co-occurrence": {"Term": "term", "Count": "cooccurrence_count", "Jaccard": "jaccard_similarity", "Context Terms": "context_terms", "Total Words": "total_word_count", "Density %": "density_pct"},
+    "Intent": {"Intent Type": "intent_type", "Score": "score", "Confidence": "confidence", "Signals": "signals"},
+    "SERP Domains": {"Domain": "domain", "Avg Position": "avg_position", "Keyword SERPs": "keyword_serps", "Total Keywords": "total_keyword_serps", "Result Count": "result_count", "Total Results": "total_results"},
+}
+
+
+def report_sheet(name: str, rows: DataFrame) -> DataFrame:
+    """A sheet by the names and in the order of SHEETS: doubles to four places, halves to even (an average position to one), lists as texts."""
+    if name == "SERP Domains":
+        rows = rows.withColumn("avg_position", F.bround("avg_position", 1)).withColumn("keyword_serps", F.concat_ws("/", "keyword_serp_count", "total_keyword_serps"))
+    kinds = dict(rows.dtypes)
+    shown = {c: F.bround(c, 4) if kinds[c] == "double" else F.array_join(c, ", ") if kinds[c].startswith("array") else F.col(c) for c in SHEETS[name].values()}
+    return rows.select(*(shown[c].alias(label) for label, c in SHEETS[name].items()))
+
+
+def report_sheets(profile: Profile, domains: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The sheets of a profile, and of domain metrics if given."""
+    grams = None
+    for n, d in sorted(profile.ngrams.items()):
+        d = d.withColumn("gram_size", F.lit(n))
+        grams = d if grams is None else grams.unionByName(d)
+    parts = {"N-Grams": grams, "TF-IDF Terms": profile.tfidf, "Co-occurrence": profile.cooccurrence, "Intent": profile.intent, "SERP Domains": domains}
+    return {name: report_sheet(name, rows) for name, rows in parts.items() if rows is not None}
