@@ -1,3 +1,4 @@
+import dataclasses
 import itertools
 import random
 import zlib
@@ -54,3 +55,17 @@ def test_viterbi_as_brute_force():
     for a, b in zip(first[:-1], first[1:]):
         worth = {p: sum(scores[a + i, k] for i, k in enumerate(p)) - 0.7 * sum(x != y for x, y in zip(p, p[1:])) for p in itertools.product(range(3), repeat=b - a)}
         assert np.isclose(worth[tuple(got[a:b].tolist())], max(worth.values()), atol=1e-5)
+
+
+def test_very_long_text_and_ties(spark):
+    """A text of a million letters is judged whole; equal letters of two languages go to the first by name."""
+    df = spark.createDataFrame([(*x, "") for x in rows()], DOCS)
+    model = learn(df)
+    some = {k: next(t for _, t, lang in rows() if lang == k and t) for k in ("aa", "bb")}
+    long = (some["aa"] + " ") * (700_000 // len(some["aa"])) + (some["bb"] + " ") * (300_000 // len(some["bb"]))
+    got = identify(spark.createDataFrame([(1, long, None, ""), (2, "x" * 1_000_000, None, "")], DOCS), model).collect()
+    by = {x.doc_id: x for x in got}
+    assert by[1].lang_pred == "aa" and 0.6 < by[1].score < 0.8 and {s.lang for s in by[1].spans} >= {"aa", "bb"}
+    assert by[2].lang_pred in model.languages and by[2].score == 1.0
+    blank = dataclasses.replace(model, weights=model.weights * 0)
+    assert identify(spark.createDataFrame([(1, some["bb"], None, "")], DOCS), blank).first().lang_pred == "aa"

@@ -91,3 +91,24 @@ def test_trie_alone():
     got = {(y, x) for y, xs in trie_links(sets, 70) for x in xs.tolist()}
     want = {(y, x) for y in range(60) for x in range(60) if x != y and 170 * len(np.intersect1d(sets[x], sets[y])) >= 70 * (len(sets[x]) + len(sets[y]))}
     assert got == want and want
+
+
+def test_very_long_texts(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    near = [w if i % 100 else "x" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words), ""), (2, " ".join(near), ""), (3, " ".join(words[:30_000]), ""), (4, "y" * 1_000_000, ""), (5, "y" * 1_000_000, "")]
+    got = {x.doc_id: tuple(x)[1:] for x in similarity_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[4] == got[5] == (1, 4, 1) and got[3][1:] == (3, 0)
+    assert got[1][1:] == got[2][1:] == (1, 1)
+
+
+def test_one_set_of_many_that_share_a_key(spark):
+    """Sets that all share an n-gram range, of which only a few link: nothing is closed over what is merely shared."""
+    r = random.Random(6)
+    shared = [f"s{i}" for i in range(400)]
+    rows = [(i, " ".join(shared + [f"o{i}x{k}" for k in range(250)]), "") for i in range(40)]
+    rows += [(100 + i, rows[0][1].replace("o0x3 ", f"e{i} "), "") for i in range(5)]
+    got = sorted(tuple(x) for x in similarity_classes(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted(brute([x[:2] for x in rows]))
+    assert got[1][2:] == (1, 0)
