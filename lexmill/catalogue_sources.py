@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import ORACLES, TFIDF_SQL, documents_corpus, page_table, query, r6, table
+from .catalogue import ORACLES, TFIDF_SQL, documents_corpus, page_table, query, r6, table, tokens_sql
 from .plans import profile
 from .sources import serp, trends
 
@@ -199,3 +199,28 @@ def profile_terms(spark, sf_dir):
 @query(f"SELECT term FROM (SELECT term FROM ({TFIDF_SQL}) WHERE doc_frequency >= 2 ORDER BY tfidf DESC, term LIMIT 15) UNION SELECT ngram FROM (SELECT ngram FROM ({ORACLES['ngram_rank_2']}) ORDER BY weighted_count DESC, ngram LIMIT 10)")
 def profile_candidates(spark, sf_dir):
     return profile.candidate_keywords(profile.build_profile(documents_corpus(spark, sf_dir), profile.Settings(ngram_min=2, ngram_max=2))).select("term")
+
+
+# parts as generated texts: a title, a heading and a description that repeats both
+_PARTS_SQL = f"""x AS (SELECT p_partkey AS text_id, unnest([p_name, p_type, p_name || ' ' || p_name || ' ' || p_type]) AS text, unnest([3.0, 2.5, 1.0])::DOUBLE AS weight FROM part),
+t AS (SELECT text_id, weight, {tokens_sql('text')} AS w FROM x), n AS (SELECT text_id, CAST(sum(len(w)) AS BIGINT) AS total, count(*) AS sections FROM t GROUP BY text_id)"""
+
+
+def part_profiles(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    text = F.concat(F.lit("META_TITLE: "), "p_name", F.lit("\nH1: "), "p_type", F.lit("\nDESCRIPTION: "), "p_name", F.lit(" "), "p_name", F.lit(" "), "p_type")
+    return profile.generated_profiles(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), text.alias("text")), (2,), 3) | {"one": profile.generated_profiles(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), text.alias("text")), (1,), 4)["tfidf"]}
+
+
+@query(f"""WITH {_PARTS_SQL}, g AS (SELECT text_id, weight, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM t),
+c AS (SELECT text_id, ngram, weight, count(*) AS k FROM g GROUP BY ALL)
+SELECT text_id, 2 AS size, ngram, CAST(sum(k) AS BIGINT) AS raw_count, CAST(sum(k * weight) AS DOUBLE) AS weighted_count, count(*) AS doc_frequency, round(100.0 * sum(k) / any_value(total), 6)::DOUBLE AS density_pct FROM c JOIN n USING (text_id) GROUP BY text_id, ngram
+QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY sum(k * weight) DESC, ngram) <= 3""")
+def generated_ngrams(spark, sf_dir):
+    return part_profiles(spark, sf_dir)["ngrams"].withColumn("density_pct", r6("density_pct"))
+
+
+@query(f"""WITH {_PARTS_SQL}, g AS (SELECT text_id, weight, len(w) AS l, unnest(w) AS term FROM t), c AS (SELECT text_id, term, weight, l, count(*) AS k FROM g GROUP BY ALL),
+s AS (SELECT text_id, term, round(sum(k / l::DOUBLE * weight) * (ln((any_value(sections) + 1)::DOUBLE / (count(*) + 1)) + 1), 6) AS tfidf, count(*) AS doc_frequency, CAST(sum(k) AS BIGINT) AS raw_count FROM c JOIN n USING (text_id) GROUP BY text_id, term)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY tfidf DESC, term) <= 4""")
+def generated_terms(spark, sf_dir):
+    return part_profiles(spark, sf_dir)["one"].withColumn("tfidf", r6("tfidf"))

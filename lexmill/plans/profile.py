@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -87,6 +87,30 @@ def generated_corpus(texts: DataFrame) -> DataFrame:
     return _indexed(out, F.col("text_id") * 8 + F.col("part")).select("source_idx", "text", "field", "weight")
 
 
+def generated_profiles(texts: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), top: int = 30) -> dict[str, DataFrame]:
+    """texts: text_id, text: a profile of each text, its sections being the sources, without least counts.
+
+    ngrams: text_id, size, ngram, raw_count, weighted_count, doc_frequency (sections), density_pct; tfidf: text_id, term, tfidf,
+    doc_frequency, raw_count; the top of each text and size, by weight, then name. Counts are made in the row of a section; one
+    shuffle brings the sections of a text together."""
+    rows = generated_corpus(texts).select(F.shiftright("source_idx", 3).alias("text_id"), "weight", F.explode(F.array(tokens("text"))).alias("tokens"))
+    rows = rows.withColumn("len", F.size("tokens"))
+    totals = rows.groupBy("text_id").agg(F.sum("len").alias("total"), F.count(F.lit(1)).alias("sections"))
+    counts = None
+    for n in sizes:
+        part = stats.runs(rows, stats.grams(F.col("tokens"), n)).withColumn("size", F.lit(n))
+        counts = part if counts is None else counts.unionByName(part)
+    sums = counts.groupBy("text_id", "size", "term").agg(F.sum("n").cast("long").alias("raw_count"), F.sum(F.col("n") * F.col("weight")).alias("weighted_count"), F.count(F.lit(1)).alias("doc_frequency"), F.sum(F.col("n") / F.col("len") * F.col("weight")).alias("tf"))
+    sums = sums.join(totals, "text_id")
+    first = lambda by, *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round(by, 9)), "term"))
+    ngrams = sums.withColumn("k", first("weighted_count", "text_id", "size")).filter(F.col("k") <= top)
+    terms = sums.filter("size = 1").withColumn("tfidf", F.col("tf") * (F.log((F.col("sections") + 1) / (F.col("doc_frequency") + 1)) + 1)).withColumn("k", first("tfidf", "text_id")).filter(F.col("k") <= top)
+    return {
+        "ngrams": ngrams.select("text_id", "size", F.col("term").alias("ngram"), "raw_count", "weighted_count", "doc_frequency", (100.0 * F.col("raw_count") / F.col("total")).alias("density_pct")),
+        "tfidf": terms.select("text_id", "term", "tfidf", "doc_frequency", "raw_count"),
+    }
+
+
 def scraped_corpus(pages: DataFrame) -> DataFrame:
     """pages: page_id, url, text, as bodies."""
     return pages.select(F.col("page_id").alias("source_idx"), "text", F.lit("body_text").alias("field"), F.lit(1.0).alias("weight"), F.col("url").alias("provenance_url")).filter("text <> ''")
