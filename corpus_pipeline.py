@@ -55,8 +55,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first.
 
-    A text that would lose more than COPY_SHARE is left whole only if the join of copies takes it. Where the text that stays
-    of a class is one of these, all of them in its class lose their lines; other classes are as they were, and so still link.
+    A text that would lose more than COPY_SHARE is left whole only if the join of copies takes it, for which the texts that hold
+    recurring lines, dropped or not, are joined with one another. Where the text that stays of a class is one of these, all of
+    them in its class lose their lines; other classes are as they were, and so still link.
     """
     columns = docs.columns
     docs = staged(drop_templates(_packed(docs), most=COPY_SHARE, rest=True, long=LONG_LINE), "lines").withColumn("_rk", _key())
@@ -64,7 +65,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if whole.isEmpty():
         return _unpacked(docs, columns)
     since = len(FOLDERS)
-    classes, stay = _classes(docs)
+    classes, stay = _classes(docs.filter("holds"))
     found = classes.join(whole, "rk", "left_semi").select(F.col("rk").alias("_rk"), "root").distinct()
     kept = found.join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").select("root").distinct()
     cut = staged(found.join(kept, "root", "left_semi").select("_rk", F.lit(True).alias("_cut")), "cut")
