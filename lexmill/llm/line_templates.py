@@ -91,7 +91,7 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, min_docs: int, depth: int
     return same.union(alike).groupBy("line").agg(F.min("first").alias("first")).select("line", F.col("first.rk").alias("home"))
 
 
-def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0, rest: bool = False, long: int | None = 50) -> DataFrame:
+def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0, copies: float | None = None, long: int | None = 50) -> DataFrame:
     """Texts without the lines of which a template recurs in min_docs documents (2 or 3) or more; the template's first document
     (least doc_id) keeps its lines.
 
@@ -99,14 +99,14 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarit
     before) and n_dropped; a column of docs with one of these names is replaced. Lines are parted by \\n and put together with
     it again; blank lines are never dropped. long: lines of more tokens than this are passages, which go from two documents on
     (None: as others). most: a text of which more than this share of words would go is a copy rather than a page with
-    boilerplate, and is left whole; rest adds a column of that name, what would be left of such a text (null for others),
-    and holds, whether the text has a line that recurs, dropped or not.
+    boilerplate, and is left whole; copies: only if with one other document, the first of its templates, it shares lines of at
+    least this share of the words of both.
     Null text stays null, with no lines. Rows of equal doc_id and text are one document; null doc_ids come last. An empty table
     gives an empty result.
     """
     if min_docs not in (2, 3):
         raise ValueError("min_docs must be 2 or 3")
-    docs = docs.drop("n_lines", "n_dropped", "_rk", *(["rest", "holds"] if rest else []))
+    docs = docs.drop("n_lines", "n_dropped", "_rk")
     docs = docs.withColumn("text", F.col("text").cast("string")).withColumn("_rk", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("_rk").alias("rk"), "doc_id", "text")
     lines = staged(_lines(texts, depth), "lines")
@@ -114,16 +114,19 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarit
     homes = staged(recurring_lines(texts.select("rk", "text"), lines, min_docs, depth, similarity, long), "homes")
     release(docs.sparkSession, since, (homes._folder,))
     gone = salted_join(lines.select("rk", "line_no", "words", "line"), homes, "line", ["rk"])
-    gone = gone if rest else gone.filter("rk <> home")
-    away = F.col("rk") != F.col("home")
-    gone = gone.select("rk", "line_no", "words", "home").distinct().groupBy("rk").agg(F.collect_list(F.when(away, F.col("line_no"))).alias("gone"), F.sum(F.when(away, F.col("words")).otherwise(0)).alias("out"))
+    away = gone.filter("rk <> home").select("rk", "line_no", "words", "home").distinct()
+    gone = away.groupBy("rk").agg(F.collect_list("line_no").alias("gone"), F.sum("words").alias("out"))
     if most < 1:
-        total = lines.select("rk", "line_no", "words").distinct().groupBy("rk").agg(F.sum("words").alias("words"))
+        total = staged(lines.select("rk", "line_no", "words").distinct().groupBy("rk").agg(F.sum("words").alias("words")), "words")
         gone = gone.join(total, "rk").withColumn("whole", F.col("out") > most * F.col("words"))
-        gone = gone if rest else gone.filter("not whole")
-    else:
-        gone = gone.withColumn("whole", F.lit(False))
-    gone = staged(gone.select(F.col("rk").alias("_rk"), "gone", "whole"), "gone")
+        if copies is not None:
+            # Words that a text has in lines of one document, its own words and that document's.
+            shared = staged(away.groupBy("rk", "home").agg(F.sum("words").alias("shared")), "shared")
+            shared = salted_join(shared, total.select(F.col("rk").alias("home"), F.col("words").alias("theirs")), "home", ["rk"]).join(total, "rk")
+            near = shared.filter(F.col("shared") >= copies * (F.col("words") + F.col("theirs") - F.col("shared"))).select("rk", F.lit(True).alias("near")).distinct()
+            gone = gone.join(near, "rk", "left").withColumn("whole", F.col("whole") & F.coalesce("near", F.lit(False)))
+        gone = gone.filter("not whole")
+    gone = staged(gone.select(F.col("rk").alias("_rk"), "gone"), "gone")
     discard(lines, homes)
     size = gone.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     split = F.split("text", "\n", -1)
@@ -131,11 +134,9 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, depth: int = 4, similarit
     # The numbers that stay are found once, and the text is split once: the work grows with its lines.
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     kept = F.get(F.transform(F.array(split), lambda all_: F.array_join(F.transform(stay, lambda i: F.get(all_, i)), "\n")), F.lit(0))
-    drops = (F.size("gone") > 0) & ~F.col("whole")
+    drops = F.col("gone").isNotNull()
     out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.when(drops, F.size("gone")), F.lit(0)).cast("long"))
-    if rest:
-        out = out.withColumn("rest", F.when(F.col("whole"), kept)).withColumn("holds", F.col("gone").isNotNull())
-    return out.withColumn("text", F.when(drops, kept).otherwise(F.col("text"))).drop("_rk", "gone", "whole")
+    return out.withColumn("text", F.when(drops, kept).otherwise(F.col("text"))).drop("_rk", "gone")
 
 
 def oracle(min_docs: int = 3, depth: int = 4, similarity: float = 0.7, most: float = 1.0, long: int = 50, documents: str = "documents") -> str:
