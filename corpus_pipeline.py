@@ -14,7 +14,7 @@ from lexmill.llm.sampled_pieces import decode_pieces, encode_sampled
 
 #: Share of its letters that a text's language must have.
 LEAST_SHARE = 0.34
-#: A text of which repeated lines make up more than this share of words may be a copy. It is left to the stage that joins copies if that takes it.
+#: A text of which repeated lines make up more than this share of words may be a copy. It is left to the stage that joins copies if one other text has most of it.
 COPY_SHARE = 0.5
 #: Lines of more words than this are passages, which go from two documents on; shorter ones go from three.
 LONG_LINE = 50
@@ -53,24 +53,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first.
+    """Lines of recurring templates go from all documents but the first, in DataFrame functions only.
 
-    A text that would lose more than COPY_SHARE is left whole only if the join of copies takes it, for which the texts that hold
-    recurring lines, dropped or not, are joined with one another. Where the text that stays of a class is one of these, all of
-    them in its class lose their lines; other classes are as they were, and so still link.
+    A text that would lose more than COPY_SHARE of its words is left whole, to the join of copies, only if it shares lines of
+    PERCENT of both texts' words with one other document.
     """
-    columns = docs.columns
-    docs = staged(drop_templates(_packed(docs), most=COPY_SHARE, rest=True, long=LONG_LINE), "lines").withColumn("_rk", _key())
-    whole = docs.filter("rest is not null").select(F.col("_rk").alias("rk")).distinct()
-    if whole.isEmpty():
-        return _unpacked(docs, columns)
-    since = len(FOLDERS)
-    classes, stay = _classes(docs.filter("holds"))
-    found = classes.join(whole, "rk", "left_semi").select(F.col("rk").alias("_rk"), "root").distinct()
-    kept = found.join(stay.withColumnRenamed("rk", "_rk"), "_rk", "left_semi").select("root").distinct()
-    cut = staged(found.join(kept, "root", "left_semi").select("_rk", F.lit(True).alias("_cut")), "cut")
-    release(spark, since, (cut._folder,))
-    return _unpacked(docs.join(cut, "_rk", "left").withColumn("text", F.when(F.col("_cut"), F.col("rest")).otherwise(F.col("text"))), columns)
+    return _unpacked(drop_templates(_packed(docs), most=COPY_SHARE, copies=PERCENT / 100, long=LONG_LINE), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
