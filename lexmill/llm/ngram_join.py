@@ -7,8 +7,8 @@ over links that are verified:
 
 1. of the sets with a key, each is joined with the least one, its pivot; a set meets a pivot once, however many keys they share;
 2. these links are closed. A key is done if all its sets but the pivot are of one class by now;
-3. the sets of the keys that are left are joined with one another, in blocks, and all links are closed again. Keys that overlap
-   are joined as one group where that takes fewer rows than key by key;
+3. the sets of the keys that are left are compared by sketches, in blocks (keys that overlap as one group where that takes fewer
+   rows than key by key); those that may link are joined with one another, and all links are closed again;
 4. if links are to be counted, the sets of each class are joined with one another, in blocks. All links lie inside classes.
 
 A join stores sets in a prefix tree, each in one global order, that of hashes; n-grams found in the same members are one
@@ -33,11 +33,13 @@ from ._skew import salted_join
 from ._text import SPACED, U64, chunks, mix, prefix_hashes, shingle_hashes, span_hashes, word_spans
 
 #: Sets below this size are routed by prefix tokens; sizes from there on fall in classes of this ratio.
-SMALL, RATIO = 40, 1.5
-#: Ranges of fewer n-grams than LEAST route only sets that have too few others; there are SPARE times the ranges needed.
-LEAST, SPARE = 3, 1.15
+SMALL, RATIO = 40, 2.0
+#: Ranges that a class of sizes has, times those needed.
+SPARE = 1.15
 #: Members and n-grams of a block of candidates.
 BLOCK_MEMBERS, BLOCK_GRAMS = 250, 500_000
+#: The same of a block of sketches.
+SKETCH_MEMBERS, SKETCH_GRAMS = 2_000, 8_000_000
 #: Row keys of classes that are broadcast at most, 8 bytes each; keys of sets are shuffled to more.
 MOST_BROADCAST = 1_000_000
 
@@ -65,6 +67,42 @@ def set_id(grams: np.ndarray) -> int:
         return int((mix(grams).sum(dtype=U64) + U64(len(grams)) * U64(0x9E3779B97F4A7C15)).view(np.int64))
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Counts of a set's hashes, up to 255, by their leading bits; a power of two of counts, one for two to four hashes."""
+    bits = max(1, math.ceil(math.log2(max(1, len(grams)) / 4)))
+    return np.minimum(np.bincount((grams >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: np.ndarray, n: int) -> np.ndarray:
+    """Rows of counts as n counts each."""
+    return counts.reshape(len(counts), n, -1).sum(axis=2, dtype=np.int32)
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Members that just one of two sets has, at least, by their sketches."""
+    n = min(len(a), len(b))
+    x, y = (folded(np.frombuffer(s, np.uint8)[None], n) for s in (a, b))
+    return int(np.abs(x - y).sum())
+
+
+def near_pairs(sizes: np.ndarray, sketches: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of different sets whose sketches don't rule out a link, each once: (index, indices)."""
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    widths = np.array([len(sketches[k]) for k in order.tolist()])  # they grow with sizes
+    for width in np.unique(widths).tolist():
+        lo, hi = np.searchsorted(widths, [width, width + 1]).tolist()
+        end = int(np.searchsorted(sizes, 100 * sizes[hi - 1] // percent, "right"))
+        table = np.concatenate([folded(np.frombuffer(sketches[k], np.uint8)[None], width) for k in order[lo:end].tolist()])
+        table = table.astype(np.int16 if len(table) and table.max() < 1 << 14 else np.int32)
+        for i in range(lo, hi):
+            last = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
+            apart = np.abs(table[i + 1 - lo : last - lo] - table[i - lo]).sum(axis=1, dtype=np.int64)
+            met = np.flatnonzero((100 + percent) * apart <= (100 - percent) * (sizes[i + 1 : last] + sizes[i]))
+            if len(met):
+                yield int(order[i]), order[i + 1 + met]
+
+
 class Routes:
     """Keys such that any two different sets linked at percent/100 share one at least."""
 
@@ -103,15 +141,12 @@ class Routes:
             top, edges = self.scheme(i)
             cut = np.searchsorted(grams, edges)
             count = np.diff(cut, append=n)
+            full = np.flatnonzero(count)
             apart = self.apart(n, min(top - 1, 100 * n // self.p))
-            for low, least in enumerate((LEAST, 1)):
-                full = np.flatnonzero(count >= least)
-                sums = np.add.reduceat(mixed, cut[np.flatnonzero(count)])[np.searchsorted(np.flatnonzero(count), full)]
-                out.append(mix(sums + mix((full + (2 * i + low << 32)).astype(U64))))
-                if len(full) > apart:
-                    break
-            else:
-                plain = True
+            # Ranges in the order of falling counts, which their contents fix: of two linked sets each has at most apart before the first that they share.
+            some = np.argsort(-count[full], kind="stable")[: apart + 1]
+            out.append(mix(np.add.reduceat(mixed, cut[full])[some] + mix((full[some] + (i << 32)).astype(U64))))
+            plain |= len(full) <= apart
         if plain and n:
             out.append(mix(grams[: n - -(-self.p * n // 100) + 1] + U64(0x5851F42D4C957F2D)))
         return np.concatenate(out) if out else np.zeros(0, U64)
@@ -126,8 +161,8 @@ def _sets(size: int, percent: int):
                 keys = [routes.keys(x).view(np.int64) for x in found]
                 ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
                 yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([set_id(x) if len(x) else None for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
-                    ["doc_id", "rk", "n_shingles", "sid", "keys"],
+                    [part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([set_id(x) if len(x) else None for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
+                    ["doc_id", "rk", "n_shingles", "sid", "sketch", "keys"],
                 )
 
     return sets
@@ -345,6 +380,87 @@ def _verify(size: int, percent: int):
     return verify
 
 
+def _unruled(percent: int):
+    """Rows (sid, pivot, n, sketch, far_n, far_sketch): those, (sid, pivot), whose sketches don't rule out a link."""
+
+    def unruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, far_n, a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "far_n", "sketch", "far_sketch"))
+            may = [(100 + percent) * max(abs(i - j), least_apart(x, y)) <= (100 - percent) * (i + j) for i, j, x, y in zip(n, far_n, a, b, strict=True)]
+            yield batch.select(["sid", "pivot"]).filter(pa.array(may, pa.bool_()))
+
+    return unruled
+
+
+def _near(percent: int):
+    """Rows sorted by (comp, i, j), of sets with class and sketch: (a, b) such that sets of different classes that may link are connected."""
+
+    def group(rows: dict[int, tuple], cross: bool) -> Iterator[pa.RecordBatch]:
+        sids = np.array(list(rows))
+        sizes, sketches, c, side = zip(*rows.values(), strict=True)
+        c, side = np.array(c), np.array(side)
+        parent = list(range(len(sids)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for y, others in near_pairs(np.array(sizes), list(sketches), percent):
+            met = c[others] != c[y]
+            if cross:
+                met &= side[others] != side[y]
+            for x in others[met].tolist():
+                a, b = root(x), root(y)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        roots = np.array([root(x) for x in range(len(sids))])
+        found = np.flatnonzero(roots != np.arange(len(sids)))
+        if len(found):
+            yield pa.record_batch([pa.array(sids[found]), pa.array(sids[roots[found]])], ["a", "b"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        last = None
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("comp", "i", "j", "sid", "n", "sketch", "c", "side")]
+            for comp, i, j, sid, *row in zip(*cols, strict=True):
+                if (comp, i, j) != last:
+                    if len(held) > 1:
+                        yield from group(held, last[1] != last[2])
+                    held, last = {}, (comp, i, j)
+                held[sid] = row
+        if len(held) > 1:
+            yield from group(held, last[1] != last[2])
+
+    return near
+
+
+def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (sid, pivot) whose sketches don't rule out a link."""
+    counts = staged(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows")), "pivots")
+    leads = classes.select(F.col("sid").alias("pivot"), F.col("n").alias("far_n"), F.col("sketch").alias("far_sketch")).join(counts.select("pivot"), "pivot", "left_semi")
+    rows = salted_join(pairs, leads, "pivot", ["sid"], counts).join(classes.select("sid", "n", "sketch"), "sid")
+    return staged(rows.mapInArrow(lean(_unruled(percent)), "sid long, pivot long"), "near")
+
+
+def _may_group(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """groups: comp, sid, rk, mult, n. The same columns, for groups of sets that may link and aren't of one class yet (labels: v, c): none that may link are apart."""
+    about = classes.select("sid", "n", "sketch").join(labels, F.col("sid") == labels.v, "left").select("sid", "n", "sketch", F.coalesce("c", "sid").alias("c"))
+    about = staged(about.join(groups.select("sid").distinct(), "sid", "left_semi"), "about")
+    rows = _blocks(groups, percent, SKETCH_MEMBERS, SKETCH_GRAMS).drop("rk", "mult").join(about, "sid")
+    rows = rows.repartition(partitions(groups.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    met = components(staged(rows.mapInArrow(lean(_near(percent)), "a long, b long"), "near"))
+    return staged(met.select(F.col("c").alias("comp"), F.col("v").alias("sid")).join(classes.select("sid", "rk", "mult", "n"), "sid"), "groups")
+
+
+def _wanted(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts that rows name by rk: the others aren't shuffled."""
+    keys = staged(rows.select("rk").distinct(), "wanted")
+    return texts.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "rk", "left_semi")
+
+
 def _star_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs: sid, pivot, all different. The links among them: a, b. A pivot of very many sets is copied to parts of them."""
     n = partitions(pairs.sparkSession)
@@ -352,21 +468,22 @@ def _star_links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: in
     counts = staged(counts.withColumn("parts", F.ceil(F.col("rows") / BLOCK_MEMBERS).cast("int")), "pivots")
     rows = salted_join(pairs, counts.select("pivot", "parts"), "pivot", ["sid"], counts.select("pivot", "rows")).select("pivot", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), "sid", F.lit(1).alias("later"))
     leads = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("sid"), F.lit(0).alias("later"))
-    rows = rows.union(leads).join(classes.select("sid", "rk"), "sid").join(texts, "rk").select("pivot", "part", "later", "sid", "text")
+    rows = staged(rows.union(leads).join(classes.select("sid", "rk"), "sid"), "stars")
+    rows = rows.join(_wanted(texts, rows), "rk").select("pivot", "part", "later", "sid", "text")
     return rows.repartition(n, "pivot", "part").sortWithinPartitions("pivot", "part", "later").mapInArrow(lean(_verify(size, percent)), "a long, b long")
 
 
-def _blocks(found: DataFrame, percent: int) -> DataFrame:
-    """Rows of found for each block of their group: (comp, i, j), with side (whether in part i).
+def _blocks(found: DataFrame, percent: int, most: int, grams: int) -> DataFrame:
+    """Rows of found for each block, of most members and so many grams, of their group: (comp, i, j), with side (whether in part i).
 
     A small group is one block. A large one is cut into bands of size, and these by hash into parts that fit. As linked sets
     are at most one band apart, part i and part j meet only if their bands are equal or next to each other.
     """
     step = math.log(100 / percent) * 1.001
-    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), ((F.count(F.lit(1)) > BLOCK_MEMBERS) | (F.sum("n") > BLOCK_GRAMS)).alias("large"))
+    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), ((F.count(F.lit(1)) > most) | (F.sum("n") > grams)).alias("large"))
     found = salted_join(found, sizes.select("comp", "large"), "comp", ["sid"], sizes.select("comp", "rows"))
     found = staged(found.withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / step)).otherwise(0).cast("long")).withColumn("at", F.concat_ws(":", "comp", "band")), "banded")
-    parts = found.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("rows"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("parts"))
+    parts = found.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("rows"), F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / grams)).cast("long").alias("parts"))
     parts = staged(parts, "parts")
     # For each band the parts of the bands that its members meet: its own and, of a large group, its neighbours'.
     near = parts.select("comp", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct(F.col("band").alias("near"), "parts").alias("met"))
@@ -380,7 +497,7 @@ def _blocks(found: DataFrame, percent: int) -> DataFrame:
 
 def _joined(groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """groups: comp, sid, rk, mult, n. Joins the sets of each group with one another: sid, root (of its links in a block), links."""
-    rows = _blocks(groups, percent).join(texts, "rk").select("comp", "i", "j", "side", "sid", "mult", "text")
+    rows = _blocks(groups, percent, BLOCK_MEMBERS, BLOCK_GRAMS).join(_wanted(texts, groups), "rk").select("comp", "i", "j", "side", "sid", "mult", "text")
     rows = rows.repartition(partitions(groups.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     return staged(rows.mapInArrow(lean(_join(size, percent)), "sid long, root long, links long"), "links")
 
@@ -401,7 +518,7 @@ def _cheapest(groups: DataFrame) -> DataFrame:
     rows = staged(groups.join(labels, groups.sid == labels.v).drop("v"), "overlaps")
     members = labels.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
     sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("rows")).join(members, "c")
-    sizes = staged(sizes.withColumn("one", F.col("members") * F.ceil(F.col("members") / BLOCK_MEMBERS) <= F.col("rows")), "overlap_sizes")
+    sizes = staged(sizes.withColumn("one", F.col("members") * F.ceil(F.col("members") / SKETCH_MEMBERS) <= F.col("rows")), "overlap_sizes")
     rows = salted_join(rows, sizes.select("c", "one"), "c", ["sid", "comp"], sizes.select("c", "rows"))
     return rows.withColumn("comp", F.when(F.col("one"), F.xxhash64("c", F.lit("one"))).otherwise(F.col("comp"))).drop("c", "one").dropDuplicates(["comp", "sid"])
 
@@ -422,9 +539,9 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_ke
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("rk"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = staged(docs.mapInArrow(lean(_sets(size, percent)), f"doc_id {kind}, rk long, n_shingles long, sid long, keys array<long>"), "members")
-    members = staged(made.drop("keys"), "members")
-    classes = members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("mult"), F.first("n_shingles").alias("n"))
+    made = staged(docs.mapInArrow(lean(_sets(size, percent)), f"doc_id {kind}, rk long, n_shingles long, sid long, sketch binary, keys array<long>"), "members")
+    members = staged(made.drop("keys", "sketch"), "members")
+    classes = made.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("mult"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = staged(classes, "classes")
     # Keys of one row of each class only, so copies don't crowd them.
     reps = classes.select("rk")
@@ -433,12 +550,15 @@ def similarity_classes(docs: DataFrame, size: int = 4, percent: int = 85, row_ke
     texts = docs.select("rk", "text")
     discard(made)
     pairs = staged(stars.filter("key is null").select("sid", "pivot").distinct(), "pairs")
-    found = staged(_star_links(pairs, classes, texts, size, percent), "links")
+    near = _may_link(pairs, classes, percent)
+    found = staged(_star_links(near, classes, texts, size, percent), "links")
     labels = components(found)
-    open_ = staged(_open_groups(stars, labels).join(classes.drop("least"), "sid"), "open")
-    discard(stars, pairs)
+    open_ = staged(_open_groups(stars, labels).join(classes.drop("least", "sketch"), "sid"), "open")
+    discard(stars, pairs, near)
     if not open_.isEmpty():
-        groups = staged(_cheapest(open_), "groups")
+        overlaps = staged(_cheapest(open_), "groups")
+        groups = _may_group(overlaps, classes, labels, percent)
+        discard(overlaps)
         more = _joined(groups, texts, size, percent)
         labels = components(found.union(more.select("sid", "root")))
         discard(groups, more)

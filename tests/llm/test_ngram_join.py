@@ -112,3 +112,56 @@ def test_one_set_of_many_that_share_a_key(spark):
     got = sorted(tuple(x) for x in similarity_classes(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == sorted(brute([x[:2] for x in rows]))
     assert got[1][2:] == (1, 0)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_few_routes_lose_no_link(percent):
+    """At 80 percent a set used to have some 0.85 keys for each n-gram, which filled the disk of the pipeline's join at 0.5 GB."""
+    r = np.random.default_rng(percent)
+    routes, keys, grams, linked = ngram_join.Routes(percent), 0, 0, 0
+    for _ in range(1500):
+        n = int(r.integers(1, 500))
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        off, on = r.integers(0, max(1, n * (100 - percent) // 150) + 1, 2)
+        b = np.unique(np.append(r.choice(a, max(0, len(a) - off), replace=False), r.integers(0, 1 << 63, on, dtype=np.uint64)))
+        i = len(np.intersect1d(a, b))
+        keys, grams = keys + len(routes.keys(a)), grams + n
+        if len(b) and (100 + percent) * i >= percent * (len(a) + len(b)) and not len(a) == len(b) == i:
+            linked += 1
+            assert len(np.intersect1d(routes.keys(a), routes.keys(b)))
+    assert linked > 100
+    assert percent < 80 or keys < 0.45 * grams
+
+
+def test_sketches_rule_out_no_link():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.append(base[: int(r.integers(1, n + 1))], r.integers(0, 1 << 63, int(r.integers(0, n // 3 + 1)), dtype=np.uint64))) for n in (3, 40, 41, 300, 3000) for _ in range(25)]
+    sets.append(np.arange(2000, dtype=np.uint64))  # all in one place: counts stop at 255
+    sets.append(np.arange(1900, dtype=np.uint64))
+    sketches, sizes = [ngram_join.sketch(x) for x in sets], np.array([len(x) for x in sets])
+    near = {frozenset((y, x)) for y, xs in ngram_join.near_pairs(sizes, sketches, 80) for x in xs.tolist()}
+    linked, far = 0, 0
+    for x in range(len(sets)):
+        for y in range(x):
+            i = len(np.intersect1d(sets[x], sets[y]))
+            least = ngram_join.least_apart(sketches[x], sketches[y])
+            assert least <= sizes[x] + sizes[y] - 2 * i
+            if 180 * i >= 80 * (sizes[x] + sizes[y]):
+                linked += 1
+                assert frozenset((x, y)) in near
+            far += frozenset((x, y)) not in near
+    assert linked > 30 and far > 1000
+
+
+def test_texts_of_open_groups_that_cannot_link_are_not_moved(spark, monkeypatch):
+    """Sets that share a key, of which sketches rule out all links: their texts used to be copied to each block of the group."""
+    monkeypatch.setattr(ngram_join, "SKETCH_MEMBERS", 7)
+    moved, joined = [], ngram_join._joined
+    monkeypatch.setattr(ngram_join, "_joined", lambda groups, *rest: moved.append(groups.count()) or joined(groups, *rest))
+    shared = [f"s{i}" for i in range(400)]
+    rows = [(i, " ".join(shared + [f"o{i}x{k}" for k in range(250)]), "") for i in range(40)]
+    rows += [(100, " ".join(shared + [f"o3x{k}" for k in range(240)]), ""), (101, " ".join(shared + [f"o3x{k}" for k in range(10, 250)]), "")]
+    got = {x.doc_id: x.component_id for x in similarity_classes(spark.createDataFrame(rows, SCHEMA), 5, 80, links=False).collect()}
+    assert got == {i: i for i in range(40)} | {100: 3, 101: 3}
+    assert sum(moved) < 20
