@@ -298,7 +298,7 @@ def _cuts(v: Vocabulary, raw: np.ndarray, most: int) -> list[int]:
     return [*out, len(raw)]
 
 
-def _encoder(vocabulary, carry: int):
+def _encoder(vocabulary, carry: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
         for batch in batches:
@@ -313,18 +313,20 @@ def _encoder(vocabulary, carry: int):
                         before += int(((data[a:b] & 0xC0) != 0x80).sum())
                     ids = np.concatenate(found)
                     count = np.array([len(ids)])
-                ends = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
-                yield pa.record_batch([*part.columns[:carry], pa.ListArray.from_arrays(ends, pa.array(ids)), pa.array(count)], [*part.schema.names[:carry], "ids", "n_tokens"])
+                ends = np.append(0, np.cumsum(count)).astype(np.int32)
+                more = [_texts(v.raw, ids, ends)] if decoded else []
+                yield pa.record_batch([*part.columns[:carry], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(count), *more], [*part.schema.names[:carry], "ids", "n_tokens", *["decoded"] * decoded])
 
     return run
 
 
-def encode_sampled(docs: DataFrame, vocabulary: str | None = None, seed: int = 0, power: float = 1.0, carry: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def encode_sampled(docs: DataFrame, vocabulary: str | None = None, seed: int = 0, power: float = 1.0, carry: tuple[str, ...] = ("doc_id", "text"), decoded: bool = False) -> DataFrame:
     """Sampled segmentations of every whole text: carry, ids (array of int) and n_tokens.
 
     docs: doc_id, text and what carry names. The row key is doc_id with seed: equal rows get equal ids, another seed others.
     power: how much common pieces weigh; large values lead to the best segmentation. Characters without a piece, and the
     word mark itself, are written as byte pieces, so decode_pieces() gives back every text. Null and empty texts have no ids.
+    decoded: add the column of decode_pieces(), from the ids and in the same Python worker; a task then holds one worker, not two.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -332,7 +334,7 @@ def encode_sampled(docs: DataFrame, vocabulary: str | None = None, seed: int = 0
     text = F.col("text").cast("string")
     rows = docs.select(*(F.col(c) if c != "text" else text.alias("text") for c in carry), *([] if "text" in carry else [text.alias("text")]), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("_key"))
     head = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
-    return rows.mapInArrow(lean(_encoder(v, len(carry))), f"{head}ids array<int>, n_tokens long")
+    return rows.mapInArrow(lean(_encoder(v, len(carry), decoded)), f"{head}ids array<int>, n_tokens long{', decoded string' if decoded else ''}")
 
 
 def decode(raw: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -341,13 +343,17 @@ def decode(raw: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> list[bytes
     return [b"".join(pieces[a:b])[1:] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def _texts(raw: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.array([x.decode("utf-8", "replace") for x in decode(raw, ids, offsets)], pa.string())
+
+
 def _decoder(raw, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(place)
             ends = column.offsets.to_numpy()
-            texts = decode(raw.value, column.flatten().to_numpy(), ends - ends[0]) if batch.num_rows else []
-            yield pa.record_batch([*batch.columns, pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())], [*batch.schema.names, "decoded"])
+            texts = _texts(raw.value, column.flatten().to_numpy(), ends - ends[0]) if batch.num_rows else pa.array([], pa.string())
+            yield pa.record_batch([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return run
 

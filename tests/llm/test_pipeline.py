@@ -51,3 +51,11 @@ def test_as_brute_force(spark, tmp_path):
     last = stages["SentencePiece encoding"](spark, docs, str(tmp_path))
     assert sorted((r.doc_id, r.decoded) for r in decode_pieces(last).collect()) == sorted(kept)
     assert sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.ids) for r in last.collect())
+
+
+def test_one_python_worker_a_task_in_the_last_stage(spark, tmp_path):
+    """Workers stay for later tasks, so a stage with two Python passes keeps twice as many in an executor's memory from then on."""
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    found = dict(corpus_pipeline.STAGES)["SentencePiece encoding"](spark, docs, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.lossless) for r in found.collect()) == [(1, True), (2, True)]

@@ -130,3 +130,13 @@ def test_very_long_unspaced_text(spark):
     text = "".join(random.Random(3).choice("日本語中文字のはにを") for _ in range(1_000_000))
     row = decode_pieces(encode_sampled(spark.createDataFrame([(1, text, "")], DOCS))).first()
     assert row.decoded == text
+
+
+def test_decoded_by_the_worker_that_encodes(spark):
+    rows = [(i, t, "") for i, t in enumerate(texts())] + [(None, "null id", ""), (1, "again", "")]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    row = lambda x: (str(x.doc_id), x.text or "", x.ids, x.n_tokens, x.decoded)
+    got = encode_sampled(df, decoded=True)
+    assert sorted(map(row, got.collect())) == sorted(map(row, decode_pieces(encode_sampled(df)).collect()))
+    assert got.columns == decode_pieces(encode_sampled(df)).columns
+    assert encode_sampled(df.limit(0), decoded=True).count() == 0
