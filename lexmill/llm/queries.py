@@ -11,7 +11,7 @@ from . import language_id, line_templates, oracles, quality_rules, warc
 from .chat_tree import chat_tree, read_back
 from .decontaminate import contamination
 from .ngram_join import similarity_classes
-from .sampled_pieces import decode_pieces, encode_sampled
+from .sampled_pieces import encode_sampled
 from .suffix_dedup import remove_repeats
 from .token_files import document_tokens
 
@@ -29,7 +29,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled ids of each text, and whether decoding gives the text back."""
-    rows = decode_pieces(encode_sampled(table(spark, sf_dir, "documents")))
+    rows = encode_sampled(table(spark, sf_dir, "documents"), decoded=True)
     text = F.coalesce("text", F.lit(""))
     return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("lossless"))
 

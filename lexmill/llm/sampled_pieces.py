@@ -48,7 +48,8 @@ class Vocabulary:
     root: np.ndarray = field(repr=False)  # by code point
     table: np.ndarray = field(repr=False)
     target: np.ndarray = field(repr=False)
-    piece: np.ndarray = field(repr=False)  # of each trie node, -1 if none
+    piece: np.ndarray = field(repr=False)  # of each trie node, -1 if none; so is the last entry, of node -1
+    inner: np.ndarray = field(repr=False)  # whether a trie node has others below it; False for node -1
     longest: int  # code points of a piece
 
     @classmethod
@@ -99,7 +100,7 @@ class Vocabulary:
                 slot = (slot + 1) & ((1 << bits) - 1)
             table[slot], target[slot] = k, t
         marks = [x for x, u in zip(names, usable, strict=True) if u and chr(MARK) in x.lstrip(chr(MARK))]
-        return cls(weights, raw, byte_ids, not marks, root, table, target, np.array(piece, np.int32), max((len(x) for x, u in zip(names, usable, strict=True) if u), default=1))
+        return cls(weights, raw, byte_ids, not marks, root, table, target, np.array([*piece, -1], np.int32), np.array([*map(bool, next_), False]), max((len(x) for x, u in zip(names, usable, strict=True) if u), default=1))
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The trie node that follows, -1 if none."""
@@ -107,13 +108,15 @@ class Vocabulary:
         size = len(self.table)
         slot = ((key * HASH) >> U64(64 - size.bit_length() + 1)).astype(np.int64)
         out = np.full(len(key), -1, np.int32)
-        open_ = np.arange(len(key))
-        while len(open_):
-            seen = self.table[slot[open_]]
-            hit = seen == key[open_]
-            out[open_[hit]] = self.target[slot[open_[hit]]]
-            open_ = open_[~hit & (seen != 0)]
-            slot[open_] = (slot[open_] + 1) & (size - 1)
+        open_: np.ndarray | slice = slice(None)  # all of them; few need a second look
+        while len(key):
+            seen = self.table[slot]
+            hit = seen == key
+            found = np.flatnonzero(hit)
+            out[found if isinstance(open_, slice) else open_[found]] = self.target[slot[found]]
+            more = np.flatnonzero(~hit & (seen != 0))
+            open_ = more if isinstance(open_, slice) else open_[more]
+            key, slot = key[more], (slot[more] + 1) & (size - 1)
         return out
 
 
@@ -177,59 +180,66 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     owner = np.repeat(np.arange(len(length)), length)
     stop = np.cumsum(length)[owner]
     at = np.arange(len(line))
+    own = at + owner  # the node before each code point; the one behind it is the next
     state = v.root[line]
-    source, target, token, single = [], [], [], np.full(len(line), -1)
+    # Every place has an edge of one code point: its piece, or without one its bytes. Longer ones are listed by their length.
+    single = v.piece[state]
+    bare = single < 0
+    longer: list[tuple[np.ndarray, np.ndarray]] = []
+    many = np.ones(len(line), np.int64)  # edges that end behind each code point
     j = 1
     while len(at):
-        good = state >= 0
-        at, state = at[good], state[good]
-        p = v.piece[state]
-        whole = p >= 0
-        source.append(at[whole])
-        target.append(at[whole] + j)
-        token.append(p[whole])
-        if j == 1:
-            single[at[whole]] = p[whole]
-        good = at + j < stop[at]
+        good = np.flatnonzero(v.inner[state] & (at + j < stop[at]))
         at, state = at[good], state[good]
         state = v.step(state, line[at + j])
         j += 1
-    bare = np.flatnonzero(single < 0)  # no piece of its own: written in bytes
-    source.append(bare)
-    target.append(bare + 1)
-    token.append(-1 - line[bare].astype(np.int64))
-    source, target, token = (np.concatenate(x).astype(np.int64) for x in (source, target, token))
-    node = source + owner[source]
-    goal = target + owner[target - 1]
-    width = target - (np.cumsum(length) - length)[owner[source]]  # code points from the unit's start to the goal
-    # All different, so no order is left to chance; long pieces first, as they are drawn most.
-    order = np.argsort((width << 40) | (goal << 6) | (63 - np.minimum(target - source, 63)), kind="stable")
-    node, goal, token, width = node[order], goal[order], token[order], width[order]
-    weight = np.where(token >= 0, v.weights[np.maximum(token, 0)], 3 * v.weights.min())
-    group = np.flatnonzero(np.append(True, goal[1:] != goal[:-1]))
-    rank = np.repeat(np.arange(len(group)), np.diff(group, append=len(goal)))
+        good = np.flatnonzero(state >= 0)
+        at, state = at[good], state[good]
+        token = v.piece[state]
+        whole = np.flatnonzero(token >= 0)
+        longer.append((at[whole], token[whole]))
+        many[at[whole] + (j - 1)] += 1
+    # Edges by the distance of their goal from the unit's start, then by goal, long pieces first, as they are drawn most: dealt to
+    # their places, since no two of a length share a goal. Every goal has an edge, so no order is left to chance.
+    width = np.arange(1, len(line) + 1) - (np.cumsum(length) - length)[owner]
+    turn = np.argsort(width.astype(np.min_scalar_type(int(length.max()))), kind="stable")
+    goal, many = own[turn] + 1, many[turn]
+    last = np.cumsum(many) - 1
+    group = last + 1 - many
+    place = np.empty(len(line), np.int64)
+    place[turn] = group
+    node, token = np.empty(int(last[-1]) + 1, np.int64), np.empty(int(last[-1]) + 1, np.int32)
+    while longer:
+        at, piece = longer.pop()
+        end = at + len(longer) + 1
+        spot = place[end]
+        place[end] += 1
+        node[spot], token[spot] = own[at], piece
+    node[place], token[place] = own, np.where(bare, -1 - line.astype(np.int32), single)
+    weight = v.weights[np.maximum(token, 0)]
+    weight[place[bare]] = 3 * v.weights.min()
     reach = np.zeros(len(line) + len(length))
-    share = np.empty(len(goal))
-    level = np.searchsorted(width, np.arange(1, int(width[-1]) + 2))
-    for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
-        if a == b:
-            continue
-        g = group[rank[a] : rank[b - 1] + 1] - a
+    share, sums = np.empty(len(node)), np.empty(len(goal))
+    level = np.append(0, np.cumsum(np.bincount(width)[1:]))
+    for m, to in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+        a, b = int(group[m]), int(last[to - 1]) + 1
+        g = group[m:to] - a
         w = reach[node[a:b]] + weight[a:b]
         top = np.maximum.reduceat(w, g)
-        x = np.exp(w - np.repeat(top, np.diff(g, append=b - a)))
-        sums = np.add.reduceat(x, g)
-        reach[goal[a + g]] = top + np.log(sums)
-        share[a:b] = x / np.repeat(sums, np.diff(g, append=b - a))
+        x = np.exp(w - np.repeat(top, many[m:to]), out=share[a:b])
+        sums[m:to] = np.add.reduceat(x, g)
+        reach[goal[m:to]] = top + np.log(sums[m:to])
+    share /= np.repeat(sums, many)
     # Running sums inside each group, in whole steps of 2 ** -32: the same in any chunk.
-    last = np.append(group[1:], len(goal)) - 1
-    for k in range(1, int((last - group).max()) + 1):
-        more = group[group + k <= last] + k
-        share[more] += share[more - 1]
+    more, still = group, many
+    for k in range(1, int(many.max())):
+        on = np.flatnonzero(still > k)
+        more, still = more[on], still[on]
+        share[more + k] += share[more + (k - 1)]
     ladder = np.minimum(share * 2.0**32, 2.0**32 - 1).astype(U64)
     ladder[last] = U64(1) << U64(32)
     rung = np.zeros(len(reach), np.int64)
-    rung[goal[group]] = group
+    rung[goal] = group
     # Draws of all occurrences, from the ends of units backward.
     low = (np.cumsum(length) - length + np.arange(len(length)))[kind]
     here = low + size
@@ -260,14 +270,15 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     count = np.bincount(text, many, minlength=len(keys)).astype(np.int64)
     odd = np.flatnonzero(out < 0)
     if len(odd):
-        parts = [v.byte_ids[list(chr(MARK if c == NO_PIECE else c).encode())] for c in (-1 - out[odd]).tolist()]
+        lone = -1 - out[odd]
+        raw = np.frombuffer(np.where(lone == NO_PIECE, MARK, lone).astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
         wide = np.ones(len(out), np.int64)
-        wide[odd] = [len(x) for x in parts]
+        wide[odd] = np.diff(np.flatnonzero((raw & 0xC0) != 0x80), append=len(raw))
         of = np.repeat(np.arange(len(keys)), count)
         count = np.bincount(of, wide, minlength=len(keys)).astype(np.int64)
         begin = np.cumsum(wide) - wide
         out = np.repeat(out, wide)
-        out[_ranges(begin[odd], wide[odd])] = np.concatenate(parts)
+        out[_ranges(begin[odd], wide[odd])] = v.byte_ids[raw]
     return out.astype(np.int32), count
 
 
@@ -301,6 +312,7 @@ def _cuts(v: Vocabulary, raw: np.ndarray, most: int) -> list[int]:
 def _encoder(vocabulary, carry: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
+        raw = pa.array(v.raw, pa.large_binary())
         for batch in batches:
             for part, data, offsets in chunks(batch, most=CHUNK):
                 keys = part.column(part.num_columns - 1).to_numpy().view(U64)
@@ -314,7 +326,7 @@ def _encoder(vocabulary, carry: int, decoded: bool):
                     ids = np.concatenate(found)
                     count = np.array([len(ids)])
                 ends = np.append(0, np.cumsum(count)).astype(np.int32)
-                more = [_texts(v.raw, ids, ends)] if decoded else []
+                more = [_texts(raw, ids, ends)] if decoded else []
                 yield pa.record_batch([*part.columns[:carry], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(count), *more], [*part.schema.names[:carry], "ids", "n_tokens", *["decoded"] * decoded])
 
     return run
@@ -337,22 +349,30 @@ def encode_sampled(docs: DataFrame, vocabulary: str | None = None, seed: int = 0
     return rows.mapInArrow(lean(_encoder(v, len(carry), decoded)), f"{head}ids array<int>, n_tokens long{', decoded string' if decoded else ''}")
 
 
-def decode(raw: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    pieces = list(map(raw.__getitem__, ids.tolist()))
+def _texts(raw: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Texts of piece ids; raw: what each piece decodes to (large_binary)."""
+    _, ends, data = raw.take(pa.array(ids)).buffers()
+    data = np.frombuffer(data or b"", np.uint8)
+    ends = np.frombuffer(ends, np.int64)[offsets]
     # the first piece of a text begins with the mark that encoding puts in front
-    return [b"".join(pieces[a:b])[1:] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-
-
-def _texts(raw: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.array([x.decode("utf-8", "replace") for x in decode(raw, ids, offsets)], pa.string())
+    some = np.diff(ends) > 0
+    keep = np.ones(len(data), bool)
+    keep[ends[:-1][some]] = False
+    ends = ends - np.append(0, np.cumsum(some))
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
+    try:
+        return found.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
 
 
 def _decoder(raw, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(raw.value, pa.large_binary())
         for batch in batches:
             column = batch.column(place)
             ends = column.offsets.to_numpy()
-            texts = _texts(raw.value, column.flatten().to_numpy(), ends - ends[0]) if batch.num_rows else pa.array([], pa.string())
+            texts = _texts(pieces, column.flatten().to_numpy(), ends - ends[0]) if batch.num_rows else pa.array([], pa.string())
             yield pa.record_batch([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return run

@@ -1,14 +1,14 @@
 import random
 from collections import Counter
-from math import exp
+from math import exp, log
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lexmill.llm import sampled_pieces
-from lexmill.llm._text import text_parts
+from lexmill.llm import queries, sampled_pieces
+from lexmill.llm._text import mix, text_parts
 from lexmill.llm.sampled_pieces import Vocabulary, decode_pieces, encode, encode_sampled, vocabulary_path
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("ids", StringType())])
@@ -140,3 +140,76 @@ def test_decoded_by_the_worker_that_encodes(spark):
     assert sorted(map(row, got.collect())) == sorted(map(row, decode_pieces(encode_sampled(df)).collect()))
     assert got.columns == decode_pieces(encode_sampled(df)).columns
     assert encode_sampled(df.limit(0), decoded=True).count() == 0
+
+
+def plain(v, text, key):
+    """Forward filtering and backward sampling over the lattice of one whole text, in plain Python."""
+    mark = chr(sampled_pieces.MARK)
+    ids = {raw.decode().replace(" ", mark): i for i, raw in enumerate(v.raw) if i > 258}
+    # the word mark itself, no space, has no piece
+    code = [mark, *(None if c == mark else mark if c == " " else c for c in text)] if text else []
+    reach, edges = [0.0], [[]]
+    for e in range(1, len(code) + 1):
+        found = []
+        for s in range(max(0, e - v.longest), e):
+            i = None if None in code[s:e] else ids.get("".join(code[s:e]))
+            if i is not None:
+                found.append((s, [i], v.weights[i]))
+            elif s == e - 1:
+                found.append((s, v.byte_ids[list((code[s] or mark).encode())].tolist(), 3 * v.weights.min()))
+        top = max(reach[s] + w for s, _, w in found)
+        sums = sum(exp(reach[s] + w - top) for s, _, w in found)
+        edges.append([(s, i, exp(reach[s] + w - top) / sums) for s, i, w in found])
+        reach.append(top + log(sums))
+    out, e, m = [], len(code), (1 << 64) - 1
+    while e:
+        x = (key + e * int(sampled_pieces.HASH)) & m
+        u = int(mix(mix(np.array([x], np.uint64)))[0]) >> 32
+        for s, i, share in edges[e]:
+            u -= share * 2.0**32
+            if u < 0:
+                break
+        out[:0], e = i, s
+    return out
+
+
+def test_equals_a_plain_sampler(vocabulary):
+    r = random.Random(4)
+    rows = [t or "" for t in texts()] + ["https://example.org/" + "".join(r.choice("abcdef0123456789-_/") for _ in range(400)), "".join(r.choice("日本語éeing") for _ in range(300))]
+    import pyarrow as pa
+
+    keys = [r.getrandbits(64) for _ in rows]
+    ids, count = encode(vocabulary, *text_parts(pa.array(rows)), np.array(keys, np.uint64), np.zeros(len(rows), np.int64))
+    ends = np.append(0, np.cumsum(count)).tolist()
+    for text, key, a, b in zip(rows, keys, ends, ends[1:]):
+        assert ids[a:b].tolist() == plain(vocabulary, text, key)
+
+
+def test_decoding_of_any_ids(spark, vocabulary):
+    """Ids that no text was encoded to, with broken characters, control pieces and none at all."""
+    r = random.Random(6)
+    rows = [(k, None if k % 9 == 0 else [r.randrange(len(vocabulary.raw)) if k % 2 else r.randrange(300) for _ in range(r.randint(0, 12))]) for k in range(100)]
+    got = decode_pieces(spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(3)).collect()
+    assert {x.doc_id: x.decoded for x in got} == {k: b"".join(vocabulary.raw[i] for i in ids or [])[1:].decode("utf-8", "replace") for k, ids in rows}
+
+
+def test_query_takes_texts_to_python_once(spark):
+    at = "/root/testdata/sf0.001"
+    got = queries.op2_sentencepiece(spark, at)
+    assert got._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    want = decode_pieces(encode_sampled(queries.table(spark, at, "documents"))).withColumn("sha", F.sha2("decoded", 256))
+    rows = got.collect()
+    assert sorted((x.doc_id, x.n_tokens, x.ids, x.decoded_sha256) for x in rows) == sorted((x.doc_id, x.n_tokens, x.ids, x.sha) for x in want.collect())
+    assert len(rows) == queries.table(spark, at, "documents").count() and all(x.lossless for x in rows)
+
+
+def test_work_does_not_sort_edges(vocabulary, monkeypatch):
+    """The edges of a lattice, some times as many as its places, are dealt to their places; only places are sorted."""
+    import pyarrow as pa
+
+    most, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (most.append(len(x)), sort(x, *a, **k))[1])
+    r = random.Random(9)
+    words = " ".join("".join(r.choice("aeinrst") for _ in range(8)) for _ in range(500))
+    encode(vocabulary, *text_parts(pa.array([words])), np.array([1], np.uint64), np.zeros(1, np.int64))
+    assert max(most, default=0) <= len(words) + 1
